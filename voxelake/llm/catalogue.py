@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup
+from . import chat_format, edit_counts, exact_dedup, license_scan, quality
 
 QUERIES = {
+    "op2_license_scan": license_scan.query,
+    "op3_quality": quality.query,
+    "op4_edit_counts": edit_counts.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_chat_format": chat_format.query,
 }
