@@ -46,7 +46,6 @@ class UnitCounter:
 
     def __init__(self, path: str) -> None:
         self.encode = encoding(path).encode_ordinary
-        self.encoded = 0
         self._reset()
 
     def _reset(self) -> None:
