@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, edit_counts, exact_dedup, license_scan, quality
+from . import chat_format, edit_counts, exact_dedup, license_scan, quality, sentencepiece_codec
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.query,
     "op2_license_scan": license_scan.query,
     "op3_quality": quality.query,
     "op4_edit_counts": edit_counts.query,
