@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, edit_counts, exact_dedup, license_scan, quality, sentencepiece_codec
+from . import chat_format, decontamination, edit_counts, exact_dedup, license_scan, quality, sentencepiece_codec
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_edit_counts": edit_counts.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_chat_format": chat_format.query,
+    "op9_decontamination": decontamination.query,
 }
 
 ORACLE_SQL = {
