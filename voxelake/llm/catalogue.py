@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, edit_counts, exact_dedup, license_scan, quality, sentencepiece_codec
+from . import chat_format, decontamination, edit_counts, exact_dedup, license_scan, quality, sentencepiece_codec, token_files
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op8_chat_format": chat_format.query,
     "op9_decontamination": decontamination.query,
+    "op10_token_files": token_files.query,
 }
 
 ORACLE_SQL = {

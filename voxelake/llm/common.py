@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Characters of text that a Python worker holds as separate words at a time.
 CHUNK_CHARS = 3_000_000
 #: Distinct words that a worker keeps before it starts its table anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 800_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
