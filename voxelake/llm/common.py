@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -122,6 +123,12 @@ class WordHashes:
         return self.values[at]
 
 
+@cache
+def word_hashes(seed: int = 0) -> WordHashes:
+    """One table for all tasks of a worker process."""
+    return WordHashes(seed)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result hangs on every bit of ``x``."""
     x = x.astype(np.uint64, copy=True)

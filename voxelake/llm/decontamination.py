@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, WordHashes, table, text_of
+from .common import CHUNK_CHARS, table, text_of, word_hashes
 from .license_scan import normal_form
 
 #: Masks over a window of words: 1 is compared, 0 ignored. Wherever two of thirteen words in a row are
@@ -62,7 +62,7 @@ class SeedIndex:
 
     def __init__(self, items: list[tuple[object, str]], masks: tuple[str, ...] = MASKS) -> None:
         self.masks = masks
-        self.words = WordHashes()
+        self.words = word_hashes()
         self.items, self.item_ids = [], []
         for item_id, text in items:
             words = words_of(text or "")

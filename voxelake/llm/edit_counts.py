@@ -125,6 +125,12 @@ class CountedText:
         self.tokens.replace(first, last, self.count(units))
 
 
+@cache
+def unit_counter(path: str) -> UnitCounter:
+    """One table for all tasks of a worker process."""
+    return UnitCounter(path)
+
+
 EDITS = "array<struct<start:bigint,n_deleted:bigint,inserted:string>>"
 
 
@@ -147,7 +153,7 @@ def count_edited(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> D
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = UnitCounter(path)
+        count = unit_counter(path)
         for batch in batches:
             got = []
             for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

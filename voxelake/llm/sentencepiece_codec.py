@@ -358,6 +358,12 @@ class Decoder:
         return text[1:] if text.startswith(" ") else text
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One table for all tasks of a worker process."""
+    return Encoder(path)
+
+
 def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/{MODEL}", with_ids: bool = True) -> DataFrame:
     """Ids of every row of ``docs`` (doc_id, text).
 
@@ -370,7 +376,7 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/{MODEL}", with_ids: bool
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(path), Decoder(path)
+        encoder, decoder = encoder_of(path), Decoder(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):

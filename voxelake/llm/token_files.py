@@ -378,6 +378,12 @@ class WordTokens:
         return np.split(flat, ends[:-1]) if len(texts) else []
 
 
+@cache
+def word_tokens(path: str) -> WordTokens:
+    """One table for all tasks of a worker process."""
+    return WordTokens(path)
+
+
 def write_tokens(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", end_id: int = END_ID, partitions: int | None = None) -> tuple[DataFrame, str]:
     """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; the written table and its path.
 
@@ -388,7 +394,7 @@ def write_tokens(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", end_
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(path)
+        words = word_tokens(path)
         file_no, n_before = None, 0
         held: list[np.ndarray] = []
         owners: list = []
