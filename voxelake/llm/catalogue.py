@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, edit_counts, exact_dedup, license_scan, quality, sentencepiece_codec, token_files
+from . import chat_format, decontamination, edit_counts, exact_dedup, license_scan, ngram_join, quality, sentencepiece_codec, token_files
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.query,
     "op4_edit_counts": edit_counts.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_ngram_join": ngram_join.query,
     "op8_chat_format": chat_format.query,
     "op9_decontamination": decontamination.query,
     "op10_token_files": token_files.query,
