@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -58,7 +57,7 @@ def drop_shared(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def chunks(texts: Iterable[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+def chunks(texts: Iterable[str | bytes], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` characters together, at least one text each."""
     start = size = 0
     end = 0
@@ -100,7 +99,7 @@ class Interner(dict):
 
 
 class WordHashes:
-    """64-bit hashes of words, each distinct word hashed once while the table lasts."""
+    """64-bit hashes of words (bytes, or text as UTF-8), each distinct word hashed once while the table lasts."""
 
     def __init__(self, seed: int = 0) -> None:
         self.seed = seed
@@ -109,12 +108,12 @@ class WordHashes:
     def reset(self) -> None:
         self.words, self.values, self.n = Interner(), np.empty(1 << 12, np.uint64), 0
 
-    def take(self, words: list[str]) -> np.ndarray:
+    def take(self, words: list[bytes] | list[str]) -> np.ndarray:
         if len(self.words) > MAX_WORDS:
             self.reset()
         at = self.words.take(words)
         if fresh := self.words.fresh:
-            new = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), self.seed) for w in fresh), np.uint64, len(fresh))
+            new = np.fromiter((xxhash.xxh64_intdigest(w, self.seed) for w in fresh), np.uint64, len(fresh))
             if self.n + len(new) > len(self.values):
                 self.values = np.concatenate([self.values[: self.n], np.empty(max(len(new), self.n), np.uint64)])
             self.values[self.n : self.n + len(new)] = new
@@ -141,20 +140,51 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: ASCII capitals to small letters, nothing else.
-LOWER = {c: c + 32 for c in range(65, 91)}
-_ASCII_SPACE = re.compile("[\x20\x09-\x0d]+")
-
-
-def lower_ascii(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(LOWER)
+#: Which bytes of a UTF-8 text stand between words: ASCII white space, or all of ASCII but letters and digits.
+ASCII_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+NOT_ALPHANUMERIC = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+_FACTOR = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2 ** 64
+#: Bytes that are hashed at a time.
+_STRETCH = 1 << 21
 
 
-def ascii_space_words(text: str) -> list[str]:
-    """Words between runs of ASCII white space (0x09-0x0D, 0x20), ASCII capitals lowered."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.lower().split()
-    return [w for w in _ASCII_SPACE.split(text.translate(LOWER)) if w]
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = pow(_FACTOR, -1, 1 << 64)
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, f, np.uint64)])) for f in (_FACTOR, inverse))
+
+
+def _stretch_hashes(data: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words in some bytes: a polynomial in the bytes, by differences of one running sum."""
+    inside = ~between[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    size = 1 << max(16, len(data).bit_length())
+    power, inverse = _powers(size)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
+        hashes = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return hashes, starts
+
+
+def hashed_words(texts: list[bytes], between: np.ndarray = ASCII_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some UTF-8 texts in a row, ASCII capitals lowered, and how many each text has."""
+    joined = b" ".join(texts).lower()
+    data = np.frombuffer(joined, np.uint8)
+    hashes, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + _STRETCH)
+        if end < len(data):
+            cut = np.flatnonzero(between[data[at:end]])
+            # a word longer than a stretch is taken whole
+            end = at + int(cut[-1]) + 1 if len(cut) else next((e for e in range(end, len(data)) if between[data[e]]), len(data))
+        own, places = _stretch_hashes(data[at:end], between)
+        hashes.append(own)
+        starts.append(places + at)
+        at = end
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
 
 
 def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, table, text_of, word_hashes
-from .license_scan import normal_form
+from .common import NOT_ALPHANUMERIC, chunks, hashed_words, table, text_of
 
 #: Masks over a window of words: 1 is compared, 0 ignored. Wherever two of thirteen words in a row are
 #: replaced, some window under some mask is left whole (a test tries all places).
@@ -32,14 +31,12 @@ SHORT_SHARE = 0.85
 #: The share of a run's words that must be equal.
 MIN_IDENTITY = 0.8
 PENALTY = 2.0
+#: Bytes of text that are taken up at a time: what is held of them fits a processor's cache.
+TAKE = 600_000
 #: Benchmarks of at most so many words go to every task as a whole; larger ones are joined in parts of that size.
 PART_WORDS = 2_000_000
 
 
-def words_of(text: str) -> list[str]:
-    return normal_form(text).decode("utf-8", "surrogatepass").split(" ")[1:-1]
-
-
 def mask_places(mask: str) -> np.ndarray:
     return np.flatnonzero(np.frombuffer(mask.encode(), np.uint8) == ord("1"))
 
@@ -62,13 +59,9 @@ class SeedIndex:
 
     def __init__(self, items: list[tuple[object, str]], masks: tuple[str, ...] = MASKS) -> None:
         self.masks = masks
-        self.words = word_hashes()
-        self.items, self.item_ids = [], []
-        for item_id, text in items:
-            words = words_of(text or "")
-            if words:
-                self.items.append(self.words.take(words).copy())
-                self.item_ids.append(item_id)
+        hashes, counts = hashed_words([(text or "").encode("utf-8", "surrogatepass") for _, text in items], NOT_ALPHANUMERIC)
+        rows = [(item_id, x) for (item_id, _), x in zip(items, np.split(hashes, np.cumsum(counts)[:-1]), strict=False) if len(x)]
+        self.item_ids, self.items = [i for i, _ in rows], [x for _, x in rows]
         shortest = min(map(len, masks))
         self.seeds: list[tuple[int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         short = sorted({len(x) for x in self.items if len(x) < shortest})
@@ -167,18 +160,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
             index = SeedIndex(held.value)
             for batch in batches:
                 texts = batch.column(1).to_pylist()
-                a = 0
-                while a < len(texts):
-                    b, size, words_, counts = a, 0, [], []
-                    while b < len(texts) and (b == a or size < CHUNK_CHARS):
-                        own = words_of(texts[b])
-                        words_ += own
-                        counts.append(len(own))
-                        size += len(texts[b])
-                        b += 1
+                for a, b in chunks(texts, TAKE):
+                    hashes, counts = hashed_words(texts[a:b], NOT_ALPHANUMERIC)
                     starts = np.concatenate([[0], np.cumsum(counts)])
                     best: dict[tuple[int, int], list[int]] = {}
-                    for doc, i, first, end, place, n in index.overlaps(index.words.take(words_), starts, min_words, min_identity):
+                    for doc, i, first, end, place, n in index.overlaps(hashes, starts, min_words, min_identity):
                         kept = best.setdefault((doc, i), [first, end, place, n, 0])
                         if n > kept[3]:
                             kept[:4] = first, end, place, n
@@ -187,10 +173,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
                         at = pa.array([a + doc for doc, _ in best])
                         columns = [[i for _, i in best], *([v[k] for v in best.values()] for k in range(5))]
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "item_no", "first_word", "end_word", "item_word", "n_equal", "n_runs"])
-                    a = b
 
-        found = docs.select("doc_id", text_of().alias("text")).mapInArrow(rows, schema)
-        numbered = [(i, item_id) for i, (item_id, text) in enumerate((x for x in items if words_of(x[1] or "")))]
+        found = docs.select("doc_id", text_of().cast("binary").alias("text")).mapInArrow(rows, schema)
+        numbered = list(enumerate(SeedIndex(items).item_ids))
         names = spark.createDataFrame(numbered, f"item_no long, item_id {benchmark.schema['item_id'].dataType.simpleString()}")
         found = found.join(F.broadcast(names), "item_no").drop("item_no")
         result = found if result is None else result.unionByName(found)

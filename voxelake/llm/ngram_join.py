@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_space_words, chunks, drop_shared, mixed, table, text_of, word_hashes, write_shared
+from .common import chunks, drop_shared, hashed_words, mixed, table, text_of, write_shared
 from .components import connected_components
 
 LEVELS = 4
@@ -41,7 +41,9 @@ SKETCH_BITS = 2048
 #: Members of a signature's group that one key of the second round holds.
 BLOCK = 4096
 #: Orders by which a group's centre is chosen, so that a set meets different centres.
-CENTRES = np.array([0, 0x6A09E667F3BCC908, 0x3B67AE8584CAA73B, 0x3C6EF372FE94F82B], np.uint64)
+CENTRES = mixed(np.arange(16))
+#: Bytes of text that are taken up at a time: what is held of them fits a processor's cache.
+TAKE = 600_000
 
 
 @dataclass(frozen=True)
@@ -74,14 +76,12 @@ class Similarity:
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
 
-def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
-    """The distinct shingles of each text as sorted 64-bit hashes.
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """The distinct shingles of each text (UTF-8) as sorted 64-bit hashes.
 
     Shingles are ``n`` consecutive words; a text of fewer words is one shingle, one without words none.
     """
-    split = [ascii_space_words(t) for t in texts]
-    counts = [len(ws) for ws in split]
-    hashes = word_hashes().take([w for ws in split for w in ws])
+    hashes, counts = hashed_words(texts)
     total = len(hashes) - n + 1
     if total > 0:
         rolled = np.full(total, 0x9E3779B97F4A7C15 + n, np.uint64)
@@ -91,9 +91,10 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
             rolled ^= rolled >> np.uint64(29)
         rolled = mixed(rolled)
     out, at = [], 0
-    for count in counts:
+    for count in counts.tolist():
         if count >= n:
-            out.append(np.unique(rolled[at : at + count - n + 1]))
+            own = np.sort(rolled[at : at + count - n + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif count:
             one = np.uint64(0x51ED270B35A4C8E7 + count)
             for h in hashes[at : at + count]:
@@ -172,7 +173,7 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.where(at >= 0, order[np.maximum(at, 0)], last_first if last_first is not None else 0)
         keep = ~new & ~same & (order != first)
         if keep.any():
-            undo = CENTRES[(sig[keep].view(np.uint64) & np.uint64(3)).astype(np.int64)].view(np.int64)
+            undo = CENTRES[(sig[keep].view(np.uint64) & np.uint64(15)).astype(np.int64)].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(first[keep] ^ undo), pa.array(order[keep] ^ undo)], ["sig", "centre", "node"])
         last_sig, last_order, last_first = sig[-1], order[-1], first[-1]
 
@@ -184,7 +185,7 @@ def _nodes(docs: DataFrame, like: Similarity) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, TAKE):
                 sets = shingle_sets(texts[a:b], like.words)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(list(map(len, sets)), pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"]
@@ -200,7 +201,7 @@ def _signed(docs: DataFrame, like: Similarity) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, TAKE):
                 own: dict[int, np.ndarray] = {}
                 for s in shingle_sets(texts[a:b], like.words):
                     if len(s) and (node := set_hash(s)) not in seen:
@@ -209,7 +210,7 @@ def _signed(docs: DataFrame, like: Similarity) -> DataFrame:
                 if own:
                     which, sig = signatures(list(own.values()), like)
                     node = np.fromiter(own, np.int64, len(own))[which]
-                    order = node ^ CENTRES[(sig & np.uint64(3)).astype(np.int64)].view(np.int64)
+                    order = node ^ CENTRES[(sig & np.uint64(15)).astype(np.int64)].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(order)], ["sig", "order"])
 
     return docs.mapInArrow(rows, "sig long, order long")
@@ -221,7 +222,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, like: Similarity) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, TAKE):
                 sets = [s for s, node in zip(shingle_sets(texts[a:b], like.words), nodes[a:b], strict=True) if set_hash(s) == node]
                 if sets:
                     yield pa.RecordBatch.from_arrays(
@@ -261,32 +262,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
     return sides(close, "shingles").mapInArrow(equal, "a long, b long")
 
 
-def _across(groups: DataFrame, roots: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs (a, b) across components within the groups (sig, centre, node), cut down by the sketches' bound."""
+def _across(groups: DataFrame, roots: DataFrame, sets: DataFrame, failed: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs (a, b) that may join components within the groups (sig, centre, node).
+
+    Within a group, members of different components that the sketches' bound lets pass are taken to be
+    linked, so that each further component is reached by one pair only, the closest. If all pairs that
+    this returns hold, no link across components is left; those that do not hold are given as ``failed``
+    to the next call, which looks for others.
+    """
     members = groups.select("sig", "node").union(groups.select("sig", F.col("centre").alias("node")).distinct())
     members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high").select("sig", "members")
-    open_ = members.join(split, "sig").join(sets.select("node", "n", "sketch"), "node")
+    barred = failed.select(F.col("a").alias("node"), F.col("b").alias("other")).union(failed.select("b", "a")).groupBy("node").agg(F.collect_set("other").alias("barred"))
+    open_ = members.join(split, "sig").join(sets.select("node", "n", "sketch"), "node").join(barred, "node", "left")
     open_ = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = open_.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "node", "n", "sketch")
+    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "node", "n", "sketch", "barred")
     ordered = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")
 
     def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(held).combine_chunks()
-        i, j, block, root, node, n = (group.column(k).to_numpy() for k in ("i", "j", "block", "root", "node", "n"))
+        i, j, block, root, node, n = (group.column(k).to_numpy().copy() for k in ("i", "j", "block", "root", "node", "n"))
         bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        not_these = group.column("barred").to_pylist()
+        found: list[tuple[int, int]] = []
         for k in range(len(node) - 1):
             rest = np.arange(k + 1, len(node))
             rest = rest[root[rest] != root[k]]
             if i[k] != j[k]:
                 rest = rest[block[rest] != block[k]]
             rest = rest[like.linked(np.minimum(n[rest], n[k]), n[rest], n[k])]
+            if not_these[k] and len(rest):
+                rest = rest[~np.isin(node[rest], not_these[k])]
             if len(rest):
                 apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
-                rest = rest[apart <= like.most_different(n[rest], n[k])]
-            if len(rest):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[rest], node[k])), pa.array(np.maximum(node[rest], node[k]))], ["a", "b"])
+                near = apart <= like.most_different(n[rest], n[k])
+                rest, apart = rest[near], apart[near]
+                for r in rest[np.argsort(apart, kind="stable")].tolist():
+                    if root[r] != root[k]:
+                        found.append((min(int(node[r]), int(node[k])), max(int(node[r]), int(node[k]))))
+                        root[root == root[r]] = root[k]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -317,7 +334,7 @@ def ngram_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFr
     doc_id are judged each by its own text. Empty tables give no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", text_of().alias("text"))
+    docs = docs.select("doc_id", text_of().cast("binary").alias("text"))
     nodes, _ = write_shared(_nodes(docs, like), "ngram-nodes")
     signed = _signed(docs, like).repartition("sig").sortWithinPartitions("sig", "order")
     groups, groups_path = write_shared(signed.mapInArrow(_starred, "sig long, centre long, node long"), "ngram-groups")
@@ -327,10 +344,19 @@ def ngram_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFr
     sets, sets_path = write_shared(_sets(docs, wanted, like), "ngram-sets")
     links, links_path = write_shared(_verified(first, sets, like), "ngram-links")
     roots = connected_components(links)
-    more, more_path = write_shared(_verified(_across(groups, roots, sets, like), sets, like), "ngram-links")
-    if not more.isEmpty():
-        roots = connected_components(links.union(more))
-    drop_shared(spark, groups_path, sets_path, links_path, more_path)
+    paths, failed = [links_path], links.limit(0)
+    while True:
+        tried, tried_path = write_shared(_across(groups, roots, sets, failed, like), "ngram-tried")
+        paths.append(tried_path)
+        if tried.isEmpty():
+            break
+        more, more_path = write_shared(_verified(tried, sets, like), "ngram-links")
+        paths.append(more_path)
+        links, failed = links.union(more), failed.union(tried.exceptAll(more))
+        roots = connected_components(links)
+        if more.count() == tried.count():
+            break
+    drop_shared(spark, groups_path, sets_path, *paths)
     least = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
