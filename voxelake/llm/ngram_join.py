@@ -36,8 +36,8 @@ from .common import chunks, drop_shared, hashed_words, mixed, table, text_of, wr
 from .components import connected_components
 
 LEVELS = 4
-#: Bits of the sketch that bounds the difference of two sets from below.
-SKETCH_BITS = 2048
+#: A set's sketch has so many bits for each shingle in which a linked set of its size may differ, within these limits.
+SKETCH_SHARE, SKETCH_LEAST, SKETCH_MOST = 8, 256, 1 << 16
 #: Members of a signature's group that one key of the second round holds.
 BLOCK = 4096
 #: Orders by which a group's centre is chosen, so that a set meets different centres.
@@ -150,10 +150,20 @@ def signatures(sets: list[np.ndarray], like: Similarity) -> tuple[np.ndarray, np
     return np.concatenate(found_set), np.concatenate(found)
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of ``SKETCH_BITS`` counts: the sketches of two sets differ in no more bits than the sets in shingles."""
-    bits = np.bincount((shingles >> np.uint64(7)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+def sketch(shingles: np.ndarray, like: Similarity) -> bytes:
+    """Parities of counts: the sketches of two sets differ in no more bits than the sets in shingles."""
+    bits = SKETCH_SHARE * int(like.most_different(len(shingles), len(shingles)))
+    bits = max(SKETCH_LEAST, min(SKETCH_MOST, 1 << max(1, bits - 1).bit_length()))
+    parity = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def unpacked(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit numbers, all folded to the length of the shortest, which keeps the bound."""
+    least = min(map(len, sketches))
+    if least < max(map(len, sketches)):
+        sketches = [x if len(x) == least else np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, least), 0).tobytes() for x in sketches]
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
 
 
 def _sorted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -162,19 +172,30 @@ def _sorted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndar
 
 
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (sig, order): every further member of a group with the group's first."""
+    """From rows sorted by (sig, order): the members of every group of two or more, each with the group's first.
+
+    The first itself comes as a member too, along with the second.
+    """
     last_sig = last_order = last_first = None
+    open_ = False  # whether the last group's first was given
     for sig, order in _sorted_batches(batches):
         if not len(sig):
             continue
         new = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
         same = np.concatenate([[not new[0] and order[0] == last_order], (order[1:] == order[:-1]) & ~new[1:]])
+        group = np.cumsum(new)  # 0: goes on from the batch before
         at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
         first = np.where(at >= 0, order[np.maximum(at, 0)], last_first if last_first is not None else 0)
-        keep = ~new & ~same & (order != first)
-        if keep.any():
-            undo = CENTRES[(sig[keep].view(np.uint64) & np.uint64(15)).astype(np.int64)].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(first[keep] ^ undo), pa.array(order[keep] ^ undo)], ["sig", "centre", "node"])
+        keep = np.flatnonzero(~new & ~same & (order != first))
+        second = keep[np.concatenate([[True], group[keep][1:] != group[keep][:-1]])] if len(keep) else keep
+        if open_:
+            second = second[group[second] > 0]
+        if len(keep):
+            rows = np.concatenate([second, keep])
+            undo = CENTRES[(sig[rows].view(np.uint64) & np.uint64(15)).astype(np.int64)].view(np.int64)
+            node = np.concatenate([first[second], order[keep]])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), pa.array(first[rows] ^ undo), pa.array(node ^ undo)], ["sig", "centre", "node"])
+        open_ = bool(len(keep) and group[keep[-1]] == group[-1]) or (open_ and group[-1] == 0)
         last_sig, last_order, last_first = sig[-1], order[-1], first[-1]
 
 
@@ -226,7 +247,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, like: Similarity) -> DataFrame:
                 sets = [s for s, node in zip(shingle_sets(texts[a:b], like.words), nodes[a:b], strict=True) if set_hash(s) == node]
                 if sets:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([set_hash(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
+                        [pa.array([set_hash(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([sketch(s, like) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
                         ["node", "n", "sketch", "shingles"],
                     )
 
@@ -248,8 +269,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
             if not len(batch):
                 continue
             na, nb = (batch.column(k).to_numpy() for k in (2, 3))
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (4, 5))
-            apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+            a, b = (batch.column(k).to_pylist() for k in (4, 5))
+            length = np.fromiter((min(len(x), len(y)) for x, y in zip(a, b, strict=True)), np.int64, len(batch))
+            apart = np.empty(len(batch), np.int64)
+            for n in np.unique(length).tolist():
+                at = np.flatnonzero(length == n)
+                both = unpacked([a[k] for k in at.tolist()] + [b[k] for k in at.tolist()])
+                apart[at] = np.bitwise_count(both[: len(at)] ^ both[len(at) :]).sum(1, dtype=np.int64)
             yield batch.select(["a", "b"]).filter(pa.array((apart <= like.most_different(na, nb)) & like.linked(np.minimum(na, nb), na, nb)))
 
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,16 +289,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
 
 
 def _across(groups: DataFrame, roots: DataFrame, sets: DataFrame, failed: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs (a, b) that may join components within the groups (sig, centre, node).
+    """Pairs (sig, a, b) that may join components within the groups (sig, centre, node).
 
     Within a group, members of different components that the sketches' bound lets pass are taken to be
     linked, so that each further component is reached by one pair only, the closest. If all pairs that
-    this returns hold, no link across components is left; those that do not hold are given as ``failed``
-    to the next call, which looks for others.
+    this returns for a group hold, no link across its components is left; those that do not hold are
+    given as ``failed`` to the next call, which looks for others in their groups.
     """
-    members = groups.select("sig", "node").union(groups.select("sig", F.col("centre").alias("node")).distinct())
-    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high").select("sig", "members")
+    members = groups.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
+    # of a group of two, the only pair has been verified
+    split = split.filter("low <> high AND members > 2").select("sig", "members")
     barred = failed.select(F.col("a").alias("node"), F.col("b").alias("other")).union(failed.select("b", "a")).groupBy("node").agg(F.collect_set("other").alias("barred"))
     open_ = members.join(split, "sig").join(sets.select("node", "n", "sketch"), "node").join(barred, "node", "left")
     open_ = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
@@ -283,7 +310,7 @@ def _across(groups: DataFrame, roots: DataFrame, sets: DataFrame, failed: DataFr
     def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(held).combine_chunks()
         i, j, block, root, node, n = (group.column(k).to_numpy().copy() for k in ("i", "j", "block", "root", "node", "n"))
-        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        bits = unpacked(group.column("sketch").to_pylist())
         not_these = group.column("barred").to_pylist()
         found: list[tuple[int, int]] = []
         for k in range(len(node) - 1):
@@ -303,7 +330,8 @@ def _across(groups: DataFrame, roots: DataFrame, sets: DataFrame, failed: DataFr
                         found.append((min(int(node[r]), int(node[k])), max(int(node[r]), int(node[k]))))
                         root[root == root[r]] = root[k]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+            sig = np.full(len(found), group.column("sig")[0].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(sig), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], ["sig", "a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -322,7 +350,7 @@ def _across(groups: DataFrame, roots: DataFrame, sets: DataFrame, failed: DataFr
         if held:
             yield from pairs(held)
 
-    return ordered.mapInArrow(rows, "a long, b long").distinct()
+    return ordered.mapInArrow(rows, "sig long, a long, b long")
 
 
 def ngram_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
@@ -338,25 +366,31 @@ def ngram_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFr
     nodes, _ = write_shared(_nodes(docs, like), "ngram-nodes")
     signed = _signed(docs, like).repartition("sig").sortWithinPartitions("sig", "order")
     groups, groups_path = write_shared(signed.mapInArrow(_starred, "sig long, centre long, node long"), "ngram-groups")
-    first = groups.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    members = groups.select("node").union(groups.select("centre")).distinct()
+    first = groups.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).filter("a <> b").distinct()
+    members = groups.select("node").distinct()
     wanted = nodes.join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "node")
     sets, sets_path = write_shared(_sets(docs, wanted, like), "ngram-sets")
     links, links_path = write_shared(_verified(first, sets, like), "ngram-links")
     roots = connected_components(links)
-    paths, failed = [links_path], links.limit(0)
+    paths, failed, open_ = [groups_path, sets_path, links_path], links.limit(0), groups
     while True:
-        tried, tried_path = write_shared(_across(groups, roots, sets, failed, like), "ngram-tried")
+        tried, tried_path = write_shared(_across(open_, roots, sets, failed, like), "ngram-tried")
         paths.append(tried_path)
+        pairs = tried.select("a", "b").distinct()
         if tried.isEmpty():
             break
-        more, more_path = write_shared(_verified(tried, sets, like), "ngram-links")
+        more, more_path = write_shared(_verified(pairs, sets, like), "ngram-links")
         paths.append(more_path)
-        links, failed = links.union(more), failed.union(tried.exceptAll(more))
+        links = links.union(more)
         roots = connected_components(links)
-        if more.count() == tried.count():
+        wrong, wrong_path = write_shared(pairs.join(more, ["a", "b"], "left_anti"), "ngram-wrong")
+        paths.append(wrong_path)
+        if wrong.isEmpty():
             break
-    drop_shared(spark, groups_path, sets_path, *paths)
+        failed = failed.union(wrong)
+        again = tried.join(wrong, ["a", "b"], "left_semi").select("sig").distinct()
+        open_ = groups.join(again, "sig", "left_semi")
+    drop_shared(spark, *paths)
     least = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
