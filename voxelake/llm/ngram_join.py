@@ -37,7 +37,7 @@ from .components import connected_components
 
 LEVELS = 4
 #: A set's sketch has so many bits for each shingle in which a linked set of its size may differ, within these limits.
-SKETCH_SHARE, SKETCH_LEAST, SKETCH_MOST = 8, 256, 1 << 16
+SKETCH_SHARE, SKETCH_LEAST, SKETCH_MOST = 32, 256, 1 << 16
 #: Members of a signature's group that one key of the second round holds.
 BLOCK = 4096
 #: Orders by which a group's centre is chosen, so that a set meets different centres.
@@ -288,30 +288,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
     return sides(close, "shingles").mapInArrow(equal, "a long, b long")
 
 
-def _across(groups: DataFrame, roots: DataFrame, sets: DataFrame, failed: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs (sig, a, b) that may join components within the groups (sig, centre, node).
+def _across(groups: DataFrame, roots: DataFrame, sets: DataFrame, like: Similarity, exact: bool) -> DataFrame:
+    """Pairs (sig, a, b) that join components within the groups (sig, centre, node).
 
     Within a group, members of different components that the sketches' bound lets pass are taken to be
     linked, so that each further component is reached by one pair only, the closest. If all pairs that
-    this returns for a group hold, no link across its components is left; those that do not hold are
-    given as ``failed`` to the next call, which looks for others in their groups.
+    this returns for a group hold, no link across its components is left. With ``exact`` the whole sets
+    decide at once, and all pairs do hold.
     """
     members = groups.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
     # of a group of two, the only pair has been verified
     split = split.filter("low <> high AND members > 2").select("sig", "members")
-    barred = failed.select(F.col("a").alias("node"), F.col("b").alias("other")).union(failed.select("b", "a")).groupBy("node").agg(F.collect_set("other").alias("barred"))
-    open_ = members.join(split, "sig").join(sets.select("node", "n", "sketch"), "node").join(barred, "node", "left")
+    open_ = members.join(split, "sig").join(sets.select("node", "n", "sketch", "shingles") if exact else sets.select("node", "n", "sketch"), "node")
     open_ = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = open_.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "node", "n", "sketch", "barred")
+    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "node", "n", "sketch", *["shingles"] * exact)
     ordered = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")
 
     def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(held).combine_chunks()
         i, j, block, root, node, n = (group.column(k).to_numpy().copy() for k in ("i", "j", "block", "root", "node", "n"))
         bits = unpacked(group.column("sketch").to_pylist())
-        not_these = group.column("barred").to_pylist()
+        whole = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()] if exact else None
         found: list[tuple[int, int]] = []
         for k in range(len(node) - 1):
             rest = np.arange(k + 1, len(node))
@@ -319,16 +318,15 @@ def _across(groups: DataFrame, roots: DataFrame, sets: DataFrame, failed: DataFr
             if i[k] != j[k]:
                 rest = rest[block[rest] != block[k]]
             rest = rest[like.linked(np.minimum(n[rest], n[k]), n[rest], n[k])]
-            if not_these[k] and len(rest):
-                rest = rest[~np.isin(node[rest], not_these[k])]
             if len(rest):
                 apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
                 near = apart <= like.most_different(n[rest], n[k])
                 rest, apart = rest[near], apart[near]
                 for r in rest[np.argsort(apart, kind="stable")].tolist():
-                    if root[r] != root[k]:
-                        found.append((min(int(node[r]), int(node[k])), max(int(node[r]), int(node[k]))))
-                        root[root == root[r]] = root[k]
+                    if root[r] == root[k] or exact and not like.linked(len(np.intersect1d(whole[k], whole[r], assume_unique=True)), n[k], n[r]):
+                        continue
+                    found.append((min(int(node[r]), int(node[k])), max(int(node[r]), int(node[k]))))
+                    root[root == root[r]] = root[k]
         if found:
             sig = np.full(len(found), group.column("sig")[0].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(sig), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], ["sig", "a", "b"])
@@ -372,24 +370,20 @@ def ngram_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFr
     sets, sets_path = write_shared(_sets(docs, wanted, like), "ngram-sets")
     links, links_path = write_shared(_verified(first, sets, like), "ngram-links")
     roots = connected_components(links)
-    paths, failed, open_ = [groups_path, sets_path, links_path], links.limit(0), groups
-    while True:
-        tried, tried_path = write_shared(_across(open_, roots, sets, failed, like), "ngram-tried")
-        paths.append(tried_path)
+    paths = [groups_path, sets_path, links_path]
+    tried, tried_path = write_shared(_across(groups, roots, sets, like, False), "ngram-tried")
+    paths.append(tried_path)
+    if not tried.isEmpty():
         pairs = tried.select("a", "b").distinct()
-        if tried.isEmpty():
-            break
         more, more_path = write_shared(_verified(pairs, sets, like), "ngram-links")
-        paths.append(more_path)
+        wrong, wrong_path = write_shared(tried.join(pairs.join(more, ["a", "b"], "left_anti"), ["a", "b"], "left_semi").select("sig").distinct(), "ngram-wrong")
+        paths += [more_path, wrong_path]
         links = links.union(more)
         roots = connected_components(links)
-        wrong, wrong_path = write_shared(pairs.join(more, ["a", "b"], "left_anti"), "ngram-wrong")
-        paths.append(wrong_path)
-        if wrong.isEmpty():
-            break
-        failed = failed.union(wrong)
-        again = tried.join(wrong, ["a", "b"], "left_semi").select("sig").distinct()
-        open_ = groups.join(again, "sig", "left_semi")
+        if not wrong.isEmpty():
+            rest, rest_path = write_shared(_across(groups.join(wrong, "sig", "left_semi"), roots, sets, like, True), "ngram-links")
+            paths.append(rest_path)
+            roots = connected_components(links.union(rest.select("a", "b").distinct()))
     drop_shared(spark, *paths)
     least = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
