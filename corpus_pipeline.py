@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelake.llm import exact_dedup, quality
+from voxelake.llm import decontamination, exact_dedup, ngram_join, quality, sentencepiece_codec
 from voxelake.llm.common import table, write_shared
 
 
@@ -22,9 +22,27 @@ def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.kept_rows(docs)
 
 
+def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies (shingles of five words, similarity 0.8 or more): that of the smallest id."""
+    return ngram_join.representatives(docs)
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item."""
+    return decontamination.clean_rows(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with their number, checksum and whether they decode to the text."""
+    return sentencepiece_codec.encode(docs)
+
+
 STAGES = [
     ("quality", quality_filter),
     ("exact_dedup", exact_filter),
+    ("ngram_join", near_filter),
+    ("decontamination", benchmark_filter),
+    ("sentencepiece", encode_ids),
 ]
 
 #: No stage's decisions can be said in SQL; tests hold them against brute-force versions.

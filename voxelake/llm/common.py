@@ -57,6 +57,21 @@ def drop_shared(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Ids that are broadcast at most; with more, the other side is shuffled as well.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not among ``ids`` (doc_id), with their columns.
+
+    The ids are written and counted first: at most ``BROADCAST_IDS`` of them are broadcast.
+    """
+    gone, _ = write_shared(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def chunks(texts: Iterable[str | bytes], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` characters together, at least one text each."""
     start = size = 0

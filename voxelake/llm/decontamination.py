@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_ALPHANUMERIC, chunks, hashed_words, table, text_of
+from .common import NOT_ALPHANUMERIC, chunks, hashed_words, table, text_of, without
 
 #: Masks over a window of words: 1 is compared, 0 ignored. Wherever two of thirteen words in a row are
 #: replaced, some window under some mask is left whole (a test tries all places).
@@ -184,8 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that overlap with no item, with their columns."""
-    hit = decontaminate(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, decontaminate(docs, benchmark))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, write_shared
+from .common import table, text_of, without, write_shared
 
 #: Runs of these become one space before texts are compared.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -61,7 +61,7 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Col
 
 def kept_rows(docs: DataFrame, salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: the one of the smallest id in each group."""
-    return docs.join(exact_dedup(docs, salts).filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return without(docs, exact_dedup(docs, salts).filter("NOT kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

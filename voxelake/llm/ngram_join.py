@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_shared, hashed_words, mixed, table, text_of, write_shared
+from .common import chunks, drop_shared, hashed_words, mixed, table, text_of, without, write_shared
 from .components import connected_components
 
 LEVELS = 4
@@ -393,8 +393,7 @@ def ngram_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFr
 
 def representatives(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     """The rows of ``docs``, with their columns, of the smallest doc_id of each component."""
-    stay = ngram_components(docs, like).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    return without(docs, ngram_components(docs, like).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
