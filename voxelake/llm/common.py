@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from typing import TypeVar
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Characters of text that a Python worker holds as separate words at a time.
 CHUNK_CHARS = 3_000_000
 #: Distinct words that a worker keeps before it starts its table anew.
-MAX_WORDS = 800_000
+MAX_WORDS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,10 +140,15 @@ class WordHashes:
         return self.values[at]
 
 
-@cache
-def word_hashes(seed: int = 0) -> WordHashes:
-    """One table for all tasks of a worker process."""
-    return WordHashes(seed)
+_HELD: dict[str, object] = {}
+
+
+def worker_table(key: str, make: Callable[[], T]) -> T:
+    """A table that all tasks of a worker process share. A worker holds one: asking for another lets go of it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Interner, table, text_of
+from .common import MAX_WORDS, Interner, table, text_of, worker_table
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -125,12 +125,6 @@ class CountedText:
         self.tokens.replace(first, last, self.count(units))
 
 
-@cache
-def unit_counter(path: str) -> UnitCounter:
-    """One table for all tasks of a worker process."""
-    return UnitCounter(path)
-
-
 EDITS = "array<struct<start:bigint,n_deleted:bigint,inserted:string>>"
 
 
@@ -153,7 +147,7 @@ def count_edited(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> D
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = unit_counter(path)
+        count = worker_table(f"units {path}", lambda: UnitCounter(path))
         for batch in batches:
             got = []
             for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

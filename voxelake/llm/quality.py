@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Interner, chunks, table, text_of, word_hashes
+from .common import MAX_WORDS, Interner, WordHashes, chunks, table, text_of, worker_table
 
 #: Hash buckets for words; the dense statistics come after them.
 BUCKETS = 1 << 15
@@ -39,7 +38,7 @@ class Features:
     """Turns texts into sparse rows: word buckets with values, and dense statistics."""
 
     def __init__(self) -> None:
-        self.hashes = word_hashes()
+        self.hashes = WordHashes()
         self._reset()
 
     def _reset(self) -> None:
@@ -95,12 +94,6 @@ class Features:
         return at, bucket, value, dense
 
 
-@cache
-def features() -> Features:
-    """One table for all tasks of a worker process."""
-    return Features()
-
-
 @dataclass
 class FactorisationMachine:
     """Weights for word buckets and statistics; ``score`` in linear time."""
@@ -186,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = features()
+        make = worker_table("features", Features)
         for batch in batches:
             ids, quality, texts_ = batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), batch.column("text").to_pylist()
             for a, b in chunks(texts_):
@@ -221,7 +214,7 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((model.bias, model.w.astype(np.float32), model.v.astype(np.float32), model.mean, model.sd))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, own = features(), FactorisationMachine(*held.value)
+        make, own = worker_table("features", Features), FactorisationMachine(*held.value)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in chunks(texts):
@@ -237,7 +230,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     names, at = docs.columns, docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, own = features(), FactorisationMachine(*shared.value)
+        make, own = worker_table("features", Features), FactorisationMachine(*shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in chunks(texts):

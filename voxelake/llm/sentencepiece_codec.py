@@ -30,14 +30,14 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Interner, chunks, flat_ranges, segments, table, text_of
+from .common import MAX_WORDS, Interner, chunks, flat_ranges, segments, table, text_of, worker_table
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of distinct units that are indexed at a time.
-INDEX_CHARS = 400_000
+INDEX_CHARS = 250_000
 _UNITS = re.compile(" +[^ ]*")
 
 
@@ -358,12 +358,6 @@ class Decoder:
         return text[1:] if text.startswith(" ") else text
 
 
-@cache
-def encoder_of(path: str) -> Encoder:
-    """One table for all tasks of a worker process."""
-    return Encoder(path)
-
-
 def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/{MODEL}", with_ids: bool = True) -> DataFrame:
     """Ids of every row of ``docs`` (doc_id, text).
 
@@ -376,7 +370,7 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/{MODEL}", with_ids: bool
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = encoder_of(path), Decoder(path)
+        encoder, decoder = worker_table(f"pieces {path}", lambda: Encoder(path)), Decoder(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import MAX_WORDS, Interner, chunks, flat_ranges, segments, table, text_of, write_shared
+from .common import MAX_WORDS, Interner, chunks, flat_ranges, segments, table, text_of, worker_table, write_shared
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -378,12 +378,6 @@ class WordTokens:
         return np.split(flat, ends[:-1]) if len(texts) else []
 
 
-@cache
-def word_tokens(path: str) -> WordTokens:
-    """One table for all tasks of a worker process."""
-    return WordTokens(path)
-
-
 def write_tokens(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", end_id: int = END_ID, partitions: int | None = None) -> tuple[DataFrame, str]:
     """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; the written table and its path.
 
@@ -394,7 +388,7 @@ def write_tokens(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", end_
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_tokens(path)
+        words = worker_table(f"tokens {path}", lambda: WordTokens(path))
         file_no, n_before = None, 0
         held: list[np.ndarray] = []
         owners: list = []
