@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,7 +19,7 @@ T = TypeVar("T")
 #: Characters of text that a Python worker holds as separate words at a time.
 CHUNK_CHARS = 3_000_000
 #: Distinct words that a worker keeps before it starts its table anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +43,39 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows and bytes that go to a Python worker at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
 def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and return it as read from there, with its path.
 
     This cuts the lineage: later stages survive the loss of any executor.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    # what was shuffled for the table is of no use once it is written
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Have rows go to Python workers in batches of at most ``BATCH_ROWS`` and about ``BATCH_BYTES``.
+
+    Settings of the session that are smaller already stay.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(re.sub("[^0-9-]", "", spark.conf.get(key)))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+    return spark
 
 
 def drop_shared(spark: SparkSession, *paths: str) -> None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_ALPHANUMERIC, chunks, hashed_words, table, text_of, without
+from .common import NOT_ALPHANUMERIC, bounded_batches, chunks, hashed_words, table, text_of, without
 
 #: Masks over a window of words: 1 is compared, 0 ignored. Wherever two of thirteen words in a row are
 #: replaced, some window under some mask is left whole (a test tries all places).
@@ -144,7 +144,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     Null texts count as empty and overlap with nothing; items without words match nothing; repeated
     rows are judged each; empty tables give no rows; other columns are not read.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     sized = benchmark.select("item_id", text_of().alias("text"))
     words = sized.select(F.sum(F.char_length("text") / 2 + 1)).first()[0] or 0
     parts = max(1, int(-(-words // part_words)))

@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Interner, table, text_of, worker_table
+from .common import MAX_WORDS, Interner, bounded_batches, table, text_of, worker_table
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -160,6 +160,7 @@ def count_edited(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> D
             columns = list(zip(*got, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_tokens_before", "n_tokens", "n_units", "n_reencoded", "n_chars"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_of().alias("text"), F.col("edits").cast(EDITS).alias("edits")).mapInArrow(rows, f"doc_id {kind}, n_tokens_before long, n_tokens long, n_units long, n_reencoded long, n_chars long")
 

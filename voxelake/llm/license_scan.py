@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 #: The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -168,6 +168,7 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, chars_
             columns = [pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), SCHEMA, strict=True)] if got else [pa.array([], f.type) for f in SCHEMA]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *SCHEMA.names])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(
         rows, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_notices long, spans string"

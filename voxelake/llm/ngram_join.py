@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_shared, hashed_words, mixed, table, text_of, without, write_shared
+from .common import bounded_batches, chunks, drop_shared, hashed_words, mixed, table, text_of, without, write_shared
 from .components import connected_components
 
 LEVELS = 4
@@ -359,7 +359,7 @@ def ngram_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFr
     sets link. Null doc_ids never are a component's id unless it has no other. Rows that repeat a
     doc_id are judged each by its own text. Empty tables give no rows; other columns are not read.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", text_of().cast("binary").alias("text"))
     nodes, _ = write_shared(_nodes(docs, like), "ngram-nodes")
     signed = _signed(docs, like).repartition("sig").sortWithinPartitions("sig", "order")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Interner, WordHashes, chunks, table, text_of, worker_table
+from .common import MAX_WORDS, Interner, WordHashes, bounded_batches, chunks, table, text_of, worker_table
 
 #: Hash buckets for words; the dense statistics come after them.
 BUCKETS = 1 << 15
@@ -174,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     Null ids, labels and texts: rows without id or label are left out, a null text counts as empty.
     A doc_id that repeats in ``labels`` counts once. Without any row the model scores 0.5.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -211,7 +212,7 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
     Repeated rows are scored each; an empty table gives no rows; other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.bias, model.w.astype(np.float32), model.v.astype(np.float32), model.mean, model.sd))
+    held = bounded_batches(docs.sparkSession).sparkContext.broadcast((model.bias, model.w.astype(np.float32), model.v.astype(np.float32), model.mean, model.sd))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, own = worker_table("features", Features), FactorisationMachine(*held.value)

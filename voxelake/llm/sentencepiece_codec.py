@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Interner, chunks, flat_ranges, segments, table, text_of, worker_table
+from .common import MAX_WORDS, Interner, bounded_batches, chunks, flat_ranges, segments, table, text_of, worker_table
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -387,6 +387,7 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/{MODEL}", with_ids: bool
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
                 yield pa.RecordBatch.from_pydict(columns)
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(rows, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_shared, flat_ranges, mixed, table, text_of, write_shared
+from .common import bounded_batches, chunks, drop_shared, flat_ranges, mixed, table, text_of, write_shared
 
 LENGTH = 200
 GRAM = 32
@@ -299,7 +299,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_t
     A null text counts as empty. Rows that repeat, with a doc_id or without, are documents of their
     own. An empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     # a number for every row, so that repeated and null ids do no harm; kept in the shared folder since it isn't stable
     numbered, numbered_path = write_shared(docs.select("doc_id", text_of().cast("binary").alias("data")).withColumn("row_id", F.monotonically_increasing_id()), "suffix-docs")

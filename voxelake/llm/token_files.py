@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import MAX_WORDS, Interner, chunks, flat_ranges, segments, table, text_of, worker_table, write_shared
+from .common import MAX_WORDS, Interner, bounded_batches, chunks, flat_ranges, segments, table, text_of, worker_table, write_shared
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -384,6 +384,7 @@ def write_tokens(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", end_
     The table has file_no (in order of doc_id), n_before (ids of the file's segments before this one),
     n_ids, doc_ids and data, the bytes of a segment. It lies in the shared folder.
     """
+    bounded_batches(docs.sparkSession)
     n = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
