@@ -34,7 +34,7 @@ GRAM = 32
 #: A difference cover modulo 31: every difference is that of two of its members (a fixed value).
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Bytes of contexts that one block holds; a bucket is split over blocks only if it is larger.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 #: Bytes of text that are taken up at a time.
 TAKE = 600_000
 _FACTOR = 0x9E3779B97F4A7C55
@@ -122,17 +122,17 @@ def _difference_table() -> np.ndarray:
 OFFSETS = _difference_table()
 
 
-def _packed(data: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
-    """The ``size`` bytes from each place as big-endian 64-bit keys, first key first."""
-    out = []
-    for first in range(0, size, 8):
-        key = np.zeros(len(at), np.uint64)
-        for k in range(first, first + 8):
-            key <<= np.uint64(8)
-            if k < size:
-                key |= data[at + k]
-        out.append(key)
-    return out
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one big-endian number, zeros after the end."""
+    key = np.concatenate([data, np.zeros(2 * PERIOD + 16, np.uint8)]).astype(np.uint64)
+    for width in (1, 2, 4):
+        key = (key[:-width] << np.uint64(8 * width)) | key[width:]
+    return key
+
+
+def _packed(eights: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The ``PERIOD`` bytes from each place as four keys, first key first."""
+    return [eights[at], eights[at + 8], eights[at + 16], eights[at + 24] >> np.uint64(8)]
 
 
 def _named(keys: list[np.ndarray]) -> np.ndarray:
@@ -150,14 +150,12 @@ def _named(keys: list[np.ndarray]) -> np.ndarray:
 class CoverRanks:
     """Ranks of the suffixes of a text that start at places of the difference cover."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        n = len(data)
-        padded = np.concatenate([data, np.zeros(2 * PERIOD + 8, np.uint8)]).astype(np.uint64)
+    def __init__(self, eights: np.ndarray, n: int) -> None:
         inside = np.zeros(PERIOD, bool)
         inside[list(COVER)] = True
         sample = np.flatnonzero(inside[np.arange(n) % PERIOD])
         self.rank = np.full(n + 2 * PERIOD, -1, np.int64)
-        self.rank[sample] = _named(_packed(padded, sample, PERIOD))
+        self.rank[sample] = _named(_packed(eights, sample))
         known = PERIOD
         # a sample place and the one ``known`` bytes on (of the same residue) together give twice the depth
         while known < n and len(sample) and self.rank[sample].max() + 1 < len(sample):
@@ -170,18 +168,18 @@ def suffix_order(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
     One bucket (of suffixes that begin with the same byte) is sorted at a time.
     """
-    padded = np.concatenate([data, np.zeros(2 * PERIOD + 8, np.uint8)]).astype(np.uint64)
-    ranks = CoverRanks(data)
+    eights = _eights(data)
+    ranks = CoverRanks(eights, len(data))
     lead = data[at]
     by_bucket = at[np.argsort(lead, kind="stable")]
     bounds = np.append(np.flatnonzero(np.diff(np.sort(lead).astype(np.int64), prepend=-1)), len(at))
-    return np.concatenate([np.empty(0, np.int64), *(_sort_bucket(padded, ranks, by_bucket[a:b]) for a, b in zip(bounds, bounds[1:], strict=False))])
+    return np.concatenate([np.empty(0, np.int64), *(_sort_bucket(eights, ranks, by_bucket[a:b]) for a, b in zip(bounds, bounds[1:], strict=False))])
 
 
-def _sort_bucket(padded: np.ndarray, ranks: CoverRanks, at: np.ndarray) -> np.ndarray:
+def _sort_bucket(eights: np.ndarray, ranks: CoverRanks, at: np.ndarray) -> np.ndarray:
     if len(at) < 2:
         return at
-    head = _named(_packed(padded, at, PERIOD))
+    head = _named(_packed(eights, at))
     at = at[np.argsort(head, kind="stable")]
     head = np.sort(head)
     # ties: merge ever longer runs within groups of one head, comparing by the sample's ranks
@@ -227,9 +225,9 @@ def repeated_windows(contexts: list[bytes], windows: np.ndarray, length: int = L
         name = (sums[order + length] - sums[order]) * inverse[order]
     same = name[1:] == name[:-1]
     check = np.flatnonzero(same)
-    for k in range(0, length, 8):  # and byte by byte
-        own = np.arange(k, min(k + 8, length))
-        same[check] &= (data[order[check][:, None] + own] == data[order[check + 1][:, None] + own]).all(1)
+    eights = _eights(data)
+    for k in [*range(0, length - 7, 8), length - 8]:  # and byte by byte
+        same[check] &= eights[order[check] + k] == eights[order[check + 1] + k]
     flag = np.zeros(len(data) + 1, bool)
     flag[order[1:][same]] = True
     flag[order[:-1][same]] = True
