@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import MAX_WORDS, Interner, bounded_batches, chunks, flat_ranges, segments, table, text_of, worker_table, write_shared
+from .common import Interner, bounded_batches, chunks, flat_ranges, segments, table, text_of, worker_table, write_shared
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "word_bpe_49k.json"
+#: Distinct words that a worker keeps before it starts its table anew.
+TABLE_WORDS = 800_000
 #: The id after each document.
 END_ID = 2
 MAGIC, VERSION = b"VXTK", 1
@@ -355,7 +357,7 @@ class WordTokens:
     def __call__(self, text: str) -> np.ndarray:
         found = []
         for part in segments(text.replace("\n", " ")):
-            if len(self.words) > MAX_WORDS:
+            if len(self.words) > TABLE_WORDS:
                 self._reset()
             at = self.words.take(part.split(" "))
             if self.words.fresh:
@@ -365,7 +367,7 @@ class WordTokens:
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of several texts, new words of all of them encoded together."""
-        if len(self.words) > MAX_WORDS:
+        if len(self.words) > TABLE_WORDS:
             self._reset()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
