@@ -20,6 +20,7 @@ counts, shares and order-0 frequencies are updated after every step, in coder an
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,15 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words that a worker keeps before it starts its table anew.
 TABLE_WORDS = 800_000
+#: Runs of letters that no normal form changes, and words of one run and at most one punctuation mark.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+PLAIN = re.compile(f"({LETTERS.pattern})([.,;:!?]?)")
+#: What the vocabulary's tokens at the end of a run of letters end with.
+WORD_END = "</w>"
+#: A character that is a token of its own, which no text without it holds.
+MARK = "\x01"
+#: Units that go to the library in one text.
+JOINED = 500
 #: The id after each document.
 END_ID = 2
 MAGIC, VERSION = b"VXTK", 1
@@ -61,16 +71,23 @@ ORDER0_STEPS = 16
 ORDER0_BITS = 22
 
 
+#: Counts that a prediction reaches at most, a power of two less 1; a candidate and its count share one integer.
+MOST = 15
+COUNT_BITS = MOST.bit_length()
+
+
 class Mixer:
-    """Predictions of order 0 to 2 for all lanes of a block, and their mixture."""
+    """Predictions of order 0 to 2 for all lanes of a block, and their mixture.
+
+    An id has a *kind*: 0 if the order-2 candidate holds, else 1 if the order-1 candidate does, else 2.
+    """
 
     def __init__(self, symbols: int, lanes: int) -> None:
-        self.symbols, self.lanes = symbols, lanes
-        self.candidate2, self.count2 = np.zeros(ORDER2, np.int32), np.zeros(ORDER2, np.int8)
-        self.candidate1, self.count1 = np.zeros(symbols, np.int32), np.zeros(symbols, np.int8)
-        # how often a prediction was tried and held, by (count of order 2, count of order 1, agreement)
-        self.tried = np.full(128, 2.0)
-        self.held2, self.held1 = np.full(128, 0.5), np.full(128, 0.5)
+        self.symbols = symbols
+        # candidate << COUNT_BITS | count
+        self.table2, self.table1 = np.zeros(ORDER2, np.int64), np.zeros(symbols, np.int64)
+        # how often each kind came, by (count of order 2, count of order 1, agreement)
+        self.seen = np.tile([0.5, 0.5, 1.0, 0.0], ((MOST + 1) ** 2 * 2, 1))
         self.frequency = np.zeros(symbols, np.int64)
         self.steps = 0
         self.before, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -84,43 +101,44 @@ class Mixer:
         self.borders = self.borders.astype(np.int32)
 
     def predict(self, lanes: int) -> None:
-        """Candidates and shares of the first ``lanes`` lanes."""
+        """Candidates of the first ``lanes`` lanes and the kinds' intervals."""
         b1, b2 = self.before[:lanes], self.before2[:lanes]
         self.slot = ((b1 * 40503) ^ (b2 * 2654435761 >> 7)) & (ORDER2 - 1)
-        self.guess2, self.guess1 = self.candidate2[self.slot], self.candidate1[b1]
-        c2, c1 = self.count2[self.slot], self.count1[b1]
-        self.context = (np.minimum(c2, 7).astype(np.int64) << 4) | (np.minimum(c1, 7).astype(np.int64) << 1) | (self.guess2 == self.guess1)
-        tried = self.tried
-        p2 = self.held2 / tried
-        p1 = self.held1 / tried
+        self.held2, self.held1 = self.table2.take(self.slot), self.table1.take(b1)
+        self.guess2, self.guess1 = self.held2 >> COUNT_BITS, self.held1 >> COUNT_BITS
+        self.count2, self.count1 = self.held2 & MOST, self.held1 & MOST
+        # four intervals for each context, the last one empty
+        self.row = ((((self.count2 << COUNT_BITS) | self.count1) << 1) | (self.guess2 == self.guess1)) << 2
         room = TOTAL - 4096
-        self.share2 = np.minimum((p2 * room).astype(np.int64), room - 64)
-        self.share1 = np.minimum((p1 * room).astype(np.int64), room - self.share2)
-        self.a2, self.a1 = self.share2[self.context] + 1, self.share1[self.context] + 1
-
-    def learn(self, ids: np.ndarray) -> None:
+        tried = self.seen.sum(1)
+        share2 = np.minimum((self.seen[:, 0] / tried * room).astype(np.int64), room - 64)
+        share1 = np.minimum((self.seen[:, 1] / tried * room).astype(np.int64), room - share2)
+        ends = np.stack([share2 + 1, share2 + share1 + 2, np.full(len(tried), TOTAL), np.full(len(tried), TOTAL)], 1)
+        self.ends = ends.ravel()
+        starts = np.zeros_like(ends)
+        starts[:, 1:] = ends[:, :-1]
+        self.starts, self.sizes = starts.ravel().astype(np.uint64), (ends - starts).ravel().astype(np.uint64)
+
+    def kinds(self, ids: np.ndarray) -> np.ndarray:
+        miss2 = ids != self.guess2
+        return miss2 + (miss2 & (ids != self.guess1)).astype(np.int64)
+
+    def intervals(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.row + kinds
+        return self.starts.take(at), self.sizes.take(at)
+
+    def learn(self, ids: np.ndarray, kinds: np.ndarray, rest: np.ndarray) -> None:
+        """Take up the ids of a step; those at ``rest`` are of the last kind."""
         n = len(ids)
-        hit2 = ids == self.guess2
-        hit1 = ~hit2 & (ids == self.guess1)
-        self.tried += np.bincount(self.context, minlength=128)
-        self.held2 += np.bincount(self.context, hit2, 128)
-        self.held1 += np.bincount(self.context, hit1, 128)
+        self.seen += np.bincount(self.row + kinds, minlength=self.seen.size).reshape(self.seen.shape)
         if self.steps & 15 == 15:
-            self.tried *= 0.98
-            self.held2 *= 0.98
-            self.held1 *= 0.98
+            self.seen *= 0.98
         b1 = self.before[:n]
+        fresh = (ids << COUNT_BITS) | 1
         # of lanes that share a slot the last one writes, in coder and decoder alike
-        c2 = self.count2[self.slot]
-        keep = hit2 | (c2 > 3)
-        self.candidate2[self.slot] = np.where(keep, self.guess2, ids)
-        self.count2[self.slot] = np.where(hit2, np.minimum(c2 + 1, 100), np.where(c2 > 3, c2 >> 1, 1))
-        c1 = self.count1[b1]
-        right1 = ids == self.guess1
-        self.candidate1[b1] = np.where(right1 | (c1 > 3), self.guess1, ids)
-        self.count1[b1] = np.where(right1, np.minimum(c1 + 1, 100), np.where(c1 > 3, c1 >> 1, 1))
-        plain = ids[~(hit2 | hit1)]
-        np.add.at(self.frequency, plain, 1)
+        for held, count, right, at, own in ((self.held2, self.count2, kinds == 0, self.slot, self.table2), (self.held1, self.count1, ids == self.guess1, b1, self.table1)):
+            own[at] = np.where(right, held + (count < MOST), np.where(count > 3, held - ((count + 1) >> 1), fresh))
+        np.add.at(self.frequency, ids[rest], 1)
         self.before2[:n] = b1
         self.before[:n] = ids
         self.steps += 1
@@ -141,7 +159,7 @@ ONE = np.uint64(1)
 
 def _narrow(low: np.ndarray, range_: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     unit = range_ >> np.uint64(bits)
-    return low + start.astype(np.uint64) * unit, unit * size.astype(np.uint64)
+    return low + start.astype(np.uint64, copy=False) * unit, unit * size.astype(np.uint64, copy=False)
 
 
 def _due(low: np.ndarray, range_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,18 +254,15 @@ def encode_block(ids: np.ndarray, symbols: int) -> tuple[int, bytes]:
     model, coder = Mixer(symbols, lanes), LaneWriter(lanes, steps)
     for step in range(steps):
         n = lanes if step < steps - 1 else full
-        now = ids[starts[:n] + step]
+        now = ids.take(starts[:n] + step)
         model.predict(n)
-        a2, a1 = model.a2, model.a1
-        hit2 = now == model.guess2
-        hit1 = ~hit2 & (now == model.guess1)
-        both = a2 + a1
-        coder.put(slice(0, n), np.where(hit2, 0, np.where(hit1, a2, both)), np.where(hit2, a2, np.where(hit1, a1, TOTAL - both)), RANGE_BITS)
-        rest = np.flatnonzero(~(hit2 | hit1))
+        kinds = model.kinds(now)
+        coder.put(slice(0, n), *model.intervals(kinds), RANGE_BITS)
+        rest = np.flatnonzero(kinds == 2)
         own = now[rest]
         low = model.borders[own]
         coder.put(rest, low, model.borders[own + 1] - low, ORDER0_BITS)
-        model.learn(now)
+        model.learn(now, kinds, rest)
     return lanes, coder.finish()
 
 
@@ -259,19 +274,17 @@ def decode_block(payload: bytes, n_ids: int, lanes: int, symbols: int) -> np.nda
     for step in range(steps):
         n = lanes if step < steps - 1 else full
         model.predict(n)
-        a2, a1 = model.a2, model.a1
-        both = a2 + a1
         place = coder.peek(slice(0, n), RANGE_BITS)
-        hit2, hit1 = place < a2, (place >= a2) & (place < both)
-        coder.take(slice(0, n), np.where(hit2, 0, np.where(hit1, a2, both)), np.where(hit2, a2, np.where(hit1, a1, TOTAL - both)), RANGE_BITS)
-        now = np.where(hit2, model.guess2, model.guess1).astype(np.int64)
-        rest = np.flatnonzero(place >= both)
+        kinds = (place >= model.ends.take(model.row)).astype(np.int64) + (place >= model.ends.take(model.row + 1))
+        coder.take(slice(0, n), *model.intervals(kinds), RANGE_BITS)
+        now = np.where(kinds == 0, model.guess2, model.guess1)
+        rest = np.flatnonzero(kinds == 2)
         own = np.searchsorted(model.borders, coder.peek(rest, ORDER0_BITS).astype(np.int32), "right") - 1
         low = model.borders[own]
         coder.take(rest, low, model.borders[own + 1] - low, ORDER0_BITS)
         now[rest] = own
         out[starts[:n] + step] = now
-        model.learn(now)
+        model.learn(now, kinds, rest)
     return out
 
 
@@ -323,60 +336,116 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+class IdLists:
+    """A growing list of lists of ids."""
+
+    def __init__(self) -> None:
+        self.ids, self.n_ids = np.empty(1 << 14, np.int32), 0
+        self.starts, self.counts, self.n = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
+
+    def add(self, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Add lists of ``counts`` ids each, which lie in ``ids`` one after the other."""
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.empty(max(len(ids), self.n_ids), np.int32)])
+        if self.n + len(counts) > len(self.counts):
+            more = max(len(counts), self.n)
+            self.counts, self.starts = (np.concatenate([x[: self.n], np.empty(more, np.int64)]) for x in (self.counts, self.starts))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.counts[self.n : self.n + len(counts)] = counts
+        self.starts[self.n : self.n + len(counts)] = self.n_ids + np.cumsum(counts) - counts
+        self.n_ids += len(ids)
+        self.n += len(counts)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists' lengths, and their ids one after the other."""
+        counts = self.counts[at]
+        return counts, self.ids[flat_ranges(self.starts[at], counts)]
+
+
 class WordTokens:
-    """Ids of texts. This vocabulary drops white space and no token reaches over it, so the library
-    encodes each distinct word between spaces and line ends once while the table lasts."""
+    """Ids of texts. This vocabulary drops white space and no token reaches over it, so the ids of each
+    distinct word between spaces and line ends are found once while the table lasts.
+
+    It lowers letters too and splits letters from what follows, so a word of plain letters and at most one
+    punctuation mark is put together from two *units*; the library encodes each distinct unit once. Any
+    other word is a unit by itself.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
         self.symbols = self.tokenizer.get_vocab_size()
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        # ids that end a run of letters
+        self.ends = np.zeros(self.symbols, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.words = Interner()
-        self.ids, self.n_ids = np.empty(1 << 14, np.int32), 0
-        self.starts, self.counts, self.n = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
+        self.words, self.word_ids = Interner(), IdLists()
+        self.units, self.unit_ids = Interner(), IdLists()
+
+    def _joined(self, texts: list[str]) -> np.ndarray:
+        got = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.int32), *got])
+
+    def _letters(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of letters, many in a call: the last id of each is one that ends a run."""
+        ids = self._joined([" ".join(units[a : a + JOINED]) for a in range(0, len(units), JOINED)])
+        return np.diff(np.flatnonzero(self.ends[ids]), prepend=-1), ids
+
+    def _others(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any units, many in a call, with a mark after each."""
+        joined = [f" {MARK} ".join([*units[a : a + JOINED], ""]) for a in range(0, len(units), JOINED)]
+        if sum(t.count(MARK) for t in joined) != len(units):  # the mark stands in a unit
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+            return np.fromiter(map(len, got), np.int64, len(got)), np.array([i for x in got for i in x], np.int32)
+        ids = self._joined(joined)
+        marks = ids == self.mark
+        return np.diff(np.flatnonzero(marks), prepend=-1) - 1, ids[~marks]
+
+    def _learn_units(self, fresh: list[str]) -> None:
+        plain = np.fromiter((LETTERS.fullmatch(u) is not None for u in fresh), bool, len(fresh))
+        counts, starts = np.empty(len(fresh), np.int64), np.empty(len(fresh), np.int64)
+        found = []
+        for of_kind, encode in ((plain, self._letters), (~plain, self._others)):
+            own, ids = encode([u for u, k in zip(fresh, of_kind.tolist(), strict=True) if k])
+            counts[of_kind] = own
+            starts[of_kind] = sum(map(len, found)) + np.cumsum(own) - own
+            found.append(ids)
+        self.unit_ids.add(counts, np.concatenate(found)[flat_ranges(starts, counts)])
 
     def _learn(self) -> None:
         fresh, self.words.fresh = self.words.fresh, []
         for a in range(0, len(fresh), 20_000):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[a : a + 20_000], add_special_tokens=False)]
-            counts = np.fromiter(map(len, got), np.int64, len(got))
-            total = int(counts.sum())
-            if self.n_ids + total > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.n_ids], np.empty(max(total, self.n_ids), np.int32)])
-            if self.n + len(counts) > len(self.counts):
-                more = max(len(counts), self.n)
-                self.counts, self.starts = (np.concatenate([x[: self.n], np.empty(more, np.int64)]) for x in (self.counts, self.starts))
-            self.ids[self.n_ids : self.n_ids + total] = [i for x in got for i in x]
-            self.counts[self.n : self.n + len(counts)] = counts
-            self.starts[self.n : self.n + len(counts)] = self.n_ids + np.cumsum(counts) - counts
-            self.n_ids += total
-            self.n += len(counts)
+            parts: list[str] = []
+            for word in fresh[a : a + 20_000]:
+                plain = PLAIN.fullmatch(word)
+                parts += (plain[1].lower(), plain[2]) if plain else (word, "")
+            at = self.units.take(parts)
+            if self.units.fresh:
+                self._learn_units(self.units.fresh)
+                self.units.fresh = []
+            counts, ids = self.unit_ids.take(at)
+            self.word_ids.add(counts.reshape(-1, 2).sum(1), ids)
+
+    def _take(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) > TABLE_WORDS:
+            self._reset()
+        at = self.words.take(words)
+        if self.words.fresh:
+            self._learn()
+        return self.word_ids.take(at)
 
     def __call__(self, text: str) -> np.ndarray:
-        found = []
-        for part in segments(text.replace("\n", " ")):
-            if len(self.words) > TABLE_WORDS:
-                self._reset()
-            at = self.words.take(part.split(" "))
-            if self.words.fresh:
-                self._learn()
-            found.append(self.ids[flat_ranges(self.starts[at], self.counts[at])])
+        found = [self._take(part.split(" "))[1] for part in segments(text.replace("\n", " "))]
         return found[0] if len(found) == 1 else np.concatenate(found)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of several texts, new words of all of them encoded together."""
-        if len(self.words) > TABLE_WORDS:
-            self._reset()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = self.words.take([w for ws in split for w in ws])
-        if self.words.fresh:
-            self._learn()
-        flat = self.ids[flat_ranges(self.starts[at], self.counts[at])]
-        row = np.repeat(np.arange(len(texts)), counts)
-        ends = np.cumsum(np.bincount(row, self.counts[at], len(texts)).astype(np.int64))
+        counts, flat = self._take([w for ws in split for w in ws])
+        row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
+        ends = np.cumsum(np.bincount(row, counts, len(texts)).astype(np.int64))
         return np.split(flat, ends[:-1]) if len(texts) else []
 
 
