@@ -73,3 +73,27 @@ def membership(batch: DataFrame, series: DataFrame, keys: list[str]) -> DataFram
 def grouped(batch: DataFrame, keys: list[str], *, order: str, value: str) -> DataFrame:
     """Instances of each series in order."""
     return batch.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("members"), F.count(F.lit(1)).alias("n"))
+
+
+def append(
+    batch: DataFrame, existing: DataFrame, keys: list[str], order: list[str], *,
+    series: str, size: str = "size", digest: str = "crc", pixel: str | None = None, known: DataFrame | None = None, max_instance_gb: float = 10.0, max_series_gb: float = 100.0,
+) -> DataFrame:
+    """Every row of an arriving batch with ``status`` (new, same, conflict or error) and ``error``.
+
+    In this order: rows that are too large are errors; so are all rows of a series that grows too large,
+    repeats included; of equal keys the first row goes on and later ones are the same or conflicts; rows of
+    series that are not among ``known`` (its column named as ``series``; None: all are) are errors; what is
+    left is held against the stored instances. A null size counts as no bytes and a null key is a key.
+    """
+    sized = size_checked(batch, max_instance_gb, size)
+    sums = series_sizes(sized.filter("error IS NULL"), existing, series, max_series_gb, size).filter("too_large").select(F.col(series).alias("_series"), F.lit("series too large").alias("_large"))
+    checked = sized.join(sums, F.col(series).eqNullSafe(F.col("_series")), "left").withColumn("error", F.coalesce("error", "_large")).drop("_series", "_large")
+    faulty = checked.filter("error IS NOT NULL").withColumn("status", F.lit("error"))
+    ranked = first_wins(checked.filter("error IS NULL"), keys, order, digest)
+    repeats, fresh = ranked.filter("status != 'new'"), ranked.filter("status = 'new'").drop("status")
+    if known is not None:
+        placed = membership(fresh, known, [series])
+        stray = placed.filter(~F.col("belongs")).drop("belongs").withColumn("error", F.lit("not of this series")).withColumn("status", F.lit("error"))
+        faulty, fresh = faulty.unionByName(stray), placed.filter("belongs").drop("belongs")
+    return faulty.unionByName(repeats).unionByName(classify(fresh, existing, keys, digest, pixel))

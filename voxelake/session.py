@@ -25,3 +25,17 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+#: Bytes and rows of binary content that go to a Python worker at a time.
+BATCH_BYTES, BATCH_ROWS = 64 << 20, 1000
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Have rows go to Python workers in batches of bounded size; smaller settings of the session stay."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int("".join(c for c in spark.conf.get(key) if c in "-0123456789"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+    return spark
