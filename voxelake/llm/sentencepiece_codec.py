@@ -306,6 +306,13 @@ class Encoder:
             self.n_ids += len(ids)
             self.n += len(counts)
 
+    def _take(self, units: list[str]) -> np.ndarray:
+        at = self.units.take(units)
+        if self.units.fresh:
+            fresh, self.units.fresh = self.units.fresh, []
+            self._learn(fresh)
+        return at
+
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text."""
         if not text:
@@ -314,24 +321,22 @@ class Encoder:
         for part in segments(" " + text.replace(MARK, " ")):
             if len(self.units) > 4 * MAX_WORDS:
                 self._reset()
-            at = self.units.take(_UNITS.findall(part))
-            if self.units.fresh:
-                fresh, self.units.fresh = self.units.fresh, []
-                self._learn(fresh)
+            at = self._take(_UNITS.findall(part))
             found.append(self.ids[flat_ranges(self.starts[at], self.counts[at])])
         return found[0] if len(found) == 1 else np.concatenate(found)
 
-    def prepare(self, texts: list[str]) -> None:
-        """Match the units of many texts at once, so that they share an index."""
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of several texts, whose units are split once and share an index. A text by itself goes in segments."""
         if len(self.units) > MAX_WORDS:
             self._reset()
-        for text in texts:
-            if text:
-                for part in segments(" " + text.replace(MARK, " ")):
-                    self.units.take(_UNITS.findall(part))
-        if self.units.fresh:
-            fresh, self.units.fresh = self.units.fresh, []
-            self._learn(fresh)
+        if len(texts) == 1:
+            return [self(texts[0])]
+        split = [_UNITS.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        at = self._take([u for us in split for u in us])
+        row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
+        counts = self.counts[at]
+        ends = np.cumsum(np.bincount(row, counts, len(texts)).astype(np.int64))
+        return np.split(self.ids[flat_ranges(self.starts[at], counts)], ends[:-1]) if len(texts) else []
 
 
 class Decoder:
@@ -374,8 +379,7 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/{MODEL}", with_ids: bool
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
-                encoder.prepare(texts[a:b])
-                ids = [encoder(t) for t in texts[a:b]]
+                ids = encoder.batch(texts[a:b])
                 columns = {
                     "doc_id": batch.column(0).slice(a, b - a),
                     "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
