@@ -308,3 +308,23 @@ def test_oracles(spark, name):
     result = con.execute(catalogue.ORACLE_SQL[name])
     names = [d[0] for d in result.description]
     assert sorted(df.select(*names).collect(), key=str) and {tuple(r) for r in df.select(*names).collect()} == set(result.fetchall())
+
+
+def test_words_from_units_equal_the_library():
+    """Marks inside texts, letters that lowering or normal forms change, and punctuation runs."""
+    draw = random.Random(5)
+    letters = "aB.,!?'ÀéßİΣς \n\t1２ªµ̈K\x01<|>中K"
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 60))) for _ in range(3000)]
+    texts += ["", "\x01", "a\x01b \x01", "<|endoftext|>x <|startoftext|>", "I'LL don't. x.. H̱ ́a"]
+    for part in (texts, [t.replace("\x01", "") for t in texts], texts[:1], []):
+        words = token_files.WordTokens(f"{token_files.TOKENIZERS}/{token_files.VOCABULARY}")
+        want = [e.ids for e in words.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert [x.tolist() for x in words.batch(part)] == want
+        assert [words(t).tolist() for t in part[-20:]] == want[-20:]
+
+
+def test_pieces_of_a_batch_equal_those_of_each_text():
+    encoder = sentencepiece_codec.Encoder(f"{sentencepiece_codec.TOKENIZERS}/{sentencepiece_codec.MODEL}")
+    texts = ["", " ", "  a  b ", "▁x", "x" * 3000, "\n\t", "Ünï 中\U0001f600", "a b"]
+    each = [encoder(t).tolist() for t in texts]
+    assert [x.tolist() for x in encoder.batch(texts)] == each and encoder.batch([]) == [] and encoder.batch(texts[2:3])[0].tolist() == each[2]
