@@ -328,3 +328,51 @@ def test_pieces_of_a_batch_equal_those_of_each_text():
     texts = ["", " ", "  a  b ", "▁x", "x" * 3000, "\n\t", "Ünï 中\U0001f600", "a b"]
     each = [encoder(t).tolist() for t in texts]
     assert [x.tolist() for x in encoder.batch(texts)] == each and encoder.batch([]) == [] and encoder.batch(texts[2:3])[0].tolist() == each[2]
+
+
+def every_stretch(doc, item):
+    """The most equal words of any stretch that counts, over all places side by side; 0 if none."""
+    needed, most = min(13, -(-85 * len(item) // 100)), 0
+    for offset in range(1 - len(item), len(doc)):
+        equal = [item[k] == doc[offset + k] for k in range(max(0, -offset), min(len(item), len(doc) - offset))]
+        for a in range(len(equal)):
+            n = 0
+            for b in range(a, len(equal)):
+                n += equal[b]
+                if n >= needed and 10 * n >= 8 * (b + 1 - a):
+                    most = max(most, n)
+    return most
+
+
+def spoilt_copies(draw, lengths, copies):
+    """Items, and documents that hold each of them with a few words replaced, whole or in part."""
+    items = [[f"w{draw.randrange(60)}" for _ in range(n)] for n in lengths]
+    docs = []
+    for item in items:
+        for _ in range(copies):
+            own = item[draw.randrange(3) : len(item) - draw.randrange(3)]
+            for k in draw.sample(range(len(own)), min(len(own), draw.randrange(6))):
+                own[k] = "other"
+            docs.append([f"v{draw.randrange(9)}" for _ in range(draw.randrange(4))] + own + ["end"] * draw.randrange(2))
+    return items, docs
+
+
+def overlaps_found(spark, items, docs, **parameters):
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.n_equal for r in decontamination.decontaminate(docs_of(spark, [" ".join(d) for d in docs]), bench, **parameters).collect()}
+
+
+def test_overlaps_equal_all_stretches(spark):
+    items, docs = spoilt_copies(random.Random(7), [13, 14, 15, 16, 17, 18, 20, 25, 30, 40], 40)
+    want = {(d, i): n for d, doc in enumerate(docs) for i, item in enumerate(items) if (n := every_stretch(doc, item))}
+    assert overlaps_found(spark, items, docs) == want and len(want) > 100
+
+
+def test_stretches_are_not_trimmed():
+    item = [f"w{k}" for k in range(16)]
+    spoilt = ["other" if k in (1, 14) else w for k, w in enumerate(item)]
+    share = decontamination.Fraction(4, 5)
+    assert decontamination.stretches(np.array(item) == np.array(spoilt), 13, share) == [(0, 16, 14)]
+    apart = np.array([True] * 14 + [False] * 9 + [True] * 15)
+    assert decontamination.stretches(apart, 13, share) == [(23, 38, 15), (0, 14, 14)]
+    assert decontamination.stretches(apart[:0], 13, share) == []

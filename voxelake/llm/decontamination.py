@@ -4,8 +4,11 @@ Texts and benchmark items are read as words (ASCII capitals lowered, words of le
 A *mask* looks at ``weight`` of the words in a window of ``span`` and ignores the others, so that a
 replaced word at an ignored place leaves the hash unchanged. Hashes of all windows of the items,
 under all masks, are matched with those of the documents. A hit says where the two would lie side
-by side; there, and only there, all words are compared and the best run is scored, +1 for an equal
-word and ``-penalty`` for a replaced one. A run counts if enough of its words are equal.
+by side; there, and only there, all words are compared. Any stretch counts that has enough equal
+words and in which they are a large enough share.
+
+The masks alone do not reach every such stretch. Its replaced words cut it into runs of equal words,
+though, of which the longest cannot be short: all windows of so many words are seeds as well.
 
 Items with fewer words than a window's span are matched as a whole instead.
 """
@@ -13,28 +16,31 @@ Items with fewer words than a window's span are matched as a whole instead.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_ALPHANUMERIC, bounded_batches, chunks, hashed_words, table, text_of, without
+from .common import NOT_ALPHANUMERIC, bounded_batches, chunks, flat_ranges, hashed_words, table, text_of, without
 
 #: Masks over a window of words: 1 is compared, 0 ignored. Wherever two of thirteen words in a row are
 #: replaced, some window under some mask is left whole (a test tries all places).
 MASKS = ("1110110011", "110101111", "110011111", "10101101011")
-#: Words that must be equal in a run.
+#: Words that must be equal in a stretch.
 MIN_WORDS = 13
 #: Of items too short for that, the share of words that must be equal.
 SHORT_SHARE = 0.85
-#: The share of a run's words that must be equal.
+#: The share of a stretch's words that must be equal.
 MIN_IDENTITY = 0.8
-PENALTY = 2.0
 #: Bytes of text that are taken up at a time: what is held of them fits a processor's cache.
 TAKE = 600_000
 #: Benchmarks of at most so many words go to every task as a whole; larger ones are joined in parts of that size.
 PART_WORDS = 2_000_000
+#: Hits, and words of hits, that are looked at together.
+BLOCK = 1_000_000
 
 
 def mask_places(mask: str) -> np.ndarray:
@@ -54,20 +60,36 @@ def window_hashes(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return out
 
 
+def words_needed(length: int, min_words: int = MIN_WORDS) -> int:
+    """Words of an item of ``length`` words that must be equal in a stretch."""
+    return int(min(min_words, np.ceil(SHORT_SHARE * length)))
+
+
+@cache
+def sure_words(length: int, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> int:
+    """So many equal words stand in a row in every stretch that counts, of an item of ``length`` words."""
+    share = Fraction(str(min_identity))
+    replaced = lambda n: min(length - n, int(n * (1 - share) / share) if share else length)
+    return min(-(-n // (replaced(n) + 1)) for n in range(max(1, words_needed(length, min_words)), length + 1))
+
+
 class SeedIndex:
     """All windows of a benchmark's items under all masks, looked up by hash."""
 
-    def __init__(self, items: list[tuple[object, str]], masks: tuple[str, ...] = MASKS) -> None:
-        self.masks = masks
+    def __init__(self, items: list[tuple[object, str]], masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> None:
+        self.masks, self.share = masks, Fraction(str(min_identity))
         hashes, counts = hashed_words([(text or "").encode("utf-8", "surrogatepass") for _, text in items], NOT_ALPHANUMERIC)
         rows = [(item_id, x) for (item_id, _), x in zip(items, np.split(hashes, np.cumsum(counts)[:-1]), strict=False) if len(x)]
         self.item_ids, self.items = [i for i, _ in rows], [x for _, x in rows]
         shortest = min(map(len, masks))
         self.seeds: list[tuple[int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        short = sorted({len(x) for x in self.items if len(x) < shortest})
-        for salt, mask in enumerate([*masks, *("1" * n for n in short)]):
+        self.lengths = np.fromiter(map(len, self.items), np.int64, len(self.items))
+        self.firsts, self.words = np.cumsum(self.lengths) - self.lengths, np.concatenate([np.empty(0, np.uint64), *self.items])
+        self.needed = np.array([words_needed(n, min_words) for n in self.lengths.tolist()], np.int64)
+        sure = [n if n < shortest else sure_words(n, min_words, min_identity) for n in self.lengths.tolist()]
+        for salt, mask in enumerate([*masks, *("1" * n for n in sorted(set(sure)))]):
             whole = salt >= len(masks)
-            rows = [(window_hashes(x, mask, salt), i) for i, x in enumerate(self.items) if (len(x) == len(mask) if whole else len(x) >= len(mask))]
+            rows = [(window_hashes(x, mask, salt), i) for i, x in enumerate(self.items) if (sure[i] == len(mask) if whole else len(x) >= len(mask))]
             if not rows:
                 continue
             keys = np.concatenate([h for h, _ in rows])
@@ -81,24 +103,33 @@ class SeedIndex:
             self.seeds.append((salt, mask, keys, item[order], place[order], seen))
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item, offset of the item's first word in the text) of all seed hits."""
-        found_item, found_offset = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        """Distinct (item, offset of the item's first word in the text) of all seed hits with enough equal words."""
+        found = [np.empty((0, 2), np.int64)]
         for salt, mask, keys, item, place, seen in self.seeds:
             own = window_hashes(hashes, mask, salt)
             bits = len(seen).bit_length() - 1
             near = np.flatnonzero(seen[(own >> np.uint64(64 - bits)).astype(np.int64)])
             lo, hi = np.searchsorted(keys, own[near], "left"), np.searchsorted(keys, own[near], "right")
-            n = hi - lo
-            if n.any():
-                total = int(n.sum())
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
-                found_item.append(item[at])
-                found_offset.append(np.repeat(near, n) - place[at])
-        both = np.unique(np.stack([np.concatenate(found_item), np.concatenate(found_offset)], 1), axis=0)
+            for a, b in blocks(hi - lo):
+                n = (hi - lo)[a:b]
+                at = flat_ranges(lo[a:b], n)
+                both = np.unique(np.stack([item[at], np.repeat(near[a:b], n) - place[at]], 1), axis=0)
+                found.append(both[self._enough(hashes, both[:, 0], both[:, 1])])
+        both = np.unique(np.concatenate(found), axis=0)
         return both[:, 0], both[:, 1]
 
-    def overlaps(self, hashes: np.ndarray, starts: np.ndarray, min_words: int, min_identity: float) -> list[tuple[int, int, int, int, int, int]]:
-        """(document, item, first word, end word, first word in the item, equal words) of verified runs.
+    def _enough(self, hashes: np.ndarray, item: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """Whether an item, laid at an offset, has as many equal words in all as a stretch needs."""
+        out = np.zeros(len(item), bool)
+        for a, b in blocks(self.lengths[item]):
+            n = self.lengths[item[a:b]]
+            at = flat_ranges(offset[a:b], n)
+            equal = (at >= 0) & (at < len(hashes)) & (hashes[at.clip(0, len(hashes) - 1)] == self.words[flat_ranges(self.firsts[item[a:b]], n)])
+            out[a:b] = np.add.reduceat(equal.astype(np.int64), np.cumsum(n) - n) >= self.needed[item[a:b]]
+        return out
+
+    def overlaps(self, hashes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+        """(document, item, first word, end word, first word in the item, equal words) of verified stretches.
 
         ``starts`` are the places where documents begin in ``hashes``, with its length at the end.
         """
@@ -109,9 +140,7 @@ class SeedIndex:
             for doc in self._documents(starts, o, o + len(own)):
                 a, b = max(o, int(starts[doc])), min(o + len(own), int(starts[doc + 1]))
                 equal = hashes[a:b] == own[a - o : b - o]
-                first, last = best_run(equal)
-                count = int(equal[first:last].sum())
-                if count >= min(min_words, np.ceil(SHORT_SHARE * len(own))) and count >= min_identity * (last - first):
+                for first, last, count in stretches(equal, int(self.needed[i]), self.share):
                     out.append((doc, i, a + first - int(starts[doc]), a + last - int(starts[doc]), a + first - o, count))
         return out
 
@@ -121,22 +150,47 @@ class SeedIndex:
         return range(first, min(len(starts) - 1, int(np.searchsorted(starts, b, "left"))))
 
 
-def best_run(equal: np.ndarray, penalty: float = PENALTY) -> tuple[int, int]:
-    """The stretch of the largest score, +1 for each equal word and ``-penalty`` for each other."""
-    if not len(equal):
-        return 0, 0
-    sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -penalty))])
-    lowest = np.minimum.accumulate(sums)
-    last = int(np.argmax(sums - lowest))
-    return int(np.argmin(sums[: last + 1])) if last else 0, last
+def blocks(sizes: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive places whose ``sizes`` add up to about ``limit``, one place at least."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, b
+        a = b
+
+
+def stretches(equal: np.ndarray, needed: int, share: Fraction) -> list[tuple[int, int, int]]:
+    """(first, end, equal words) of stretches with ``needed`` equal words or more that are ``share`` of all, or more.
+
+    The one of the most equal words comes first, then those of the words before it and after it.
+    """
+    at = np.flatnonzero(equal)
+    out, open_ = [], [(0, len(at))]
+    # from the i-th to the j-th equal word the share holds if score[j] - score[i] >= num - den
+    score = share.denominator * np.arange(len(at)) - share.numerator * at
+    while open_:
+        a, b = open_.pop()
+        if b - a < max(1, needed):
+            continue
+        own = score[a:b]
+        begin = np.searchsorted(-np.minimum.accumulate(own), share.numerator - share.denominator - own, "left")
+        count = np.arange(b - a) - begin + 1
+        j = int(np.argmax(count))
+        if count[j] >= needed:
+            first, last = a + int(begin[j]), a + j
+            out.append((int(at[first]), int(at[last]) + 1, int(count[j])))
+            open_ += [(last + 1, b), (a, first)]
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, part_words: int = PART_WORDS) -> DataFrame:
     """Overlaps of ``docs`` (doc_id, text) with items of ``benchmark`` (item_id, text).
 
     Returns one row for each document and item that overlap: doc_id, item_id, first_word and end_word
-    (the longest run's place among the document's words), item_word (its first word in the item),
-    n_equal (equal words of that run), n_runs. Documents without an overlap have no row.
+    (the place among the document's words of the stretch of the most equal words), item_word (its first
+    word in the item), n_equal (its equal words), n_runs (all stretches that count and do not overlap
+    where the two lie side by side alike). Documents without an overlap have no row.
 
     The benchmark is cut into parts of at most ``part_words`` words (or one item, if that is longer);
     documents pass once for each part, so that a task's memory stays bounded for any benchmark.
@@ -157,14 +211,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
         held = spark.sparkContext.broadcast(items)
 
         def rows(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = SeedIndex(held.value)
+            index = SeedIndex(held.value, min_words=min_words, min_identity=min_identity)
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 for a, b in chunks(texts, TAKE):
                     hashes, counts = hashed_words(texts[a:b], NOT_ALPHANUMERIC)
                     starts = np.concatenate([[0], np.cumsum(counts)])
                     best: dict[tuple[int, int], list[int]] = {}
-                    for doc, i, first, end, place, n in index.overlaps(hashes, starts, min_words, min_identity):
+                    for doc, i, first, end, place, n in index.overlaps(hashes, starts):
                         kept = best.setdefault((doc, i), [first, end, place, n, 0])
                         if n > kept[3]:
                             kept[:4] = first, end, place, n
