@@ -376,3 +376,12 @@ def test_stretches_are_not_trimmed():
     apart = np.array([True] * 14 + [False] * 9 + [True] * 15)
     assert decontamination.stretches(apart, 13, share) == [(23, 38, 15), (0, 14, 14)]
     assert decontamination.stretches(apart[:0], 13, share) == []
+
+
+def test_short_items_with_a_replaced_word(spark):
+    items = [[f"w{n}x{k}" for k in range(n)] for n in range(1, 13)]
+    docs = [["before", *item[:k], "other", *item[k + 1 :]] for item in items for k in range(len(item))] + items
+    want = {(d, i): n for d, doc in enumerate(docs) for i, item in enumerate(items) if (n := every_stretch(doc, item))}
+    assert overlaps_found(spark, items, docs) == want
+    # of seven words and more, one may be replaced anywhere
+    assert len(want) == sum(range(7, 13)) + len(items)

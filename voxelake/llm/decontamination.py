@@ -8,9 +8,8 @@ by side; there, and only there, all words are compared. Any stretch counts that
 words and in which they are a large enough share.
 
 The masks alone do not reach every such stretch. Its replaced words cut it into runs of equal words,
-though, of which the longest cannot be short: all windows of so many words are seeds as well.
-
-Items with fewer words than a window's span are matched as a whole instead.
+though, of which the longest cannot be short: all windows of so many words, a number that hangs on
+the item's length, are seeds as well. For items shorter than the masks they are the only ones.
 """
 
 from __future__ import annotations
@@ -81,12 +80,11 @@ class SeedIndex:
         hashes, counts = hashed_words([(text or "").encode("utf-8", "surrogatepass") for _, text in items], NOT_ALPHANUMERIC)
         rows = [(item_id, x) for (item_id, _), x in zip(items, np.split(hashes, np.cumsum(counts)[:-1]), strict=False) if len(x)]
         self.item_ids, self.items = [i for i, _ in rows], [x for _, x in rows]
-        shortest = min(map(len, masks))
         self.seeds: list[tuple[int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.lengths = np.fromiter(map(len, self.items), np.int64, len(self.items))
         self.firsts, self.words = np.cumsum(self.lengths) - self.lengths, np.concatenate([np.empty(0, np.uint64), *self.items])
         self.needed = np.array([words_needed(n, min_words) for n in self.lengths.tolist()], np.int64)
-        sure = [n if n < shortest else sure_words(n, min_words, min_identity) for n in self.lengths.tolist()]
+        sure = [sure_words(n, min_words, min_identity) for n in self.lengths.tolist()]
         for salt, mask in enumerate([*masks, *("1" * n for n in sorted(set(sure)))]):
             whole = salt >= len(masks)
             rows = [(window_hashes(x, mask, salt), i) for i, x in enumerate(self.items) if (sure[i] == len(mask) if whole else len(x) >= len(mask))]
