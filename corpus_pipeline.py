@@ -1,20 +1,22 @@
 """Corpus pipeline: from raw documents to token ids, stage by stage.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a
-DataFrame that is written as Parquet and read again as the next stage's docs.
+DataFrame that is written as Parquet and read again as the next stage's docs. The first stage numbers
+the rows it keeps; later ones tell rows apart by that number, since doc_id may be null or repeated.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxelake.llm import decontamination, exact_dedup, ngram_join, quality, sentencepiece_codec
-from voxelake.llm.common import table, write_shared
+from voxelake.llm.common import ROW, table, write_shared
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+    """Documents that the quality classifier accepts, with numbers."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels")).withColumn(ROW, F.monotonically_increasing_id())
 
 
 def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

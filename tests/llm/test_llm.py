@@ -378,6 +378,27 @@ def test_stretches_are_not_trimmed():
     assert decontamination.stretches(apart[:0], 13, share) == []
 
 
+def texts_kept(df, columns):
+    assert df.columns == columns
+    return sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect())
+
+
+@pytest.mark.parametrize("column", [[], [common.ROW]])
+def test_rows_with_null_and_repeated_ids(spark, column):
+    base = " ".join(f"w{k}" for k in range(40))
+    near = base.replace("w20", "other")
+    rows = [(5, base), (None, base), (None, "alone and without a number"), (None, None), (7, "one text"), (7, "other text"), (8, "other  text"), (9, "twice"), (9, "twice"), (None, "no id"), (None, "no  id"), (2, near), (2, "x y z")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], f"doc_id long, text string, {common.ROW} long").select("doc_id", "text", *column)
+    exact = [(5, base), (None, "alone and without a number"), (None, None), (7, "one text"), (7, "other text"), (9, "twice"), (2, near), (2, "x y z")]
+    as_rows = lambda kept: sorted((i is None, i or 0, t or "") for i, t in kept)
+    got = exact_dedup.kept_rows(docs)
+    assert texts_kept(got.filter("text IS NULL OR text NOT LIKE 'no %id'"), docs.columns) == as_rows(exact) and got.count() == len(exact) + 1
+    got = ngram_join.representatives(docs, ngram_join.Similarity(2, 80, 100))
+    assert texts_kept(got.filter("text IS NULL OR text NOT LIKE 'no %id'"), docs.columns) == as_rows([r for r in exact if r[1] != base]) and got.count() == len(exact)
+    bench = spark.createDataFrame([(1, base), (2, "other text")], "item_id long, text string")
+    assert texts_kept(decontamination.clean_rows(docs, bench), docs.columns) == as_rows([r for r in rows if r[1] not in (base, near, "other text", "other  text")])
+
+
 def test_short_items_with_a_replaced_word(spark):
     items = [[f"w{n}x{k}" for k in range(n)] for n in range(1, 13)]
     docs = [["before", *item[:k], "other", *item[k + 1 :]] for item in items for k in range(len(item))] + items

@@ -90,15 +90,44 @@ def drop_shared(spark: SparkSession, *paths: str) -> None:
 BROADCAST_IDS = 500_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not among ``ids`` (doc_id), with their columns.
+#: The column of row numbers by which the pipeline's stages tell rows apart, whatever their doc_id.
+ROW = "row_no"
 
-    The ids are written and counted first: at most ``BROADCAST_IDS`` of them are broadcast.
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``ROW``, a number of its own for each row.
+
+    A table that has the column, as all written by the pipeline have, is taken as it is; any other is
+    written with it first, so that a row keeps its number however often it is read.
+    """
+    return docs if ROW in docs.columns else write_shared(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")[0]
+
+
+def without(docs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of numbered ``docs`` whose ``ROW`` is not among ``rows`` (``ROW``); that column stays if ``columns`` have it.
+
+    The numbers are written and counted first: at most ``BROADCAST_IDS`` of them are broadcast.
     """
-    gone, _ = write_shared(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone, _ = write_shared(rows.select(F.col(ROW).alias("_gone")).distinct(), "gone")
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    kept = docs.join(gone, F.col(ROW) == F.col("_gone"), "left_anti")
+    return kept if ROW in columns else kept.drop(ROW)
+
+
+def smallest(docs: DataFrame, others: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of each group of numbered ``docs``: that of the smallest doc_id, null last, of equal ones the first.
+
+    ``others`` (``ROW``, first) are the rows of groups of two and more, each with the number of one row
+    that stands for the group and is not listed itself.
+    """
+    others, path = write_shared(others.select(ROW, "first"), "others")
+    members = others.unionByName(others.select(F.col("first").alias(ROW), "first").distinct())
+    ids = members.join(docs.select(ROW, "doc_id"), ROW)
+    winners = ids.groupBy("first").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", ROW)).alias("one")).select(f"one.{ROW}")
+    kept = without(docs, members.join(winners, ROW, "left_anti"), columns)
+    drop_shared(docs.sparkSession, path)
+    return kept
 
 
 def chunks(texts: Iterable[str | bytes], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:

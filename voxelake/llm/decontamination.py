@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_ALPHANUMERIC, bounded_batches, chunks, flat_ranges, hashed_words, table, text_of, without
+from .common import NOT_ALPHANUMERIC, ROW, bounded_batches, chunks, flat_ranges, hashed_words, numbered, table, text_of, without
 
 #: Masks over a window of words: 1 is compared, 0 ignored. Wherever two of thirteen words in a row are
 #: replaced, some window under some mask is left whole (a test tries all places).
@@ -235,8 +235,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap with no item, with their columns."""
-    return without(docs, decontaminate(docs, benchmark))
+    """The rows of ``docs`` that overlap with no item, with their columns; each by its own text, whatever its doc_id."""
+    rows = numbered(docs)
+    found = decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark)
+    return without(rows, found.select(F.col("doc_id").alias(ROW)), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, without, write_shared
+from .common import ROW, numbered, smallest, table, text_of, write_shared
 
 #: Runs of these become one space before texts are compared.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -60,8 +60,14 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Col
 
 
 def kept_rows(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: the one of the smallest id in each group."""
-    return without(docs, exact_dedup(docs, salts).filter("NOT kept"))
+    """The rows of ``docs`` that stay, with their columns: one in each group of equal texts.
+
+    That is the row of the smallest doc_id. Null ids come last, and of rows with the same doc_id (or
+    with null ones) the first stays. Rows of different texts never touch each other, whatever their ids.
+    """
+    rows = numbered(docs)
+    found = exact_dedup(rows.select(F.col(ROW).alias("doc_id"), "text"), salts).filter("NOT kept")
+    return smallest(rows, found.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("first")), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

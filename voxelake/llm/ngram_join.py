@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, drop_shared, hashed_words, mixed, table, text_of, without, write_shared
+from .common import ROW, bounded_batches, chunks, drop_shared, hashed_words, mixed, numbered, smallest, table, text_of, write_shared
 from .components import connected_components
 
 LEVELS = 4
@@ -392,8 +392,14 @@ def ngram_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFr
 
 
 def representatives(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
-    """The rows of ``docs``, with their columns, of the smallest doc_id of each component."""
-    return without(docs, ngram_components(docs, like).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of ``docs``, with its columns, of each component: that of the smallest doc_id.
+
+    Null ids come last, and of rows with the same doc_id (or with null ones) the first stays. Rows that
+    do not link never touch each other, whatever their ids.
+    """
+    rows = numbered(docs)
+    found = ngram_components(rows.select(F.col(ROW).alias("doc_id"), "text"), like).filter("doc_id <> component_id")
+    return smallest(rows, found.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("first")), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
