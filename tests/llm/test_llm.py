@@ -406,3 +406,16 @@ def test_short_items_with_a_replaced_word(spark):
     assert overlaps_found(spark, items, docs) == want
     # of seven words and more, one may be replaced anywhere
     assert len(want) == sum(range(7, 13)) + len(items)
+
+
+def test_notices_next_to_each_other():
+    s = license_scan.NoticeScanner()
+    found = lambda t: [(m.label, t[m.start : m.end].strip(), m.edits) for m in s(t)]
+    mit, gpl = "released under the mit license", "this work is licensed under the gnu general public license version"
+    assert found(f"relesed under the mit license {mit}") == [("mit-notice", "relesed under the mit license", 1), ("mit-notice", mit, 0)]
+    spoilt = gpl.replace("licensed", "licenced").replace("general", "genral")
+    assert found(f"{spoilt} 3 {gpl} 2") == [("gpl-3.0", f"{spoilt} 3", 2), ("gpl-2.0", f"{gpl} 2", 0)]
+    for notice, label in license_scan.NOTICES:
+        # one letter of each copy but the last is wrong
+        copies = [notice[:k] + "q" + notice[k + 1 :] for k in (1, len(notice) // 2)] + [notice]
+        assert [m.label for m in s(" ".join(copies))] == [label] * 3, label

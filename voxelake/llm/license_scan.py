@@ -5,9 +5,9 @@ and of characters beyond ASCII) set apart by single spaces.
 
 *Base phrases* count where their words stand consecutively. *Notices* are longer wordings that may
 be misspelt: a notice with at most ``k`` edits (inserted, deleted, replaced characters) is cut into
-``k + 1`` pieces, of which at least one must occur unchanged (pigeonhole). Occurrences of pieces
-give windows, and the ``regex`` library's bounded-error matching verifies each window and reports
-the span and its edits.
+``k + 1`` pieces, of which at least one must occur unchanged (pigeonhole). Each occurrence of a piece
+gives a window of its own, and the ``regex`` library's bounded-error matching verifies each window and
+reports the span and its edits.
 """
 
 from __future__ import annotations
@@ -88,30 +88,21 @@ class NoticeScanner:
         self.seeds.make_automaton()
 
     def __call__(self, text: str) -> list[Match]:
-        windows: dict[int, list[list[int]]] = {}
+        windows: set[tuple[int, int, int]] = set()
         for last, (size, places) in self.seeds.iter(text):
             for number, before, after in places:
                 k = self.notices[number][2]
-                start, end = max(0, last + 1 - size - before - k), min(len(text), last + 1 + after + k)
-                own = windows.setdefault(number, [])
-                if own and start <= own[-1][1]:
-                    own[-1] = [min(own[-1][0], start), max(own[-1][1], end)]
-                else:
-                    own.append([start, end])
-        found = []
-        for number, spans in windows.items():
+                windows.add((number, max(0, last + 1 - size - before - k), min(len(text), last + 1 + after + k)))
+        found: set[Match] = set()
+        for number, start, end in windows:
             label, length, _, pattern = self.notices[number]
-            merged: list[list[int]] = []
-            for start, end in sorted(spans):
-                if merged and start <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], end)
-                else:
-                    merged.append([start, end])
-            for start, end in merged:
-                at = start
-                while hit := pattern.search(text, at, end):
-                    found.append(Match(label, hit.start(), hit.end(), sum(hit.fuzzy_counts), length))
-                    at = max(hit.end(), at + 1)
+            # the pattern finds the best match of a window, so what lies before that is searched as well
+            open_ = [(start, end)]
+            while open_:
+                a, b = open_.pop()
+                if hit := pattern.search(text, a, b):
+                    found.add(Match(label, hit.start(), hit.end(), sum(hit.fuzzy_counts), length))
+                    open_ += [(c, d) for c, d in ((a, hit.start()), (hit.end(), b)) if d - c < b - a]
         best: list[Match] = []  # in order of place, without overlaps
         for m in sorted(found, key=lambda m: (m.edits / m.length, -m.length, m.start, m.label)):
             at = bisect(best, m.start, key=lambda o: o.start)
