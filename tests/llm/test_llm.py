@@ -408,6 +408,23 @@ def test_short_items_with_a_replaced_word(spark):
     assert len(want) == sum(range(7, 13)) + len(items)
 
 
+def test_segments_part_no_unit():
+    draw = random.Random(3)
+    texts = ["", " ", " " * 50, "a" + " " * 12 + "b", "ab" * 30, *("".join(draw.choice(["a", "bc", " ", " " * draw.randrange(30)]) for _ in range(40)) for _ in range(50))]
+    for text in texts:
+        for limit in range(1, 40):
+            parts = list(common.segments(" " + text, limit))
+            assert "".join(parts) == " " + text
+            assert [u for p in parts for u in sentencepiece_codec._UNITS.findall(p)] == sentencepiece_codec._UNITS.findall(" " + text)
+
+
+def test_long_text_by_itself_and_among_others():
+    encoder = sentencepiece_codec.Encoder(f"{sentencepiece_codec.TOKENIZERS}/{sentencepiece_codec.MODEL}")
+    text = "ab " * (common.CHUNK_CHARS // 3 - 2) + "a" + " " * 12 + "b c"
+    assert encoder.batch([text])[0].tolist() == encoder.batch([text, "x"])[0].tolist()
+    assert encoder("a" + " " * 12 + "b").tolist() == [264, 17422, 287]
+
+
 def test_notices_next_to_each_other():
     s = license_scan.NoticeScanner()
     found = lambda t: [(m.label, t[m.start : m.end].strip(), m.edits) for m in s(t)]

@@ -144,14 +144,15 @@ def chunks(texts: Iterable[str | bytes], limit: int = CHUNK_CHARS) -> Iterator[t
 
 
 def segments(text: str, limit: int = CHUNK_CHARS, at: str = " ") -> Iterator[str]:
-    """A text in pieces of about ``limit`` characters that join to it, cut before an ``at``."""
+    """A text in pieces of ``limit`` characters or more that join to it, cut before an ``at`` or a run of them, never inside."""
     start = 0
+    run = re.compile(f"(?<!{re.escape(at)}){re.escape(at)}")
     while len(text) - start > limit:
-        cut = text.find(at, start + limit)
-        if cut < 0:
+        cut = run.search(text, start + limit)
+        if not cut:
             break
-        yield text[start:cut]
-        start = cut
+        yield text[start : cut.start()]
+        start = cut.start()
     yield text[start:] if start else text
 
 
