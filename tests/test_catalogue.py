@@ -32,3 +32,16 @@ def test_matches_oracle(spark, duck, name):
     assert sorted(names) == columns
     expected = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=str)
     assert sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=str) == expected
+
+
+def test_frame_walk_takes_all_words(spark, tmp_path):
+    texts = ["one", "", None, "a  b é", " ".join(f"w{k}" * (k % 5 + 1) for k in range(700)), "x" * 300 + " y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for doc, text in enumerate(texts):
+        words, at = [w.encode() for w in (text or "").split(" ") if w], 476 + 8
+        for frame, word in enumerate(words if len(words) > 1 else []):
+            want.add((doc, frame, at + 8, len(word)))
+            at += 8 + len(word)
+    got = [tuple(r) for r in catalogue.QUERIES["frame_offsets_walk"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) == 705

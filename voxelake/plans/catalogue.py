@@ -307,9 +307,9 @@ def frame_offsets_bot(spark, sf_dir):
 @query()
 def frame_offsets_walk(spark, sf_dir):
     """Items walked one by one: each document's words become fragments after an empty table."""
-    item = lambda x: F.concat(F.unhex(F.lit("FEFF00E0")), F.unhex(S.turned(F.lpad(F.hex(F.octet_length(x)), 8, "0"))), x.cast("binary"))
-    words = F.slice(F.filter(F.split("text", " "), lambda x: x != ""), 1, 8)
-    data = F.concat(F.unhex(F.lit("FEFF00E000000000")), F.aggregate(words, F.lit(b""), lambda a, x: F.concat(a, item(x))), F.unhex(F.lit("FEFFDDE000000000")))
+    item = lambda x: F.concat(F.lit("FEFF00E0"), S.turned(F.lpad(F.hex(F.octet_length(x)), 8, "0")), F.hex(x.cast("binary")))
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    data = F.unhex(F.concat(F.lit("FEFF00E000000000"), F.array_join(F.transform(words, item), ""), F.lit("FEFFDDE000000000")))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(476).cast("bigint").alias("start"), data.alias("data"), F.size(words).alias("n"))
     return layout.frames_udf(rows, "start", "data", "n").select("doc_id", F.posexplode("frames").alias("frame", "f")).select("doc_id", "frame", "f.offset", "f.length")
 
