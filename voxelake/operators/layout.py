@@ -13,6 +13,8 @@ from ..functions import scalars as S
 
 #: Fixed value: bytes before each payload in a container.
 HEADER = 1536
+#: Rows whose frames a Python worker holds at a time.
+PART_ROWS = 200
 
 
 def fallback_sorted(instances: DataFrame, series: list[str], candidates: list[str], seq: str) -> DataFrame:
@@ -83,7 +85,7 @@ def frames_udf(df: DataFrame, start: str, data: str, n_frames: str) -> DataFrame
     schema = T.StructType([*df.schema.fields, T.StructField("frames", T.ArrayType(frame))])
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in (whole.iloc[k : k + PART_ROWS] for whole in parts for k in range(0, len(whole), PART_ROWS)):
             found = []
             for s, d, n in zip(part[start], part[data], part[n_frames], strict=True):
                 try:
