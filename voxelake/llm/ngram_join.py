@@ -14,9 +14,12 @@ empty even then is signed as such. So no link is lost.
 
 Signatures give candidates in two rounds, and never all pairs of a group. First every member of a
 signature's group is compared with one centre of the group. Then only those groups whose members are
-not yet in one component have pairs across components compared, cut down by a lower bound on the sets'
-difference (parity sketches); large groups are dealt out in blocks for that. Verification compares the
-whole sets.
+not yet in one component are looked at again, groups of the same members once: members outside a
+group's largest component are held against all of other components, in tiles of bounded size, by a
+lower bound on the sets' difference (parity sketches). What passes is verified by the whole sets, a
+pair once however many groups it comes from. A tile gives a number of pairs in proportion to its
+members, the closest first; if it has more, its group is looked at again with the components as they
+are then and a larger number.
 
 Equal sets are one node from the start, named by a 64-bit hash of the set.
 """
@@ -38,8 +41,10 @@ from .components import connected_components
 LEVELS = 4
 #: A set's sketch has so many bits for each shingle in which a linked set of its size may differ, within these limits.
 SKETCH_SHARE, SKETCH_LEAST, SKETCH_MOST = 32, 256, 1 << 16
-#: Members of a signature's group that one key of the second round holds.
+#: Members of either side of a tile of the second round.
 BLOCK = 4096
+#: Pairs that a tile gives for each of its members at first, and by what the number grows if it has more.
+PAIRS, MORE = 8, 8
 #: Orders by which a group's centre is chosen, so that a set meets different centres.
 CENTRES = mixed(np.arange(16))
 #: Bytes of text that are taken up at a time: what is held of them fits a processor's cache.
@@ -200,7 +205,7 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _nodes(docs: DataFrame, like: Similarity) -> DataFrame:
-    """doc_id, n_shingles and node of every row; node is null for a text without shingles."""
+    """doc_id, n_shingles, node and mark (a hash of the text) of every row; node is null for a text without shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +213,10 @@ def _nodes(docs: DataFrame, like: Similarity) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts, TAKE):
                 sets = shingle_sets(texts[a:b], like.words)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(list(map(len, sets)), pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"]
-                )
+                found = [pa.array(list(map(len, sets)), pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *found, batch.column(2).slice(a, b - a)], ["doc_id", "n_shingles", "node", "mark"])
 
-    return docs.mapInArrow(rows, f"doc_id {kind}, n_shingles long, node long")
+    return docs.withColumn("mark", F.xxhash64("text")).mapInArrow(rows, f"doc_id {kind}, n_shingles long, node long, mark long")
 
 
 def _signed(docs: DataFrame, like: Similarity) -> DataFrame:
@@ -238,33 +242,34 @@ def _signed(docs: DataFrame, like: Similarity) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, like: Similarity) -> DataFrame:
-    """node, n, sketch and shingles (sorted, 8 bytes each) of the ``wanted`` (doc_id, node), once for each node."""
+    """node, n, sketch and shingles (sorted, 8 bytes each) of the ``wanted`` (doc_id, mark, node), once for each node."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts, nodes = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for a, b in chunks(texts, TAKE):
-                sets = [s for s, node in zip(shingle_sets(texts[a:b], like.words), nodes[a:b], strict=True) if set_hash(s) == node]
-                if sets:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([set_hash(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([sketch(s, like) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
-                        ["node", "n", "sketch", "shingles"],
-                    )
+                sets = shingle_sets(texts[a:b], like.words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes[a:b], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([sketch(s, like) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
+                    ["node", "n", "sketch", "shingles"],
+                )
 
-    wanted = wanted.withColumnRenamed("doc_id", "wanted_id")
-    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text", "node")
-    return found.mapInArrow(rows, "node long, n long, sketch binary, shingles binary").dropDuplicates(["node"])
+    wanted = wanted.select(F.col("doc_id").alias("wanted_id"), F.col("mark").alias("wanted_mark"), "node")
+    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.xxhash64("text") == F.col("wanted_mark")))
+    # rows that repeat, with an id or without, are merged within a task before they are shuffled
+    return found.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(rows, "node long, n long, sketch binary, shingles binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets link: first by the sketches' bound, then by the whole sets."""
+def _sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col(column).alias(f"of_{end}")), end)
+    return pairs.select("a", "b", "n_a", "n_b", "of_a", "of_b")
+
 
-    def sides(pairs: DataFrame, column: str) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col(column).alias(f"of_{end}")), end)
-        return pairs.select("a", "b", "n_a", "n_b", "of_a", "of_b")
+def _near(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """Those of ``pairs`` (a, b) that the sketches' bound lets pass."""
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
@@ -278,58 +283,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
                 apart[at] = np.bitwise_count(both[: len(at)] ^ both[len(at) :]).sum(1, dtype=np.int64)
             yield batch.select(["a", "b"]).filter(pa.array((apart <= like.most_different(na, nb)) & like.linked(np.minimum(na, nb), na, nb)))
 
-    def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _sides(pairs, sets, "sketch").mapInArrow(rows, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets link."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             common = np.array([len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
             keep = like.linked(common, batch.column(2).to_numpy(), batch.column(3).to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(keep.astype(bool)))
 
-    close = sides(pairs, "sketch").mapInArrow(near, "a long, b long")
-    return sides(close, "shingles").mapInArrow(equal, "a long, b long")
+    return _sides(pairs, sets, "shingles").mapInArrow(rows, "a long, b long")
 
 
-def _across(groups: DataFrame, roots: DataFrame, sets: DataFrame, like: Similarity, exact: bool) -> DataFrame:
-    """Pairs (sig, a, b) that join components within the groups (sig, centre, node).
+def _tiles(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """sig, i, j, row, root and node: members of the ``groups`` (sig, node) that hold several components, in tiles.
 
-    Within a group, members of different components that the sketches' bound lets pass are taken to be
-    linked, so that each further component is reached by one pair only, the closest. If all pairs that
-    this returns for a group hold, no link across its components is left. With ``exact`` the whole sets
-    decide at once, and all pairs do hold.
+    A group's members outside its largest component are dealt over blocks, as are those inside it. Tile
+    (i, j) holds the outside block i as its rows, and with it the outside block j (if j > i) and the
+    inside block j. Groups of the same members are taken once.
     """
-    members = groups.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
+    members = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    by_root = members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"), *names)
+    held = by_root.groupBy("sig").agg(F.sum("n").alias("members"), F.max_by("root", "n").alias("top"), F.max("n").alias("inside"), F.count(F.lit(1)).alias("components"), *[F.bit_xor(c).alias(c) for c in "xy"])
     # of a group of two, the only pair has been verified
-    split = split.filter("low <> high AND members > 2").select("sig", "members")
-    open_ = members.join(split, "sig").join(sets.select("node", "n", "sketch", "shingles") if exact else sets.select("node", "n", "sketch"), "node")
-    open_ = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = open_.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "node", "n", "sketch", *["shingles"] * exact)
-    ordered = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")
-
-    def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = pa.Table.from_batches(held).combine_chunks()
-        i, j, block, root, node, n = (group.column(k).to_numpy().copy() for k in ("i", "j", "block", "root", "node", "n"))
-        bits = unpacked(group.column("sketch").to_pylist())
-        whole = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()] if exact else None
-        found: list[tuple[int, int]] = []
-        for k in range(len(node) - 1):
-            rest = np.arange(k + 1, len(node))
-            rest = rest[root[rest] != root[k]]
-            if i[k] != j[k]:
-                rest = rest[block[rest] != block[k]]
+    split = held.filter("components > 1 AND members > 2").groupBy("members", "x", "y").agg(F.min("sig").alias("sig"), F.max("top").alias("top"), F.max("inside").alias("inside"))
+    split = split.select("sig", "top", F.ceil((F.col("members") - F.col("inside")) / BLOCK).cast("int").alias("out_blocks"), F.ceil(F.col("inside") / BLOCK).cast("int").alias("in_blocks"))
+    dealt = members.join(split, "sig").withColumn("row", F.col("root") != F.col("top"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("row"), F.col("out_blocks")).otherwise(F.col("in_blocks"))).cast("int"))
+    rows = F.transform(F.sequence(F.lit(0), F.greatest("out_blocks", "in_blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+    before = F.when(F.col("block") > 0, F.transform(F.sequence(F.lit(0), F.col("block") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    inside = F.transform(F.sequence(F.lit(0), F.col("out_blocks") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
+    tiles = F.when(F.col("row"), F.concat(rows, before)).otherwise(inside)
+    return dealt.select("sig", "row", "block", "root", "node", F.inline(tiles)).select("sig", "i", "j", (F.col("row") & (F.col("block") == F.col("i"))).alias("row"), "root", "node")
+
+
+def _across(tiles: DataFrame, sets: DataFrame, like: Similarity, pairs: int) -> DataFrame:
+    """Pairs (sig, a, b) of different components within the ``tiles`` that the sketches' bound lets pass.
+
+    A tile gives at most ``pairs`` of them for each of its members, the closest ones, and if there are
+    more a row with its sig only.
+    """
+    ordered = tiles.join(sets.select("node", "n", "sketch"), "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")
+
+    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = pa.Table.from_batches(held).combine_chunks()
+        row, root, node, n = (tile.column(k).to_numpy(zero_copy_only=False) for k in ("row", "root", "node", "n"))
+        bits = unpacked(tile.column("sketch").to_pylist())
+        near = []
+        for k in np.flatnonzero(row).tolist():
+            rest = np.flatnonzero((root != root[k]) & ~row | (root != root[k]) & (np.arange(len(row)) > k))
             rest = rest[like.linked(np.minimum(n[rest], n[k]), n[rest], n[k])]
             if len(rest):
                 apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
-                near = apart <= like.most_different(n[rest], n[k])
-                rest, apart = rest[near], apart[near]
-                for r in rest[np.argsort(apart, kind="stable")].tolist():
-                    if root[r] == root[k] or exact and not like.linked(len(np.intersect1d(whole[k], whole[r], assume_unique=True)), n[k], n[r]):
-                        continue
-                    found.append((min(int(node[r]), int(node[k])), max(int(node[r]), int(node[k]))))
-                    root[root == root[r]] = root[k]
-        if found:
-            sig = np.full(len(found), group.column("sig")[0].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(sig), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], ["sig", "a", "b"])
+                close = apart <= like.most_different(n[rest], n[k])
+                near.append(np.stack([apart[close], np.minimum(node[rest[close]], node[k]), np.maximum(node[rest[close]], node[k])]))
+        both = np.concatenate([np.empty((3, 0), np.int64), *near], 1)
+        some = both[:, np.lexsort(both[::-1])[: pairs * len(node)]]
+        sig = [tile.column("sig")[0].as_py()]
+        if some.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(sig * some.shape[1], pa.int64()), pa.array(some[1]), pa.array(some[2])], ["sig", "a", "b"])
+        if some.shape[1] < both.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64())], ["sig", "a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -341,12 +359,12 @@ def _across(groups: DataFrame, roots: DataFrame, sets: DataFrame, like: Similari
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
                 if held and tuple(keys[a]) != key:
-                    yield from pairs(held)
+                    yield from found(held)
                     held = []
                 key = tuple(keys[a])
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from pairs(held)
+            yield from found(held)
 
     return ordered.mapInArrow(rows, "sig long, a long, b long")
 
@@ -366,25 +384,29 @@ def ngram_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFr
     groups, groups_path = write_shared(signed.mapInArrow(_starred, "sig long, centre long, node long"), "ngram-groups")
     first = groups.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).filter("a <> b").distinct()
     members = groups.select("node").distinct()
-    wanted = nodes.join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "node")
+    wanted = nodes.join(members, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("one")).select("one.*", "node")
     sets, sets_path = write_shared(_sets(docs, wanted, like), "ngram-sets")
-    links, links_path = write_shared(_verified(first, sets, like), "ngram-links")
+    near, near_path = write_shared(_near(first, sets, like), "ngram-near")
+    links, links_path = write_shared(_verified(near, sets, like), "ngram-links")
     roots = connected_components(links)
-    paths = [groups_path, sets_path, links_path]
-    tried, tried_path = write_shared(_across(groups, roots, sets, like, False), "ngram-tried")
-    paths.append(tried_path)
-    if not tried.isEmpty():
-        pairs = tried.select("a", "b").distinct()
-        more, more_path = write_shared(_verified(pairs, sets, like), "ngram-links")
-        wrong, wrong_path = write_shared(tried.join(pairs.join(more, ["a", "b"], "left_anti"), ["a", "b"], "left_semi").select("sig").distinct(), "ngram-wrong")
-        paths += [more_path, wrong_path]
-        links = links.union(more)
+    paths = [groups_path, sets_path, near_path, links_path]
+    open_, tested, pairs = groups.select("sig", "node"), near, PAIRS
+    while True:
+        found, found_path = write_shared(_across(_tiles(open_, roots), sets, like, pairs), "ngram-found")
+        paths.append(found_path)
+        if found.isEmpty():
+            break
+        fresh, fresh_path = write_shared(found.filter("a IS NOT NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "ngram-near")
+        more, more_path = write_shared(_verified(fresh, sets, like), "ngram-links")
+        paths += [fresh_path, more_path]
+        links, tested = links.union(more), tested.union(fresh)
         roots = connected_components(links)
-        if not wrong.isEmpty():
-            rest, rest_path = write_shared(_across(groups.join(wrong, "sig", "left_semi"), roots, sets, like, True), "ngram-links")
-            paths.append(rest_path)
-            roots = connected_components(links.union(rest.select("a", "b").distinct()))
+        over = found.filter("a IS NULL").select("sig").distinct()
+        if over.isEmpty():
+            break
+        open_, pairs = open_.join(over, "sig", "left_semi"), pairs * MORE
     drop_shared(spark, *paths)
+    nodes = nodes.select("doc_id", "n_shingles", "node")
     least = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
