@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -39,3 +42,17 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset a session on one machine gets a temporary folder; on a cluster it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="voxelake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest
+from ..session import shared_path
 
 
 def deduplicated(stream: DataFrame, keys: list[str], time: str, delay: str = "1 hour") -> DataFrame:
@@ -26,6 +27,7 @@ def append_batches(stream: DataFrame, read: Callable[[], DataFrame], write: Call
 
 
 def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """All rows that a finite stream gives, through an in-memory table."""
-    stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """All rows that a finite stream gives, through a table in the shared folder."""
+    path = shared_path(spark, name)
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
