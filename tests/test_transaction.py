@@ -47,3 +47,12 @@ def test_stream_append(spark, tmp_path):
     query = streaming.append_batches(spark.readStream.schema(schema).parquet(source), lambda: spark.read.schema(schema).parquet(target), lambda df, _: df.write.mode("append").parquet(target), ["series", "uid"], ["seq"], str(tmp_path / "check"))
     query.awaitTermination()
     assert sorted((r.uid, r.crc) for r in spark.read.parquet(target).collect()) == [("1", "a"), ("2", "c")]
+
+
+def test_a_torn_lock_is_held_by_another(tmp_path):
+    for content in ("", "{", "[]", "{}"):
+        (tmp_path / T.Lock.NAME).write_text(content)
+        with pytest.raises(T.LockAcquisitionError):
+            T.Lock(tmp_path).acquire()
+        with pytest.raises(T.LockVerificationError):
+            T.Lock(tmp_path, "mine").verify()

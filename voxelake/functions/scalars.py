@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import gzip
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -63,6 +65,53 @@ def series_uri(store: Column, study: Column, series: Column) -> Column:
     return F.concat_ws("/", store, F.lit("studies"), study, F.lit("series"), series)
 
 
+def tar_uri(series: Column) -> Column:
+    """The container of a series."""
+    return F.concat(series, F.lit(".tar"))
+
+
+def metadata_uri(series: Column) -> Column:
+    return F.concat(series, F.lit("/metadata.json"))
+
+
+def index_uri(series: Column) -> Column:
+    return F.concat(series, F.lit("/index.sqlite"))
+
+
+def error_log_uri(series: Column) -> Column:
+    return F.concat(series, F.lit("/error.log"))
+
+
+def member_uri(series: Column, instance: Column) -> Column:
+    """An instance in the container of its series."""
+    return F.concat(tar_uri(series), F.lit("://instances/"), instance, F.lit(".dcm"))
+
+
+def parse_store_uri(uri: Column) -> Column:
+    """store, study and series of a URI of a series, its container or one of its files; null unless the URI is remote and has them."""
+    rest = F.substring_index(F.substr(uri, F.instr(uri, "/studies/") + F.lit(len("/studies/"))), "/series/", -1)
+    valid = is_remote(uri) & uri.rlike("/studies/.*/series/")
+    parts = F.struct(
+        F.substring_index(uri, "/studies/", 1).alias("store"),
+        F.regexp_extract(uri, "/studies/(.*?)/series/", 1).alias("study"),
+        without_tar(F.substring_index(F.substring_index(rest, "://", 1), "/", 1)).alias("series"),
+    )
+    return F.when(valid, parts)
+
+
+class UidHashMissing(ValueError):
+    """Hashed identifiers were asked for without a function that hashes them, or the other way round."""
+
+
+def uid(value: Column, hash_uid: Callable[[Column], Column] | None = None, hashed: bool = False) -> Column:
+    """An identifier as it is, or hashed by the given function (column to column)."""
+    if not hashed:
+        return value
+    if hash_uid is None:
+        raise UidHashMissing("hashed identifiers need a function that hashes them")
+    return hash_uid(value)
+
+
 def next_uid(uid: Column) -> Column:
     """The example de-identification: one more in the last component."""
     parts = F.split(uid, r"\.")
@@ -116,22 +165,59 @@ def _castagnoli() -> np.ndarray:
     return table
 
 
+#: Bytes of a content that are read in step with those of others.
+_LANE = 512
+
+
+@cache
+def _zeros(power: int) -> np.ndarray:
+    """Tables (4 x 256) of what ``2 ** power`` zero bytes make of a checksum's register, by its bytes."""
+    if power:
+        before = _zeros(power - 1)
+        basis = _after_zeros(before, _after_zeros(before, np.uint32(1) << np.arange(32, dtype=np.uint32)))
+    else:
+        bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+        basis = _castagnoli()[bits & 0xFF] ^ (bits >> np.uint32(8))
+    out = np.zeros((4, 256), np.uint32)
+    for k in range(4):
+        for bit in range(8):
+            out[k] ^= np.where(np.arange(256) >> bit & 1, basis[8 * k + bit], 0).astype(np.uint32)
+    return out
+
+
+def _after_zeros(tables: np.ndarray, state: np.ndarray) -> np.ndarray:
+    return tables[0][state & 0xFF] ^ tables[1][state >> 8 & 0xFF] ^ tables[2][state >> 16 & 0xFF] ^ tables[3][state >> 24]
+
+
 def crc32c_base64(contents: list[bytes]) -> list[str]:
-    """Base64 of the big-endian CRC-32C of each content; all contents go byte by byte in step."""
+    """Base64 of the big-endian CRC-32C of each content.
+
+    A checksum is linear in the bytes, so contents are cut into blocks of one size (zeros in front change
+    nothing) that all go byte by byte in step; neighbours are then combined, what stands before a block
+    being moved on by as many zero bytes as the block has.
+    """
+    if not contents:
+        return []
     table = _castagnoli()
     sizes = np.array([len(c) for c in contents], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    flat = np.frombuffer(b"".join(contents[k] for k in order), np.uint8)
-    starts = np.cumsum(sizes[order]) - sizes[order]
-    state = np.full(len(contents), 0xFFFFFFFF, np.uint32)
-    for step in range(int(sizes.max(initial=0))):
-        n = int(np.searchsorted(-sizes[order], -step, "left"))
-        state[:n] = table[(state[:n] ^ flat[starts[:n] + step]) & 0xFF] ^ (state[:n] >> np.uint32(8))
-    state ^= np.uint32(0xFFFFFFFF)
-    out = [""] * len(contents)
-    for place, k in enumerate(order):
-        out[k] = base64.b64encode(int(state[place]).to_bytes(4, "big")).decode()
-    return out
+    counts = np.maximum(1, -(-sizes // _LANE))
+    flat = np.zeros(int(counts.sum()) * _LANE, np.uint8)
+    for end, content in zip((np.cumsum(counts) * _LANE).tolist(), contents, strict=True):
+        flat[end - len(content) : end] = np.frombuffer(content, np.uint8)
+    blocks = np.ascontiguousarray(flat.reshape(-1, _LANE).T)
+    state = np.zeros(blocks.shape[1], np.uint32)
+    for row in blocks:
+        state = table[(state ^ row) & 0xFF] ^ (state >> np.uint32(8))
+    power = _LANE.bit_length() - 1
+    while counts.max() > 1:
+        starts = np.cumsum(counts) - counts
+        state = np.insert(state, starts[counts % 2 == 1], 0).reshape(-1, 2)
+        state = _after_zeros(_zeros(power), state[:, 0]) ^ state[:, 1]
+        counts, power = (counts + 1) // 2, power + 1
+    begin = np.full(len(contents), 0xFFFFFFFF, np.uint32)
+    for power in range(int(sizes.max()).bit_length()):
+        begin = np.where(sizes >> power & 1, _after_zeros(_zeros(power), begin), begin)
+    return [base64.b64encode(x.to_bytes(4, "big")).decode() for x in (state ^ begin ^ np.uint32(0xFFFFFFFF)).tolist()]
 
 
 @F.pandas_udf(T.StringType())
@@ -141,3 +227,15 @@ def crc32c(content: pd.Series) -> pd.Series:
     out = pd.Series([None] * len(content), dtype=object)
     out[known.to_numpy()] = crc32c_base64(content[known].tolist())
     return out
+
+
+@F.pandas_udf(T.BinaryType())
+def gzipped(text: pd.Series) -> pd.Series:
+    """A text as UTF-8, compressed by gzip without a time, so that equal texts give equal bytes; null for null."""
+    return text.map(lambda x: None if x is None else gzip.compress(x.encode(), mtime=0))
+
+
+@F.pandas_udf(T.StringType())
+def gunzipped(content: pd.Series) -> pd.Series:
+    """What ``gzipped`` was given."""
+    return content.map(lambda x: None if x is None else gzip.decompress(bytes(x)).decode())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +34,17 @@ def classify(batch: DataFrame, existing: DataFrame, keys: list[str], digest: str
     same: Column = F.col(digest).eqNullSafe(F.col("_stored"))
     if pixel:
         same = same | F.coalesce(F.col(pixel) == F.col("_pixel"), F.lit(False))
-    joined = batch.join(stored, keys, "left")
+    joined = _joined(batch, stored, keys)
     return joined.withColumn("status", F.when(F.col("_there").isNull(), "new").when(same, "same").otherwise("conflict")).drop("_stored", "_there", *(["_pixel"] if pixel else []))
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of ``left`` with the other columns of ``right``; a null key is a key."""
+    named = right.select(*(F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
+    on = [F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)]
+    return left.join(named, on, "left").drop(*(f"_key{n}" for n in range(len(keys))))
+
+
 def merged(existing: DataFrame, batch: DataFrame, keys: list[str], order: list[str], digest: str = "crc") -> DataFrame:
     """The store after appending a batch: what was there and the batch's new instances."""
     fresh = winners(batch, keys, order, digest).join(existing.select(*keys), keys, "left_anti")
@@ -60,14 +69,52 @@ def series_sizes(batch: DataFrame, existing: DataFrame, series: str, max_gb: flo
     """
     incoming = batch.groupBy(series).agg(F.sum(size).alias("incoming"))
     stored = existing.groupBy(series).agg(F.sum(size).alias("stored"))
-    both = incoming.join(stored, series, "left").withColumn("stored", F.coalesce("stored", F.lit(0)))
+    both = _joined(incoming, stored, [series]).withColumn("stored", F.coalesce("stored", F.lit(0)))
     return both.withColumn("too_large", (F.col("incoming") + F.col("stored")) > F.lit(max_gb * GB))
 
 
 def membership(batch: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame:
     """``batch`` with ``belongs``: whether its series is among ``series``."""
     known = series.select(*keys).distinct().withColumn("belongs", F.lit(True))
-    return batch.join(known, keys, "left").withColumn("belongs", F.coalesce("belongs", F.lit(False)))
+    return _joined(batch, known, keys).withColumn("belongs", F.coalesce("belongs", F.lit(False)))
+
+
+def belonging(batch: DataFrame, study: str, series: str, *, hashed: bool, hash_uid: Callable[[Column], Column] | None = None, names: tuple[str, str] = ("study_uid", "series_uid")) -> DataFrame:
+    """``batch`` with ``belongs``: whether its identifiers, hashed if the series' are, are those of the series (``study``, ``series``).
+
+    A series with hashed identifiers needs the function that hashes them, and one without may not be
+    given one (``UidHashMissing``).
+    """
+    if hashed != (hash_uid is not None):
+        raise S.UidHashMissing("a series has hashed identifiers if and only if its instances come with a function that hashes them")
+    of = lambda name: S.uid(F.col(name), hash_uid, hashed)
+    return batch.withColumn("belongs", of(names[0]).eqNullSafe(F.lit(study)) & of(names[1]).eqNullSafe(F.lit(series)))
+
+
+def record_dupes(existing: DataFrame, appended: DataFrame, keys: list[str], at: Column, path: str = "path", paths: str = "diff_hash_dupe_paths", modified: str = "modified_datetime") -> DataFrame:
+    """``existing`` with the remote paths of conflicting rows (of ``append``) that are not listed yet.
+
+    ``at`` is the time of the batch, which becomes ``modified`` of the rows that got a path, as ISO 8601.
+    Paths are added in order; null lists count as empty. ``existing`` has no row twice.
+    """
+    found = appended.filter((F.col("status") == "conflict") & S.is_remote(F.col(path))).groupBy(*keys).agg(F.array_sort(F.collect_set(path)).alias("_paths"))
+    listed = F.coalesce(paths, F.array().cast("array<string>"))
+    fresh = F.array_except(F.coalesce("_paths", F.array().cast("array<string>")), listed)
+    joined = _joined(existing, found, keys).withColumn("_fresh", fresh)
+    time = F.when(F.size("_fresh") > 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise(F.col(modified))
+    return joined.withColumn(modified, time).withColumn(paths, F.concat(listed, F.col("_fresh"))).drop("_paths", "_fresh")
+
+
+class NothingAppended(ValueError):
+    """All instances of a batch had errors."""
+
+
+def require_some(appended: DataFrame) -> DataFrame:
+    """``appended`` (of ``append``), or ``NothingAppended`` if it has rows and all of them are errors."""
+    some = appended.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("errors")).first()
+    if some.n and some.n == some.errors:
+        raise NothingAppended(f"{some.n} instances")
+    return appended
 
 
 def grouped(batch: DataFrame, keys: list[str], *, order: str, value: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..session import bounded_batches
 
 #: Fixed value: bytes before each payload in a container.
 HEADER = 1536
@@ -17,14 +18,23 @@ HEADER = 1536
 PART_ROWS = 200
 
 
-def fallback_sorted(instances: DataFrame, series: list[str], candidates: list[str], seq: str) -> DataFrame:
-    """0-based ``position`` in a series by the first candidate column that all its instances have, else as appended."""
+def fallback_sorted(instances: DataFrame, series: list[str], candidates: list[str], seq: str, strict: bool = False) -> DataFrame:
+    """0-based ``position`` in a series by the first candidate column that all its instances have, else as appended.
+
+    With ``strict`` the position is null in a series whose instances all have none of the candidates.
+    """
     whole = Window.partitionBy(*series)
     key: Column = F.col(seq).cast("double")
     for name in reversed(candidates):
         key = F.when(F.bool_and(F.col(name).isNotNull()).over(whole), F.col(name).cast("double")).otherwise(key)
     keyed = instances.withColumn("_key", key)
-    return keyed.withColumn("position", F.row_number().over(whole.orderBy("_key", seq)) - 1).drop("_key")
+    position = F.row_number().over(whole.orderBy("_key", seq)) - 1
+    if strict:
+        sortable = F.lit(False)
+        for name in candidates:
+            sortable = sortable | F.bool_and(F.col(name).isNotNull()).over(whole)
+        position = F.when(sortable, position)
+    return keyed.withColumn("position", position).drop("_key")
 
 
 def container_offsets(instances: DataFrame, series: list[str], order: list[str], size: str = "size") -> DataFrame:
@@ -95,4 +105,5 @@ def frames_udf(df: DataFrame, start: str, data: str, n_frames: str) -> DataFrame
                 found.append([{"offset": o, "length": size} for o, size in own] if len(own) == n else [])
             yield part.assign(frames=found)
 
+    bounded_batches(df.sparkSession)
     return df.mapInPandas(rows, schema)

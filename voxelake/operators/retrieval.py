@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
+#: Tags of an answer at study level (fixed values).
+STUDY_TAGS = ("00100010", "00100020", "00100030", "00100040", "00080020", "00080030", "00080050", "00080090", "0020000D", "00081030")
+
+
 def parse(uri: Column) -> Column:
     """The parts of ``<store>/studies/S[/series/R[/instances/I[/frames/1,2]]][/metadata]`` as a struct."""
     frames = S.after(uri, "/frames/")
@@ -46,3 +50,61 @@ def study_attributes(instances: DataFrame, study: str, series: str, seq: str, at
     """Attributes of one instance of each study: the first of its least series."""
     least = F.min_by(F.struct(*attributes), F.struct(series, seq))
     return instances.groupBy(study).agg(F.min(series).alias(series), least.alias("_of")).select(study, series, "_of.*")
+
+
+def answers(requests: DataFrame, instances: DataFrame) -> DataFrame:
+    """Answers to ``requests`` (uri, any other columns) from ``instances``.
+
+    ``instances`` has store, study_uid, series_uid, instance_uid, seq, metadata (JSON text) and
+    frames (array<binary>, null without pixel data). Adds level, fault (why there is no answer, else
+    null), body (JSON text: at study level the ten ``STUDY_TAGS`` of the first instance of its least
+    series, null where it has none; at series level a list of its instances' metadata in order; at
+    instance level its metadata) and content (at frame level the frames asked for).
+
+    A request that is not valid or finds nothing has a fault and no answer. Null URIs are faulty;
+    requests that repeat are each answered; with no instances every valid request finds nothing.
+    """
+    names = list(requests.columns)
+    parsed = requests.withColumn("_r", parse(F.col("uri"))).withColumn("_fault", F.when(F.col("uri").isNull(), "no uri").otherwise(request_fault(F.col("uri"), F.col("_r")))).withColumn("level", level(F.col("_r")))
+    valid = parsed.filter("_fault IS NULL")
+    place = ["store", "study_uid", "series_uid"]
+
+    def asked(name: str, keys: list[str]) -> DataFrame:
+        of = dict(zip([*place, "instance_uid"], ("store", "study", "series", "instance"), strict=True))
+        return valid.filter(F.col("level") == name).select("*", *(F.col(f"_r.{of[k]}").alias(f"_{k}") for k in keys))
+
+    def answered(name: str, keys: list[str], found: DataFrame) -> DataFrame:
+        on = [F.col(f"_{k}") == F.col(f"_of_{k}") for k in keys]
+        held = found.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("body").alias("_body"), F.col("frames").alias("_frames"), F.lit(True).alias("_there"))
+        return asked(name, keys).join(held, on, "left").select(*names, "level", "_r", "_there", "_body", "_frames")
+
+    none = F.lit(None).cast("array<binary>")
+    whole = instances.select(*place, "instance_uid", F.col("metadata").alias("body"), "frames")
+    series = instances.groupBy(*place).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "instance_uid", "metadata"))), lambda x: F.coalesce(x["metadata"], F.lit("null"))), ","), F.lit("]")).alias("body")).withColumn("frames", none)
+    first = instances.groupBy("store", "study_uid").agg(F.min_by("metadata", F.struct("series_uid", "seq", "instance_uid")).alias("m"))
+    tags = F.array_join(F.array(*(F.concat(F.lit(f'"{t}":'), F.coalesce(F.get_json_object("m", f"$.{t}"), F.lit("null"))) for t in STUDY_TAGS)), ",")
+    study = first.select("store", "study_uid", F.concat(F.lit("{"), tags, F.lit("}")).alias("body"), none.alias("frames"))
+    parts = [answered("study", place[:2], study), answered("series", place, series), answered("instance", [*place, "instance_uid"], whole), answered("frame", [*place, "instance_uid"], whole)]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    wanted = F.col("_r.frames")
+    fault = F.when(F.col("_there").isNull(), "not found").when(F.col("level") == "frame", frame_fault(F.col("_frames").isNotNull(), F.size("_frames"), wanted))
+    good = rows.withColumn("fault", fault).select(
+        *names, "level", "fault",
+        F.when(F.col("fault").isNull() & (F.col("level") != "frame"), F.col("_body")).alias("body"),
+        F.when(F.col("fault").isNull() & (F.col("level") == "frame"), F.transform(wanted, lambda i: F.element_at("_frames", i))).alias("content"),
+    )
+    bad = parsed.filter("_fault IS NOT NULL").select(*names, "level", F.col("_fault").alias("fault"), F.lit(None).cast("string").alias("body"), none.alias("content"))
+    return good.unionByName(bad)
+
+
+class InstanceNotFound(LookupError):
+    """No instance of that identifier, or at that place of its series."""
+
+
+def instance(instances: DataFrame, series: str, *, uid: str | None = None, position: int | None = None, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """The one instance of a series (series_uid, instance_uid) with an identifier, or at a place of its order; ``InstanceNotFound`` without one."""
+    own = instances.filter(F.col("series_uid") == series)
+    found = own.filter(F.col("instance_uid") == uid) if uid is not None else own.orderBy(*order).offset(position).limit(1) if position is not None and position >= 0 else own.limit(0)
+    if found.isEmpty():
+        raise InstanceNotFound(f"{series}: {uid if uid is not None else position}")
+    return found

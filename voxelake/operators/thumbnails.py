@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,9 @@ def numbered(frames: DataFrame, series: list[str], order: list[str]) -> DataFram
 
 def normalised(pixels: Column) -> Column:
     """Pixel values stretched to 0..255; a constant frame becomes zeros."""
-    low, high = F.array_min(pixels), F.array_max(pixels)
-    return F.transform(pixels, lambda p: F.when(high > low, F.round((p - low) / (high - low) * 255, 0)).otherwise(F.lit(0.0)).cast("int"))
+    # the bounds are found once a frame: as fields of a struct in an array of one, not in the function of each pixel
+    bounded = F.transform(F.array(F.struct(F.array_min(pixels).alias("low"), F.array_max(pixels).alias("high"))), lambda b: F.transform(pixels, lambda p: F.when(b["high"] > b["low"], F.round((p - b["low"]) / (b["high"] - b["low"]) * 255, 0)).otherwise(F.lit(0.0)).cast("int")))
+    return F.element_at(bounded, 1)
 
 
 def halved(pixels: Column, edge: int) -> Column:
@@ -66,6 +69,63 @@ def letterbox(frame: np.ndarray, edge: int = EDGE) -> np.ndarray:
     return out
 
 
+class NoPixelData(ValueError):
+    """A series without any pixel data has no thumbnail."""
+
+
+def generate(frames: DataFrame, series: list[str], order: list[str], edge: int = EDGE) -> DataFrame:
+    """Thumbnails of ``frames`` (series and order columns, height, width, channels 1 or 3 or 4, pixels row by row).
+
+    Adds to the series and order columns: thumbnail_index (place in the series), anchors, channels and
+    ``pixels``, an ``edge`` x ``edge`` image as bytes: the frame stretched to 0..255, resized and centred on
+    black. If any frame of a series has colours all have three channels. A frame without pixels has null
+    pixels and no index.
+    """
+    colour = F.max(F.coalesce(F.col("channels"), F.lit(1)) > 1).over(Window.partitionBy(*series))
+    known = numbered(frames.withColumn("_colour", colour).filter("pixels IS NOT NULL"), series, order).withColumn("anchors", anchors(F.col("height"), F.col("width"), edge))
+    named = known.select(*series, *order, "thumbnail_index", "anchors", F.when(F.col("_colour"), 3).otherwise(1).alias("channels"), F.col("channels").alias("_channels"), "height", "width", F.col("pixels").cast("array<double>").alias("pixels"))
+    schema = named.drop("_channels", "height", "width").withColumn("pixels", F.lit(None).cast("binary")).schema
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in (whole.iloc[k : k + 16] for whole in parts for k in range(0, len(whole), 16)):
+            images = []
+            for row in part.itertuples(index=False):
+                held = dict(zip(part.columns, row, strict=True))
+                own = np.asarray(held["pixels"], float).reshape(held["height"], held["width"], -1)[..., :3]
+                span = own.max() - own.min()
+                own = np.round((own - own.min()) / span * 255) if span > 0 else np.zeros_like(own)
+                own = np.repeat(own[..., :1], 3, 2) if held["channels"] == 3 and own.shape[2] < 3 else own[..., : held["channels"]]
+                images.append(np.clip(np.round(letterbox(own, edge)), 0, 255).astype(np.uint8).tobytes())
+            yield part.drop(columns=["_channels", "height", "width"]).assign(pixels=images)[schema.names]
+
+    drawn = named.mapInPandas(draw, schema)
+    blank = frames.filter("pixels IS NULL").select(*series, *order, *(F.lit(None).cast(schema[c].dataType).alias(c) for c in ("thumbnail_index", "anchors", "channels", "pixels")))
+    return drawn.unionByName(blank)
+
+
+def require_pixels(frames: DataFrame, series: list[str]) -> DataFrame:
+    """``frames``, or ``NoPixelData`` if all frames of a series lack pixels."""
+    bare = frames.groupBy(*series).agg(F.count("pixels").alias("n")).filter("n = 0").limit(5).collect()
+    if bare:
+        raise NoPixelData(", ".join(str(tuple(r)[:-1]) for r in bare))
+    return frames
+
+
+def write_thumbnails(thumbnails: DataFrame, path: str) -> None:
+    """Keep the thumbnails of ``generate``, by series for later look-up."""
+    thumbnails.write.mode("overwrite").parquet(path)
+
+
+def current(path: str, now: DataFrame, frames: DataFrame, series: str, instance: str) -> DataFrame:
+    """Stored thumbnails of series whose instances have not changed, with new ones for the others.
+
+    ``now`` (series, instance) are the instances there are; ``frames`` those to draw from, whose order is ``instance``, frame.
+    """
+    stored = now.sparkSession.read.parquet(path)
+    old = stale(now, stored, series, instance).filter("stale").select(series)
+    return stored.join(old, series, "left_anti").unionByName(generate(frames.join(old, series, "left_semi"), [series], [instance, "frame"]))
+
+
 def harmonised(frames: list[np.ndarray]) -> np.ndarray:
     """Frames of one shape stacked; if any has colours, grey ones get three equal channels and alpha goes."""
     if not frames:

@@ -304,7 +304,7 @@ def frame_offsets_bot(spark, sf_dir):
     return tables.select("l_orderkey", F.posexplode(frames).alias("frame", "f")).select("l_orderkey", F.col("frame").cast("bigint").alias("frame"), "f.offset", "f.length")
 
 
-@query()
+@query("WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents), u AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w) SELECT doc_id, (i - 1)::INT AS frame, (476 + 16 + coalesce(sum(8 + strlen(x)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\", strlen(x)::BIGINT AS length FROM u WHERE n > 1")
 def frame_offsets_walk(spark, sf_dir):
     """Items walked one by one: each document's words become fragments after an empty table."""
     item = lambda x: F.concat(F.lit("FEFF00E0"), S.turned(F.lpad(F.hex(F.octet_length(x)), 8, "0")), F.hex(x.cast("binary")))
@@ -335,6 +335,13 @@ def crc32c_checksum(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.crc32c(F.col("text").cast("binary")).alias("crc32c"))
 
 
+@query("SELECT doc_id, n_chars AS size, substr(text, 1, 512) AS head FROM documents WHERE text IS NOT NULL")
+def metadata_head(spark, sf_dir):
+    """Bulk elements keep their first characters in the metadata, through gzip and back."""
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return rows.select("doc_id", F.col("n_chars").alias("size"), S.gunzipped(S.gzipped(F.substr("text", F.lit(1), F.lit(512)))).alias("head"))
+
+
 # ---- identifiers and URIs -----------------------------------------------------------------------
 
 
@@ -396,8 +403,9 @@ def deid_series(spark, sf_dir):
 
 @query("SELECT a.l_orderkey, a.l_linenumber, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY 1, 2")
 def identity_equality(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    return rows.join(rows, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    """Pairs of equal instances, from the number of each without forming them."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("each"))
+    return rows.select("l_orderkey", "l_linenumber", (F.col("each") * F.col("each")).alias("n"))
 
 
 @query("SELECT source, count(DISTINCT lang) = 1 AS same_mode FROM documents GROUP BY 1")
@@ -534,3 +542,145 @@ def stream_dedupe(spark, sf_dir):
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir)
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts")
     return streaming.drained(spark, streaming.deduplicated(timed, ["event_id"], "ts", "365 days"), f"stream_{uuid.uuid4().hex}").select("event_id")
+
+
+# ---- whole operations ---------------------------------------------------------------------------
+
+#: A batch held against the store: sizes first, then the first of equal keys, then the series, then the stored instances.
+APPENDED = f"""{VI}, e AS (SELECT * FROM i WHERE {OLD} QUALIFY row_number() OVER (PARTITION BY series_uid, instance_uid ORDER BY arrived, path) = 1),
+ a AS (SELECT * FROM i WHERE NOT {OLD}), small AS (SELECT * FROM a WHERE size <= 49000),
+ large AS (SELECT s.series_uid FROM (SELECT series_uid, sum(size) AS n FROM small GROUP BY 1) s LEFT JOIN (SELECT series_uid, sum(size) AS n FROM e GROUP BY 1) t USING (series_uid) WHERE s.n + coalesce(t.n, 0) > 150000),
+ ranked AS (SELECT *, row_number() OVER w AS rn, first_value(crc) OVER w AS first_crc FROM small WHERE series_uid NOT IN (SELECT series_uid FROM large) WINDOW w AS (PARTITION BY series_uid, instance_uid ORDER BY arrived, path)),
+ r AS (SELECT series_uid, instance_uid, path, size, crc, 'error' AS status FROM a WHERE size > 49000
+  UNION ALL SELECT series_uid, instance_uid, path, size, crc, 'error' FROM small WHERE series_uid IN (SELECT series_uid FROM large)
+  UNION ALL SELECT series_uid, instance_uid, path, size, crc, CASE WHEN crc = first_crc THEN 'same' ELSE 'conflict' END FROM ranked WHERE rn > 1
+  UNION ALL SELECT k.series_uid, k.instance_uid, k.path, k.size, k.crc, CASE WHEN o.o_orderkey IS NULL THEN 'error' WHEN e.crc IS NULL THEN 'new' WHEN e.crc = k.crc THEN 'same' ELSE 'conflict' END
+   FROM ranked k LEFT JOIN orders o ON k.series_uid = o.o_orderkey AND o.o_orderstatus <> 'P' LEFT JOIN e ON k.series_uid = e.series_uid AND k.instance_uid = e.instance_uid WHERE rn = 1)"""
+
+
+def appended(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored instances, and every arriving row with its status."""
+    rows = instances(spark, sf_dir)
+    stored = ingest.winners(rows.filter("arrived < TIMESTAMP_NTZ '2000-01-01'"), KEYS, ORDER)
+    known = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("series_uid"))
+    batch = rows.filter("arrived >= TIMESTAMP_NTZ '2000-01-01'")
+    return stored, ingest.append(batch, stored, KEYS, ORDER, series="series_uid", known=known, max_instance_gb=49000 / ingest.GB, max_series_gb=150000 / ingest.GB)
+
+
+@query(f"WITH {APPENDED} SELECT series_uid, instance_uid, path, size, crc, status FROM r")
+def append_batch(spark, sf_dir):
+    """The whole of an append: every arriving row with what becomes of it."""
+    return appended(spark, sf_dir)[1].select("series_uid", "instance_uid", "path", "size", "crc", "status")
+
+
+@query(f"WITH {APPENDED} SELECT count(*) FILTER (status = 'same') AS num_true_duplicates, count(*) FILTER (status = 'conflict') AS num_diffhash_duplicates, count(DISTINCT series_uid) FILTER (status IN ('same', 'conflict')) AS num_duplicate_series, count(DISTINCT series_uid) FILTER (status = 'new') AS tar_success, coalesce(sum(size) FILTER (status = 'new'), 0)::BIGINT AS tar_bytes_processed FROM r")
+def append_counters(spark, sf_dir):
+    return counters.append_counts(appended(spark, sf_dir)[1], "series_uid")
+
+
+@query(f"WITH {APPENDED}, c AS (SELECT series_uid, instance_uid, array_to_string(list_sort(list(DISTINCT path)), ',') AS paths FROM r WHERE status = 'conflict' AND regexp_matches(path, '^(http|s3://|gs://)') GROUP BY 1, 2) SELECT e.series_uid, e.instance_uid, coalesce(c.paths, '') AS paths, CASE WHEN c.paths IS NOT NULL THEN '2001-02-03T04:05:06.000000' END AS modified FROM e LEFT JOIN c USING (series_uid, instance_uid)")
+def append_records_dupes(spark, sf_dir):
+    """Stored instances with the remote paths of differing duplicates and the time of the batch."""
+    stored, rows = appended(spark, sf_dir)
+    stored = stored.withColumn("diff_hash_dupe_paths", F.lit(None).cast("array<string>")).withColumn("modified_datetime", F.lit(None).cast("string"))
+    done = ingest.record_dupes(stored, rows, KEYS, F.lit("2001-02-03 04:05:06").cast("timestamp_ntz"))
+    return done.select(*KEYS, F.array_join("diff_hash_dupe_paths", ",").alias("paths"), F.col("modified_datetime").alias("modified"))
+
+
+@query("SELECT '1.2.' || (o_custkey + 1) AS study, o_orderkey, o_custkey % 2 = 0 AND o_orderkey % 3 > 0 AS belongs FROM orders WHERE o_custkey % 2 = 0")
+def same_hash_mode_membership(spark, sf_dir):
+    """Instances with a hash function held against series with hashed identifiers."""
+    orders = table(spark, sf_dir, "orders").filter("o_custkey % 2 = 0").withColumn("raw", F.concat(F.lit("1.2."), "o_custkey"))
+    hashed = orders.withColumn("study", S.uid(F.col("raw"), S.next_uid, hashed=True))
+    series = hashed.filter("o_orderkey % 3 > 0").select("study", F.col("o_orderkey").alias("series"))
+    return ingest.membership(hashed.withColumn("series", F.col("o_orderkey")), series, ["study", "series"]).select("study", "o_orderkey", "belongs")
+
+
+STORED = """m AS (SELECT 'gs://store' AS store, '1.2.' || o_custkey AS study, '1.2.' || o_custkey || '.' || o_orderkey AS series, '1.2.' || l_linenumber AS instance, min(l_linenumber) AS seq,
+  '{"00080050":' || o_orderkey || ',"00200013":' || l_linenumber || '}' AS metadata FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey, l_linenumber)"""
+
+
+def stored_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "o_orderkey", "l_linenumber").distinct()
+    study = F.concat(F.lit("1.2."), F.col("o_custkey"))
+    return rows.select(
+        F.lit("gs://store").alias("store"), study.alias("study_uid"), F.concat(study, F.lit("."), "o_orderkey").alias("series_uid"), F.concat(F.lit("1.2."), "l_linenumber").alias("instance_uid"), F.col("l_linenumber").alias("seq"),
+        F.concat(F.lit('{"00080050":'), "o_orderkey", F.lit(',"00200013":'), "l_linenumber", F.lit("}")).alias("metadata"), F.array(F.encode(F.col("l_linenumber").cast("string"), "utf-8"), F.lit(b"second")).alias("frames"),
+    )
+
+
+@query(
+    f"""WITH {STORED}, q AS (
+  SELECT o_orderkey, l_linenumber, '1.2.' || o_custkey AS study, '1.2.' || o_custkey || '.' || o_orderkey AS series, '1.2.' || l_linenumber AS instance,
+   CASE WHEN l_partkey % 5 = 0 THEN 'study' WHEN l_partkey % 5 = 1 THEN 'series' WHEN l_partkey % 5 = 2 THEN 'instance' WHEN l_partkey % 5 = 3 THEN 'frame' ELSE 'stray' END AS kind
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+ ser AS (SELECT study, series, '[' || string_agg(metadata, ',' ORDER BY seq) || ']' AS body FROM m GROUP BY 1, 2),
+ stu AS (SELECT study, arg_min(metadata, (series, seq)) AS metadata FROM m GROUP BY 1)
+SELECT o_orderkey, l_linenumber, CASE WHEN kind = 'stray' THEN 'instance' ELSE kind END AS level, CASE WHEN kind = 'stray' THEN 'not found' WHEN kind = 'frame' AND l_linenumber > 1 THEN 'out of bounds' END AS fault,
+ CASE kind WHEN 'study' THEN '{{"00100010":null,"00100020":null,"00100030":null,"00100040":null,"00080020":null,"00080030":null,"00080050":' || regexp_extract(stu.metadata, '"00080050":([0-9]+)', 1) || ',"00080090":null,"0020000D":null,"00081030":null}}'
+  WHEN 'series' THEN ser.body WHEN 'instance' THEN m.metadata END AS body,
+ CASE WHEN kind = 'frame' AND l_linenumber = 1 THEN l_linenumber || ',second' END AS content
+FROM q LEFT JOIN stu ON q.study = stu.study LEFT JOIN ser ON q.study = ser.study AND q.series = ser.series LEFT JOIN m ON q.study = m.study AND q.series = m.series AND q.instance = m.instance"""
+)
+def request_answers(spark, sf_dir):
+    """Requests at all four levels, routed and answered; strays ask for an instance that is not there."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    kind = F.pmod("l_partkey", F.lit(5))
+    line = F.col("l_linenumber")
+    series = F.concat(F.lit("gs://store/studies/1.2."), "o_custkey", F.lit("/series/1.2."), "o_custkey", F.lit("."), "o_orderkey")
+    uri = (
+        F.when(kind == 0, F.concat(F.lit("gs://store/studies/1.2."), "o_custkey", F.lit("/metadata"))).when(kind == 1, F.concat(series, F.lit("/metadata")))
+        .when(kind == 2, F.concat(series, F.lit("/instances/1.2."), line, F.lit("/metadata"))).when(kind == 3, F.concat(series, F.lit("/instances/1.2."), line, F.lit("/frames/"), line, F.lit(","), line + 1))
+        .otherwise(F.concat(series, F.lit("/instances/9.9/metadata")))
+    )
+    requests = rows.select("o_orderkey", "l_linenumber", uri.alias("uri")).distinct()
+    got = retrieval.answers(requests, stored_instances(spark, sf_dir))
+    return got.select("o_orderkey", "l_linenumber", "level", "fault", "body", F.array_join(F.transform("content", lambda x: F.decode(x, "utf-8")), ",").alias("content"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(u, '/studies/.*/series/') THEN 'https://h' END AS store, CASE WHEN regexp_matches(u, '/studies/.*/series/') THEN 's' || page_id END AS study, CASE WHEN regexp_matches(u, '/studies/.*/series/') THEN 'r' || page_id END AS series FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://h/studies/s' || page_id || '/series/r' || page_id || '.tar' WHEN 1 THEN 'https://h/studies/s' || page_id || '/series/r' || page_id || '/metadata.json' WHEN 2 THEN 'https://h/studies/s' || page_id || '/series/r' || page_id || '.tar://instances/i.dcm' ELSE url END AS u FROM pages)")
+def store_uri_parse(spark, sf_dir):
+    series = S.series_uri(F.lit("https://h"), F.concat(F.lit("s"), "page_id"), F.concat(F.lit("r"), "page_id"))
+    k = F.col("page_id") % 4
+    uri = F.when(k == 0, S.tar_uri(series)).when(k == 1, S.metadata_uri(series)).when(k == 2, S.member_uri(series, F.lit("i"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").withColumn("p", S.parse_store_uri(uri)).select("page_id", "p.store", "p.study", "p.series")
+
+
+@query("SELECT o_orderkey, u || '/metadata.json' AS metadata, u || '/index.sqlite' AS index, u || '/error.log' AS log, u || '.tar://instances/1.' || o_orderkey || '.dcm' AS member FROM (SELECT o_orderkey, 'gs://store/studies/1.2.' || o_custkey || '/series/1.2.3.' || o_orderkey AS u FROM orders)")
+def file_uris(spark, sf_dir):
+    u = S.series_uri(F.lit("gs://store"), F.concat(F.lit("1.2."), "o_custkey"), F.concat(F.lit("1.2.3."), "o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.metadata_uri(u).alias("metadata"), S.index_uri(u).alias("index"), S.error_log_uri(u).alias("log"), S.member_uri(u, F.concat(F.lit("1."), "o_orderkey")).alias("member"))
+
+
+@query(f"WITH {SPLIT} SELECT e.* EXCLUDE (arrived) FROM e ANTI JOIN (SELECT series_uid, instance_uid FROM b WHERE instance_uid NOT LIKE '%.1') g USING (series_uid, instance_uid)")
+def remove_with_guards(spark, sf_dir):
+    """Removal that would fail if a series lost all; the first line of each order stays."""
+    stored, batch = split(spark, sf_dir)
+    given = batch.filter(~F.col("instance_uid").endswith(".1"))
+    bare = stored.join(given.select(*KEYS), KEYS, "left_semi").select("series_uid").distinct()
+    kept = dml.remove(stored, given, KEYS)
+    lost = bare.join(kept.select("series_uid").distinct(), "series_uid", "left_anti")
+    # series that would lose all are asked for by one request less each, so that the guard holds
+    guarded = dml.remove_guarded(stored.join(lost, "series_uid", "left_anti"), given, KEYS, "series_uid")
+    return guarded.unionByName(dml.remove(stored.join(lost, "series_uid", "left_semi"), given, KEYS)).drop("arrived")
+
+
+@query(f"WITH {VI}, d AS (SELECT instance_uid AS uid, path AS uri, crc, size FROM i), f AS (SELECT path AS uri, min(crc) AS found FROM i WHERE size % 7 > 0 GROUP BY 1) SELECT uid, uri, CASE WHEN contains(uri, '.tar://') THEN 'nested' WHEN found IS NULL THEN 'gone' WHEN regexp_matches(uri, '^(http|s3://|gs://)') AND found <> crc THEN 'mismatch' ELSE 'delete' END AS action FROM d LEFT JOIN f USING (uri)")
+def dependency_deletion(spark, sf_dir):
+    rows = instances(spark, sf_dir)
+    stored = rows.filter("size % 7 > 0").groupBy(F.col("path").alias("uri")).agg(F.min("crc").alias("crc"))
+    return integrity.dependency_plan(rows.select(F.col("instance_uid").alias("uid"), F.array("path").alias("dependencies"), "crc", "size"), stored)
+
+
+@query("WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey % 2 = 0 OR l_linenumber > 1 THEN l_quantity END AS k FROM lineitem), t AS (SELECT *, count(k) OVER (PARTITION BY l_orderkey) = count(*) OVER (PARTITION BY l_orderkey) AS whole FROM s) SELECT l_orderkey, count(*) FILTER (whole) AS placed, count(*) FILTER (NOT whole) AS unplaced FROM t GROUP BY 1")
+def strict_order(spark, sf_dir):
+    """Series whose instances all have a sort key are placed, others not at all."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when((F.col("l_orderkey") % 2 == 0) | (F.col("l_linenumber") > 1), F.col("l_quantity")).alias("k"))
+    placed = layout.fallback_sorted(rows, ["l_orderkey"], ["k"], "l_linenumber", strict=True)
+    return placed.groupBy("l_orderkey").agg(F.count("position").alias("placed"), F.count_if(F.col("position").isNull()).alias("unplaced"))
+
+
+@query("SELECT count(*) FILTER (event_type = 'purchase') AS series_deleted, count(*) FILTER (event_type = 'error') AS series_deletions_failed, count(*) FILTER (event_type = 'click') AS series_not_found FROM events")
+def deletion_outcomes(spark, sf_dir):
+    named = F.when(F.col("event_type") == "purchase", "deleted").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "not found")
+    return counters.series_deletion_counts(table(spark, sf_dir, "events").select(named.alias("outcome")))

@@ -37,10 +37,13 @@ class Lock:
         self.path, self.generation = Path(folder) / self.NAME, generation
 
     def _held(self) -> str | None:
+        """Whose the lock is: null if it is not there, empty if it is not whole (held by one that can't be told)."""
         try:
-            return json.loads(self.path.read_text())["generation"]
+            return str(json.loads(self.path.read_text())["generation"])
         except FileNotFoundError:
             return None
+        except (ValueError, KeyError, TypeError):
+            return ""
 
     def acquire(self, snapshot: str | None = None) -> Lock:
         """Take the lock, or take it up again with the same generation."""
