@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from typing import TypeVar
@@ -14,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 T = TypeVar("T")
 
 #: Characters of text that a Python worker holds as separate words at a time.
@@ -31,18 +31,6 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset, as in single-machine tests, a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="voxelake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes that go to a Python worker at a time.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
@@ -54,7 +42,7 @@ def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     This cuts the lineage: later stages survive the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     # what was shuffled for the table is of no use once it is written
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
@@ -228,7 +216,8 @@ _STRETCH = 1 << 21
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd factor and of its inverse, modulo 2 ** 64."""
     inverse = pow(_FACTOR, -1, 1 << 64)
     return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, f, np.uint64)])) for f in (_FACTOR, inverse))
 
@@ -239,7 +228,7 @@ def _stretch_hashes(data: np.ndarray, between: np.ndarray) -> tuple[np.ndarray,
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     size = 1 << max(16, len(data).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = powers(size)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
         hashes = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))

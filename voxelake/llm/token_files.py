@@ -2,28 +2,32 @@
 
 Format of a *segment* (little-endian; one binary value of the written table, a file of its own)::
 
-    magic "VXTK", u8 version, u32 documents, u64 ids, u32 blocks
+    magic "VXTK", u8 version, u32 documents, u64 ids, u32 blocks, u32 file, u64 ids before, u32 names
+    names: the documents' doc_ids, an Arrow stream of one column compressed by zlib
     u32 ids of each document
     for each block: u32 ids, u32 lanes, u32 payload bytes, u32 crc32 of the block's ids, payload
 
-A block is reset independently: it is decoded without any other. Its ids are dealt over lanes of
-consecutive ids that are coded in step, each by a range coder of its own and all by one model, so that
-every step of the model is one vector operation over the lanes. A payload holds the lanes' byte
-counts, then their bytes.
+"file" is the number of the range of doc_ids that the segment belongs to, "ids before" counts the ids of
+that range's segments before it. A block is reset independently: it is decoded without any other. Its
+ids are dealt over lanes of consecutive ids that are coded in step, each by a range coder of its own and
+all by one model, so that every step of the model is one vector operation over the lanes. A payload
+holds the lanes' byte counts, then their bytes.
 
 The model predicts an id from the two before it (order 2), from the one before it (order 1) and from
-how often ids came (order 0), and mixes the three into one distribution over the coder's range: the
-order-2 and order-1 candidates get shares that follow how often such predictions held so far, at the
-candidate's count and the candidates' agreement; the order-0 distribution gets the rest. Candidates,
-counts, shares and order-0 frequencies are updated after every step, in coder and decoder alike.
+how often ids came (order 0), and mixes the three predictions into one distribution: an id's interval
+is as wide as its order-0 share of the width that is left to order 0, and wider by order 2's and by
+order 1's weight if they predict it. The weights follow how often such predictions held so far, at
+the candidates' counts and their agreement. An id is coded in one interval of that mixture. All of the
+model is whole numbers, updated after every step in coder and decoder alike; where lanes write to one
+place of a table the largest value stays, so the outcome hangs on no order of writing.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -32,16 +36,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Interner, bounded_batches, chunks, flat_ranges, segments, table, text_of, worker_table, write_shared
+from .common import bounded_batches, chunks, flat_ranges, mixed, powers, table, text_of, worker_table, write_shared
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words that a worker keeps before it starts its table anew.
-TABLE_WORDS = 800_000
-#: Runs of letters that no normal form changes, and words of one run and at most one punctuation mark.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-PLAIN = re.compile(f"({LETTERS.pattern})([.,;:!?]?)")
+#: Lists of ids that a worker keeps before it starts its table anew, and bits of the table's places.
+TABLE_LISTS, TABLE_BITS = 1_500_000, 22
+#: Bytes of text that are taken up at a time: what is held of them fits a processor's cache.
+STRETCH = 1 << 18
+#: Bytes that part words, ASCII letters, capitals, and punctuation that the vocabulary splits from letters before it.
+_SPACE = np.isin(np.arange(256), [0x20, 0x0A])
+_LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
+_CAPITAL = np.array([0x41 <= c <= 0x5A for c in range(256)])
+_MARKS = b".,;:!?"
+_PUNCTUATION = np.isin(np.arange(256), list(_MARKS))
+#: The second bytes of the letters from U+00C0 to U+00FF (the first is 0xC3), which no normal form changes.
+_LATIN = np.array([0x80 <= c <= 0xBF and c not in (0x97, 0xB7) for c in range(256)])
+#: What a byte counts in a word's hash, with capitals lowered and as it is.
+_LOWER, _OWN = (x.astype(np.uint64) for x in (np.where(_CAPITAL, 33, 1) + np.arange(256), np.arange(256) + 1))
 #: What the vocabulary's tokens at the end of a run of letters end with.
 WORD_END = "</w>"
 #: A character that is a token of its own, which no text without it holds.
@@ -50,116 +63,137 @@ MARK = "\x01"
 JOINED = 500
 #: The id after each document.
 END_ID = 2
-MAGIC, VERSION = b"VXTK", 1
-HEAD = struct.Struct("<4sBIQI")
+MAGIC, VERSION = b"VXTK", 2
+HEAD = struct.Struct("<4sBIQIIQI")
 BLOCK = struct.Struct("<IIII")
-#: Ids of a block and lanes that it is dealt over, at most.
-BLOCK_IDS, LANES = 1 << 21, 1 << 12
+#: Ids of a block and lanes that it is dealt over, at most, and ids of a lane at least.
+BLOCK_IDS, LANES, LANE_IDS = 1 << 21, 1 << 12, 256
 #: Ids of a segment after which no further document is added.
 SEGMENT_IDS = 1 << 21
+#: Bytes of the input that one task writes.
+TASK_BYTES = 64 << 20
 
 
 # ---- model -------------------------------------------------------------------------------------
 
-RANGE_BITS = 16
-TOTAL = 1 << RANGE_BITS
+#: The width of all intervals, and of the order-0 distribution before it is scaled to what is left to it.
+TOTAL_BITS, ORDER0_BITS = 26, 20
+#: What order 0 keeps at least, so that every id's scaled interval is 1 wide or more.
+ORDER0_LEAST = 1 << ORDER0_BITS
 #: Entries of the order-2 table, a power of two.
-ORDER2 = 1 << 18
-#: Steps after which order-0 frequencies are summed anew.
-ORDER0_STEPS = 16
-#: Bits in which the order-0 distribution is spelt out, every id with a share of its own.
-ORDER0_BITS = 22
-
-
-#: Counts that a prediction reaches at most, a power of two less 1; a candidate and its count share one integer.
+ORDER2 = 1 << 20
+#: Steps after which order-0 frequencies are summed anew, and the weights.
+ORDER0_STEPS, WEIGHT_STEPS = 32, 4
+#: Steps after which the counts behind the weights lose a part (a shift).
+FADE_STEPS, FADE = 16, 6
+#: Bits of an id in the tables, whose entries are count << ID_BITS | candidate.
+ID_BITS = 20
+#: Counts that a prediction reaches at most, a power of two less 1.
 MOST = 15
 COUNT_BITS = MOST.bit_length()
+_ID = np.int32((1 << ID_BITS) - 1)
 
 
 class Mixer:
-    """Predictions of order 0 to 2 for all lanes of a block, and their mixture.
-
-    An id has a *kind*: 0 if the order-2 candidate holds, else 1 if the order-1 candidate does, else 2.
-    """
+    """Predictions of order 0 to 2 for all lanes of a block, and their mixture."""
 
     def __init__(self, symbols: int, lanes: int) -> None:
         self.symbols = symbols
-        # candidate << COUNT_BITS | count
-        self.table2, self.table1 = np.zeros(ORDER2, np.int64), np.zeros(symbols, np.int64)
-        # how often each kind came, by (count of order 2, count of order 1, agreement)
-        self.seen = np.tile([0.5, 0.5, 1.0, 0.0], ((MOST + 1) ** 2 * 2, 1))
-        self.frequency = np.zeros(symbols, np.int64)
+        self.table2, self.table1 = np.zeros(ORDER2, np.int32), np.zeros(symbols, np.int32)
+        # how often order 2, only order 1, or neither held, by (count of order 2, count of order 1, agreement)
+        self.seen = np.tile(np.array([8, 8, 16, 0], np.int64), ((MOST + 1) ** 2 * 2, 1))
+        self.frequency, self.missed = np.zeros(symbols, np.int64), [np.empty(0, np.int32)]
         self.steps = 0
-        self.before, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.before, self.before2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.places: np.ndarray | None = None
         self._sum()
+        self._weigh()
 
     def _sum(self) -> None:
         """Borders of the ids' order-0 intervals; each is at least 1 wide."""
+        self.frequency += np.bincount(np.concatenate(self.missed), minlength=self.symbols)
+        self.missed = [np.empty(0, np.int32)]
         sums = np.concatenate([[0], np.cumsum(self.frequency)])
-        spare = (1 << ORDER0_BITS) - self.symbols
-        self.borders = (sums * spare // max(1, sums[-1]) if sums[-1] else np.arange(self.symbols + 1) * spare // self.symbols) + np.arange(self.symbols + 1)
-        self.borders = self.borders.astype(np.int32)
+        each = np.arange(self.symbols + 1)
+        spare = ORDER0_LEAST - self.symbols
+        self.borders = (sums * spare // sums[-1] if sums[-1] else each * spare // self.symbols) + each
+        self.places = None
+
+    def _weigh(self) -> None:
+        tried = self.seen.sum(1)
+        weights = self.seen[:, :2] * ((1 << TOTAL_BITS) - ORDER0_LEAST) // tried[:, None]
+        self.weight2, self.weight1 = weights[:, 0].copy(), weights[:, 1].copy()
 
     def predict(self, lanes: int) -> None:
-        """Candidates of the first ``lanes`` lanes and the kinds' intervals."""
+        """Candidates and weights of the first ``lanes`` lanes."""
         b1, b2 = self.before[:lanes], self.before2[:lanes]
-        self.slot = ((b1 * 40503) ^ (b2 * 2654435761 >> 7)) & (ORDER2 - 1)
+        self.slot = ((b1.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (b2.astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - ORDER2.bit_length() + 1)
         self.held2, self.held1 = self.table2.take(self.slot), self.table1.take(b1)
-        self.guess2, self.guess1 = self.held2 >> COUNT_BITS, self.held1 >> COUNT_BITS
-        self.count2, self.count1 = self.held2 & MOST, self.held1 & MOST
-        # four intervals for each context, the last one empty
-        self.row = ((((self.count2 << COUNT_BITS) | self.count1) << 1) | (self.guess2 == self.guess1)) << 2
-        room = TOTAL - 4096
-        tried = self.seen.sum(1)
-        share2 = np.minimum((self.seen[:, 0] / tried * room).astype(np.int64), room - 64)
-        share1 = np.minimum((self.seen[:, 1] / tried * room).astype(np.int64), room - share2)
-        ends = np.stack([share2 + 1, share2 + share1 + 2, np.full(len(tried), TOTAL), np.full(len(tried), TOTAL)], 1)
-        self.ends = ends.ravel()
-        starts = np.zeros_like(ends)
-        starts[:, 1:] = ends[:, :-1]
-        self.starts, self.sizes = starts.ravel().astype(np.uint64), (ends - starts).ravel().astype(np.uint64)
-
-    def kinds(self, ids: np.ndarray) -> np.ndarray:
-        miss2 = ids != self.guess2
-        return miss2 + (miss2 & (ids != self.guess1)).astype(np.int64)
-
-    def intervals(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.row + kinds
-        return self.starts.take(at), self.sizes.take(at)
-
-    def learn(self, ids: np.ndarray, kinds: np.ndarray, rest: np.ndarray) -> None:
-        """Take up the ids of a step; those at ``rest`` are of the last kind."""
+        self.guess2, self.guess1 = self.held2 & _ID, self.held1 & _ID
+        self.row = ((((self.held2 >> ID_BITS) << COUNT_BITS) | (self.held1 >> ID_BITS)) << 1) | (self.guess2 == self.guess1)
+        self.share2, self.share1 = self.weight2.take(self.row), self.weight1.take(self.row)
+        self.share0 = (1 << TOTAL_BITS) - self.share2 - self.share1
+
+    def _scaled(self, ids: np.ndarray) -> np.ndarray:
+        """Where the order-0 intervals of ids begin, scaled to what is left to order 0."""
+        return (self.borders.take(ids) * self.share0) >> ORDER0_BITS
+
+    def intervals(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and widths of the intervals of ids, one a lane."""
+        self.right2, self.right1 = ids == self.guess2, ids == self.guess1
+        low = self._scaled(ids)
+        size = self._scaled(ids + 1) - low
+        low += self.share2 * (self.guess2 < ids)
+        low += self.share1 * (self.guess1 < ids)
+        size += self.share2 * self.right2
+        size += self.share1 * self.right1
+        return low.astype(np.uint64), size.astype(np.uint64)
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The ids in whose intervals ``place`` lies, one a lane."""
+        if self.places is None:
+            self.places = np.repeat(np.arange(self.symbols, dtype=np.int32), np.diff(self.borders))
+        swap = self.guess1 < self.guess2
+        # a weight lies before the order-0 interval of its id: taken out, the lower id's first, only order 0 is left
+        for guess, share in ((np.minimum(self.guess1, self.guess2), np.where(swap, self.share1, self.share2)), (np.maximum(self.guess1, self.guess2), np.where(swap, self.share2, self.share1))):
+            place = np.maximum(np.minimum(place, self._scaled(guess)), place - share)
+        return self.places.take((((place + 1) << ORDER0_BITS) - 1) // self.share0)
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Take up the ids of a step, whose intervals were asked for."""
         n = len(ids)
-        self.seen += np.bincount(self.row + kinds, minlength=self.seen.size).reshape(self.seen.shape)
-        if self.steps & 15 == 15:
-            self.seen *= 0.98
-        b1 = self.before[:n]
-        fresh = (ids << COUNT_BITS) | 1
-        # of lanes that share a slot the last one writes, in coder and decoder alike
-        for held, count, right, at, own in ((self.held2, self.count2, kinds == 0, self.slot, self.table2), (self.held1, self.count1, ids == self.guess1, b1, self.table1)):
-            own[at] = np.where(right, held + (count < MOST), np.where(count > 3, held - ((count + 1) >> 1), fresh))
-        np.add.at(self.frequency, ids[rest], 1)
-        self.before2[:n] = b1
+        miss = ~(self.right2 | self.right1)
+        kind = np.where(self.right2, 0, 1 + miss)
+        self.seen += np.bincount((self.row << 2) + kind, minlength=self.seen.size).reshape(self.seen.shape) << 4
+        for held, right, at, own in ((self.held2, self.right2, self.slot, self.table2), (self.held1, self.right1, self.before[:n], self.table1)):
+            count = held >> ID_BITS
+            count = np.where(right, np.minimum(count + 1, MOST), count - ((count + 1) >> 1))
+            # a candidate that failed stays if its count was more than 1
+            now = np.where(right | (held >> ID_BITS > 1), held & _ID, ids)
+            value = (np.where(now == ids, np.maximum(count, 1), count) << ID_BITS) | now
+            own[at] = 0
+            np.maximum.at(own, at, value)
+        self.missed.append(ids[miss])
+        self.before2[:n] = self.before[:n]
         self.before[:n] = ids
         self.steps += 1
-        if self.steps % ORDER0_STEPS == 0 or self.steps < ORDER0_STEPS:
+        if self.steps % FADE_STEPS == 0:
+            self.seen -= self.seen >> FADE
+        if self.steps % ORDER0_STEPS == 0 or self.steps & (self.steps - 1) == 0:
             self._sum()
+        if self.steps % WEIGHT_STEPS == 0 or self.steps < WEIGHT_STEPS:
+            self._weigh()
 
 
 # ---- range coder -------------------------------------------------------------------------------
 #
-# A carry-less range coder over 48 bits that moves 16 bits at a time, with a state for every lane. An id
-# is coded in one interval if a candidate holds, else in a second one by the order-0 distribution.
+# A carry-less range coder over 48 bits that moves 16 bits at a time, with a state for every lane.
 
 WORD = np.uint64(16)
 STATE = np.uint64((1 << 48) - 1)
-TOP, BOTTOM = np.uint64(1 << 32), np.uint64(1 << 24)
+TOP, BOTTOM = np.uint64(1 << 32), np.uint64(1 << 30)
 ONE = np.uint64(1)
-
-
-def _narrow(low: np.ndarray, range_: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    unit = range_ >> np.uint64(bits)
-    return low + start.astype(np.uint64, copy=False) * unit, unit * size.astype(np.uint64, copy=False)
+_TOTAL = np.uint64(TOTAL_BITS)
 
 
 def _due(low: np.ndarray, range_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,33 +202,44 @@ def _due(low: np.ndarray, range_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return same, same | (range_ < BOTTOM)
 
 
+def _moved(low: np.ndarray, range_: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of lanes one word on; those that have not settled are cut where the top word changes."""
+    return (low << WORD) & STATE, np.where(same, range_, (~low + ONE) & (BOTTOM - ONE)) << WORD
+
+
 class LaneWriter:
     """Range coders of all lanes, writing."""
 
     def __init__(self, lanes: int, steps: int) -> None:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, STATE)
-        self.out = np.zeros((lanes, 8 + 5 * steps), np.uint16)
+        self.out = np.zeros((lanes, 8 + 3 * steps), np.uint16)
         self.at = np.zeros(lanes, np.int64)
 
-    def put(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        low, rng = _narrow(self.low[lanes], self.range[lanes], start, size, bits)
+    def put(self, start: np.ndarray, size: np.ndarray) -> None:
+        """Narrow the first lanes to their intervals."""
+        n = len(start)
+        low, rng = self.low[:n], self.range[:n]
+        unit = rng >> _TOTAL
+        low += start * unit
+        np.multiply(unit, size, out=rng)
         same, go = _due(low, rng)
-        live = np.flatnonzero(go)
-        rows = live if isinstance(lanes, slice) else lanes[live]
-        same = same[live]
-        while len(live):
-            l = low[live]
-            r = np.where(same, rng[live], (~l + ONE) & (BOTTOM - ONE))
-            self.out[rows, self.at[rows]] = (l >> np.uint64(32)).astype(np.uint16)
-            self.at[rows] += 1
-            l, r = (l << WORD) & STATE, r << WORD
-            low[live], rng[live] = l, r
+        rows = np.flatnonzero(go)
+        same = same[rows]
+        while len(rows):
+            at = self.at[rows]
+            if at.max() >= self.out.shape[1]:
+                self.out = np.concatenate([self.out, np.zeros_like(self.out)], 1)
+            l = low[rows]
+            self.out[rows, at] = (l >> np.uint64(32)).astype(np.uint16)
+            self.at[rows] = at + 1
+            l, r = _moved(l, rng[rows], same)
+            low[rows], rng[rows] = l, r
             same, go = _due(l, r)
-            live, rows, same = live[go], rows[go], same[go]
-        self.low[lanes], self.range[lanes] = low, rng
+            rows, same = rows[go], same[go]
 
     def finish(self) -> bytes:
         rows = np.arange(len(self.low))
+        self.out = np.concatenate([self.out, np.zeros((len(rows), 3), np.uint16)], 1)
         for _ in range(3):
             self.out[rows, self.at] = (self.low >> np.uint64(32)).astype(np.uint16)
             self.at += 1
@@ -215,27 +260,29 @@ class LaneReader:
             self.code = (self.code << WORD) | self.data[self.at]
             self.at += 1
 
-    def peek(self, lanes: np.ndarray | slice, bits: int) -> np.ndarray:
-        """The place in the range of 2 ** bits that each lane's next interval holds."""
-        place = (self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> np.uint64(bits))
-        return np.minimum(place, np.uint64((1 << bits) - 1)).astype(np.int64)
-
-    def take(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        low, rng = _narrow(self.low[lanes], self.range[lanes], start, size, bits)
+    def peek(self, lanes: int) -> np.ndarray:
+        """The place in the total width that the next interval of each of the first lanes holds."""
+        self.unit = self.range[:lanes] >> _TOTAL
+        place = (self.code[:lanes] - self.low[:lanes]) // self.unit
+        return np.minimum(place, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        """Narrow the first lanes to their intervals, after ``peek``."""
+        n = len(start)
+        low, rng, code = self.low[:n], self.range[:n], self.code[:n]
+        low += start * self.unit
+        np.multiply(self.unit, size, out=rng)
         same, go = _due(low, rng)
-        live = np.flatnonzero(go)
-        rows = live if isinstance(lanes, slice) else lanes[live]
-        same = same[live]
-        while len(live):
-            l = low[live]
-            r = np.where(same, rng[live], (~l + ONE) & (BOTTOM - ONE))
-            self.code[rows] = ((self.code[rows] << WORD) & STATE) | self.data[self.at[rows]]
-            self.at[rows] += 1
-            l, r = (l << WORD) & STATE, r << WORD
-            low[live], rng[live] = l, r
+        rows = np.flatnonzero(go)
+        same = same[rows]
+        while len(rows):
+            at = self.at[rows]
+            code[rows] = ((code[rows] << WORD) & STATE) | self.data[at]
+            self.at[rows] = at + 1
+            l, r = _moved(low[rows], rng[rows], same)
+            low[rows], rng[rows] = l, r
             same, go = _due(l, r)
-            live, rows, same = live[go], rows[go], same[go]
-        self.low[lanes], self.range[lanes] = low, rng
+            rows, same = rows[go], same[go]
 
 
 def _lanes(n_ids: int, lanes: int) -> tuple[int, int, np.ndarray]:
@@ -249,20 +296,16 @@ def _lanes(n_ids: int, lanes: int) -> tuple[int, int, np.ndarray]:
 
 def encode_block(ids: np.ndarray, symbols: int) -> tuple[int, bytes]:
     """Lanes and payload of a block of ids (each below ``symbols``, one at least)."""
-    lanes = max(1, min(LANES, len(ids) // 64))
+    lanes = max(1, min(LANES, len(ids) // LANE_IDS))
     steps, full, starts = _lanes(len(ids), lanes)
     model, coder = Mixer(symbols, lanes), LaneWriter(lanes, steps)
+    ids = ids.astype(np.int32)
     for step in range(steps):
         n = lanes if step < steps - 1 else full
         now = ids.take(starts[:n] + step)
         model.predict(n)
-        kinds = model.kinds(now)
-        coder.put(slice(0, n), *model.intervals(kinds), RANGE_BITS)
-        rest = np.flatnonzero(kinds == 2)
-        own = now[rest]
-        low = model.borders[own]
-        coder.put(rest, low, model.borders[own + 1] - low, ORDER0_BITS)
-        model.learn(now, kinds, rest)
+        coder.put(*model.intervals(now))
+        model.learn(now)
     return lanes, coder.finish()
 
 
@@ -274,17 +317,10 @@ def decode_block(payload: bytes, n_ids: int, lanes: int, symbols: int) -> np.nda
     for step in range(steps):
         n = lanes if step < steps - 1 else full
         model.predict(n)
-        place = coder.peek(slice(0, n), RANGE_BITS)
-        kinds = (place >= model.ends.take(model.row)).astype(np.int64) + (place >= model.ends.take(model.row + 1))
-        coder.take(slice(0, n), *model.intervals(kinds), RANGE_BITS)
-        now = np.where(kinds == 0, model.guess2, model.guess1)
-        rest = np.flatnonzero(kinds == 2)
-        own = np.searchsorted(model.borders, coder.peek(rest, ORDER0_BITS).astype(np.int32), "right") - 1
-        low = model.borders[own]
-        coder.take(rest, low, model.borders[own + 1] - low, ORDER0_BITS)
-        now[rest] = own
+        now = model.find(coder.peek(n))
+        coder.take(*model.intervals(now))
         out[starts[:n] + step] = now
-        model.learn(now, kinds, rest)
+        model.learn(now)
     return out
 
 
@@ -292,8 +328,18 @@ class CorruptSegment(ValueError):
     """A segment whose bytes are not what was written."""
 
 
-def write_segment(documents: list[np.ndarray], symbols: int) -> bytes:
-    """The bytes of a segment with the ids of each document."""
+@dataclass(frozen=True)
+class Segment:
+    """What a segment holds: its documents' ids and names, its file, and the ids of that file before it."""
+
+    documents: list[np.ndarray]
+    names: pa.Array
+    file_no: int
+    n_before: int
+
+
+def write_segment(documents: list[np.ndarray], symbols: int, names: pa.Array | None = None, file_no: int = 0, n_before: int = 0) -> bytes:
+    """The bytes of a segment with the ids of each document; ``names`` (numbers unless given) are any Arrow array."""
     ids = np.concatenate([np.empty(0, np.int64), *documents]).astype(np.int64)
     blocks = []
     for a in range(0, len(ids), BLOCK_IDS):
@@ -301,17 +347,31 @@ def write_segment(documents: list[np.ndarray], symbols: int) -> bytes:
         lanes, payload = encode_block(own, symbols)
         blocks += [BLOCK.pack(len(own), lanes, len(payload), zlib.crc32(own.astype("<u4").tobytes())), payload]
     counts = np.array(list(map(len, documents)), "<u4").tobytes()
-    return b"".join([HEAD.pack(MAGIC, VERSION, len(documents), len(ids), len(blocks) // 2), counts, *blocks])
+    batch = pa.record_batch([pa.array(range(len(documents)), pa.int64()) if names is None else names], ["doc_id"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    named = zlib.compress(sink.getvalue())
+    return b"".join([HEAD.pack(MAGIC, VERSION, len(documents), len(ids), len(blocks) // 2, file_no, n_before, len(named)), named, counts, *blocks])
+
+
+def file_and_ids(head: bytes) -> tuple[int, int]:
+    """A segment's file and number of ids, from its first bytes."""
+    found = HEAD.unpack_from(head)
+    return found[5], found[3]
 
 
-def read_segment(data: bytes, symbols: int) -> list[np.ndarray]:
-    """The documents of a segment; ``CorruptSegment`` if a checksum or length does not hold."""
+def read_segment(data: bytes, symbols: int) -> Segment:
+    """What a segment holds; ``CorruptSegment`` if a checksum or length does not hold."""
     try:
-        magic, version, n_docs, n_ids, n_blocks = HEAD.unpack_from(data)
+        magic, version, n_docs, n_ids, n_blocks, file_no, n_before, n_names = HEAD.unpack_from(data)
         if magic != MAGIC or version != VERSION:
             raise CorruptSegment("not a segment of this format")
-        counts = np.frombuffer(data, "<u4", n_docs, HEAD.size).astype(np.int64)
-        at, blocks = HEAD.size + 4 * n_docs, []
+        at = HEAD.size + n_names
+        with pa.ipc.open_stream(zlib.decompress(data[HEAD.size : at])) as stream:
+            names = stream.read_all().column(0).combine_chunks()
+        counts = np.frombuffer(data, "<u4", n_docs, at).astype(np.int64)
+        at, blocks = at + 4 * n_docs, []
         for _ in range(n_blocks):
             n, lanes, size, crc = BLOCK.unpack_from(data, at)
             payload = data[at + BLOCK.size : at + BLOCK.size + size]
@@ -320,12 +380,12 @@ def read_segment(data: bytes, symbols: int) -> list[np.ndarray]:
             if len(payload) != size or zlib.crc32(ids.astype("<u4").tobytes()) != crc:
                 raise CorruptSegment("a block does not match its checksum")
             blocks.append(ids)
-    except (struct.error, IndexError, ValueError, ZeroDivisionError) as error:
+    except (struct.error, zlib.error, pa.ArrowException, IndexError, ValueError, ZeroDivisionError) as error:
         raise error if isinstance(error, CorruptSegment) else CorruptSegment(str(error)) from error
     ids = np.concatenate([np.empty(0, np.int64), *blocks])
-    if len(ids) != n_ids or counts.sum() != n_ids:
+    if len(ids) != n_ids or counts.sum() != n_ids or len(names) != n_docs:
         raise CorruptSegment("the documents' lengths do not add up")
-    return np.split(ids, np.cumsum(counts)[:-1]) if n_docs else []
+    return Segment(np.split(ids, np.cumsum(counts)[:-1]) if n_docs else [], names, file_no, n_before)
 
 
 # ---- tokens ------------------------------------------------------------------------------------
@@ -363,12 +423,14 @@ class IdLists:
 
 
 class WordTokens:
-    """Ids of texts. This vocabulary drops white space and no token reaches over it, so the ids of each
+    """Ids of texts (UTF-8). This vocabulary drops white space and no token reaches over it, so the ids of each
     distinct word between spaces and line ends are found once while the table lasts.
 
     It lowers letters too and splits letters from what follows, so a word of plain letters and at most one
-    punctuation mark is put together from two *units*; the library encodes each distinct unit once. Any
-    other word is a unit by itself.
+    punctuation mark is put together from its letters and the mark's id. All words of a stretch of bytes
+    are found, hashed (64 bits) and looked up side by side; only those that the table does not have become
+    strings. The table has one place for each ``TABLE_BITS`` bits of a hash, where a later word replaces an
+    earlier one, so its size does not grow.
     """
 
     def __init__(self, path: str) -> None:
@@ -378,11 +440,15 @@ class WordTokens:
         # ids that end a run of letters
         self.ends = np.zeros(self.symbols, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+        self.marks = np.zeros(256, np.int32)
+        for c in _MARKS:
+            (self.marks[c],) = self.tokenizer.encode(chr(c), add_special_tokens=False).ids
         self._reset()
 
     def _reset(self) -> None:
-        self.words, self.word_ids = Interner(), IdLists()
-        self.units, self.unit_ids = Interner(), IdLists()
+        self.keys, self.lists = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int32)
+        self.ids = IdLists()
+        self.ids.add(np.zeros(1, np.int64), np.empty(0, np.int32))  # of the empty word, whose hash is 0
 
     def _joined(self, texts: list[str]) -> np.ndarray:
         got = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -403,142 +469,195 @@ class WordTokens:
         marks = ids == self.mark
         return np.diff(np.flatnonzero(marks), prepend=-1) - 1, ids[~marks]
 
-    def _learn_units(self, fresh: list[str]) -> None:
-        plain = np.fromiter((LETTERS.fullmatch(u) is not None for u in fresh), bool, len(fresh))
-        counts, starts = np.empty(len(fresh), np.int64), np.empty(len(fresh), np.int64)
-        found = []
+    def _learn(self, units: list[str], plain: np.ndarray) -> int:
+        """Take up units, those of letters only being ``plain``; the number of the first one's list."""
+        first = self.ids.n
+        counts, starts = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        found, held = [], 0
         for of_kind, encode in ((plain, self._letters), (~plain, self._others)):
-            own, ids = encode([u for u, k in zip(fresh, of_kind.tolist(), strict=True) if k])
+            own, ids = encode([u for u, k in zip(units, of_kind.tolist(), strict=True) if k])
             counts[of_kind] = own
-            starts[of_kind] = sum(map(len, found)) + np.cumsum(own) - own
+            starts[of_kind] = held + np.cumsum(own) - own
+            held += len(ids)
             found.append(ids)
-        self.unit_ids.add(counts, np.concatenate(found)[flat_ranges(starts, counts)])
-
-    def _learn(self) -> None:
-        fresh, self.words.fresh = self.words.fresh, []
-        for a in range(0, len(fresh), 20_000):
-            parts: list[str] = []
-            for word in fresh[a : a + 20_000]:
-                plain = PLAIN.fullmatch(word)
-                parts += (plain[1].lower(), plain[2]) if plain else (word, "")
-            at = self.units.take(parts)
-            if self.units.fresh:
-                self._learn_units(self.units.fresh)
-                self.units.fresh = []
-            counts, ids = self.unit_ids.take(at)
-            self.word_ids.add(counts.reshape(-1, 2).sum(1), ids)
-
-    def _take(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > TABLE_WORDS:
+        self.ids.add(counts, np.concatenate(found)[flat_ranges(starts, counts)])
+        return first
+
+    @staticmethod
+    def _words(joined: bytes) -> tuple[np.ndarray, ...]:
+        """Of the words of some bytes: starts, ends of what is looked up, the mark after it (0: none), hashes, whether it is letters only."""
+        data = np.frombuffer(joined, np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]]).view(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        letter = _LETTER[data]
+        if 0xC3 in joined:
+            first = data == 0xC3
+            first[:-1] &= _LATIN[data[1:]]
+            first[-1] = False
+            letter |= first
+            letter[1:] |= first[:-1]
+        others = np.concatenate([np.zeros(1, np.int32), np.cumsum(~letter, dtype=np.int32)])
+        last = data[ends - 1]
+        mark = _PUNCTUATION[last] & (ends - starts > 1)
+        plain = others[ends - mark] == others[starts]
+        mark &= plain
+        core = ends - mark
+        power, inverse = powers(1 << max(18, len(data).bit_length()))
+        power = power[: len(data)]
+        with np.errstate(over="ignore"):
+            # capitals count in words that are not plain
+            low, own = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(v[data] * power)]) for v in (_LOWER, _OWN))
+            hashes = mixed(np.where(plain, low[core] - low[starts], own[core] - own[starts]) * inverse[starts] + (core - starts).astype(np.uint64))
+        return starts, core, np.where(mark, last, 0), hashes, plain
+
+    def _lists(self, joined: bytes, starts: np.ndarray, core: np.ndarray, hashes: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """The numbers of the words' lists of ids; words that the table does not have are taken up."""
+        if self.ids.n > TABLE_LISTS:
             self._reset()
-        at = self.words.take(words)
-        if self.words.fresh:
-            self._learn()
-        return self.word_ids.take(at)
-
-    def __call__(self, text: str) -> np.ndarray:
-        found = [self._take(part.split(" "))[1] for part in segments(text.replace("\n", " "))]
-        return found[0] if len(found) == 1 else np.concatenate(found)
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of several texts, new words of all of them encoded together."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        counts, flat = self._take([w for ws in split for w in ws])
-        row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
-        ends = np.cumsum(np.bincount(row, counts, len(texts)).astype(np.int64))
-        return np.split(flat, ends[:-1]) if len(texts) else []
+        place = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        lists = self.lists.take(place)
+        missed = np.flatnonzero(self.keys.take(place) != hashes)
+        if len(missed):
+            fresh, at, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            at = missed[at]
+            units = [joined[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), core[at].tolist(), strict=True)]
+            numbers = self._learn(units, plain[at]) + np.arange(len(units), dtype=np.int32)
+            lists[missed] = numbers[back]
+            # of words with one place the first goes there
+            there, one = np.unique(place[at], return_index=True)
+            self.keys[there], self.lists[there] = fresh[one], numbers[one]
+        return lists
+
+    def __call__(self, text: str | bytes) -> np.ndarray:
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str] | list[bytes]) -> list[np.ndarray]:
+        """Ids of several texts, however long."""
+        raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in texts]
+        joined = b"\n".join(raw)
+        parts, at = [], 0
+        while at < len(joined):
+            end = min(len(joined), at + STRETCH)
+            if end < len(joined):
+                cut = max(joined.rfind(b" ", at, end), joined.rfind(b"\n", at, end))
+                if cut < 0:  # a word longer than a stretch is taken whole
+                    cut = min((x for x in (joined.find(b" ", end), joined.find(b"\n", end)) if x >= 0), default=len(joined))
+                end = cut + 1
+            starts, core, *rest = self._words(joined[at:end])
+            parts.append((starts + at, core + at, *rest))
+            at = end
+        if not parts:
+            return [np.empty(0, np.int32)] * len(texts)
+        starts, core, mark, hashes, plain = (np.concatenate(x) for x in zip(*parts, strict=True))
+        lists = self._lists(joined, starts, core, hashes, plain)
+        counts = self.ids.counts.take(lists)
+        marked = mark > 0
+        sums = np.concatenate([[0], np.cumsum(counts + marked)])
+        out = np.empty(int(sums[-1]), np.int32)
+        out[flat_ranges(sums[:-1], counts)] = self.ids.ids.take(flat_ranges(self.ids.starts.take(lists), counts))
+        out[sums[1:][marked] - 1] = self.marks[mark[marked]]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+        return np.split(out, sums[np.searchsorted(starts, ends)][:-1])
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the planner takes a table's size to be (of files: their bytes)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def write_tokens(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", end_id: int = END_ID, partitions: int | None = None) -> tuple[DataFrame, str]:
     """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; the written table and its path.
 
-    The table has file_no (in order of doc_id), n_before (ids of the file's segments before this one),
-    n_ids, doc_ids and data, the bytes of a segment. It lies in the shared folder.
+    The table has one column, data: the bytes of a segment in each row. It lies in the shared folder.
+    Unless ``partitions`` says so, a task gets about ``TASK_BYTES`` of the input.
     """
-    bounded_batches(docs.sparkSession)
-    n = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    spark = bounded_batches(docs.sparkSession)
+    texts = docs.select("doc_id", text_of().cast("binary").alias("text"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(texts) // TASK_BYTES))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_table(f"tokens {path}", lambda: WordTokens(path))
         file_no, n_before = None, 0
         held: list[np.ndarray] = []
-        owners: list = []
+        owners: list[pa.Array] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, owners, size, n_before
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array([file_no], pa.int32()), pa.array([n_before], pa.int64()), pa.array([size], pa.int64()), pa.array([owners], pa.list_(id_type)), pa.array([write_segment(held, words.symbols)], pa.binary())],
-                ["file_no", "n_before", "n_ids", "doc_ids", "data"],
-            )
+            segment = write_segment(held, words.symbols, pa.concat_arrays(owners), file_no, n_before)
             held, owners, size, n_before = [], [], 0, n_before + size
-            return batch
+            return pa.RecordBatch.from_arrays([pa.array([segment], pa.binary())], ["data"])
 
-        id_type = pa.int64()
         for batch in batches:
-            id_type = batch.column(0).type
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             if file_no is None and len(batch):
                 file_no = batch.column(2)[0].as_py()
             for a, b in chunks(texts):
-                for doc_id, own in zip(ids[a:b], [words(texts[a])] if b - a == 1 else words.batch(texts[a:b]), strict=True):
+                for k, own in enumerate(words.batch(texts[a:b]), a):
                     held.append(np.append(own, end_id))
-                    owners.append(doc_id)
+                    owners.append(batch.column(0).slice(k, 1))
                     size += len(held[-1])
                     if size >= SEGMENT_IDS:
                         yield flush()
         if held:
             yield flush()
 
-    ordered = docs.select("doc_id", text_of().alias("text")).repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    numbered = ordered.select("doc_id", "text", F.spark_partition_id().alias("file_no"))
-    return write_shared(numbered.mapInArrow(rows, f"file_no int, n_before long, n_ids long, doc_ids array<{kind}>, data binary"), "token-files")
+    # rows that share an id, or have none, are dealt by their text and where they come from
+    order = [F.asc_nulls_first("doc_id"), F.asc("mark"), F.asc("part")]
+    marked = texts.withColumn("mark", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    ordered = marked.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    return write_shared(ordered.select("doc_id", "text", F.spark_partition_id().alias("file_no")).mapInArrow(rows, "data binary"), "token-files")
 
 
-def read_tokens(files: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", with_ids: bool = True) -> DataFrame:
-    """The documents that written files hold: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids.
+def read_tokens(files: DataFrame, kind: str = "long", path: str = f"{TOKENIZERS}/{VOCABULARY}", with_ids: bool = True) -> DataFrame:
+    """The documents that written files (data) hold: doc_id (of type ``kind``), start, n_tokens, ids_crc32 and, if asked for, ids.
 
     ``start`` is the number of ids of all documents before.
     """
     symbols = tokenizer(path).get_vocab_size()
-    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [file_and_ids(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in found], pa.int64()) for k in (0, 1)], ["file_no", "n_ids"])
+
     # one row for each file, and there are as many files as partitions
-    per_file = files.groupBy("file_no").agg(F.sum("n_ids").alias("file_ids")).collect()
+    headed = files.select(F.substring("data", 1, HEAD.size)).mapInArrow(heads, "file_no long, n_ids long")
+    per_file = headed.groupBy("file_no").agg(F.sum("n_ids").alias("n_ids")).collect()
     before, total = {}, 0
-    for r in sorted(per_file, key=lambda r: r["file_no"]):
-        before[r["file_no"]], total = total, total + r["file_ids"]
+    for r in sorted(per_file):
+        before[r.file_no], total = total, total + r.n_ids
     held = files.sparkSession.sparkContext.broadcast(before)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                file_no, base = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                documents = read_segment(batch.column(3)[k].as_py(), symbols)
-                counts = np.array(list(map(len, documents)), np.int64)
+            for data in batch.column(0):
+                segment = read_segment(data.as_py(), symbols)
+                counts = np.fromiter(map(len, segment.documents), np.int64, len(segment.documents))
                 columns = {
-                    "doc_id": batch.column(2)[k].values,
-                    "start": pa.array(held.value[file_no] + base + np.cumsum(counts) - counts, pa.int64()),
+                    "doc_id": segment.names,
+                    "start": pa.array(held.value[segment.file_no] + segment.n_before + np.cumsum(counts) - counts, pa.int64()),
                     "n_tokens": pa.array(counts, pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(d.astype("<u4").tobytes()) for d in documents], pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(d.astype("<u4").tobytes()) for d in segment.documents], pa.int64()),
                 }
                 if with_ids:
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(documents).astype(np.int32)))
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(segment.documents).astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    placed = files.select("file_no", "n_before", "doc_ids", "data")
-    return placed.mapInArrow(rows, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return files.select("data").mapInArrow(rows, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_digests(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
     """Write the ids of ``docs`` and read the files back: doc_id, start, n_tokens, ids_crc32.
 
     A null text counts as empty, so it has the end id only. Null doc_ids come first; rows that repeat
-    a doc_id are put in order by text and written each. An empty table gives no rows; other columns
-    are not read.
+    a doc_id are put in order by a hash of the text and written each. Texts are
+    taken in stretches that end between words, however long they are. An empty table gives no
+    rows; other columns are not read.
     """
     files, _ = write_tokens(docs, path)
-    return read_tokens(files, path, with_ids=False)
+    return read_tokens(files, docs.schema["doc_id"].dataType.simpleString(), path, with_ids=False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
