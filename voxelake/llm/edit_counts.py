@@ -4,10 +4,13 @@ A text is cut into *units*, each a run of white space with the run of other char
 unit holds whole pre-tokens of the byte-level pattern (no pre-token reaches across the start of a
 run of white space), so the number of tokens of a text is the sum over its units.
 
-Each document keeps the lengths of its units and a segment tree over their token counts. An edit
-finds the units it touches by their lengths, re-encodes those with one unit of context on either
-side, and puts the new counts into the tree: where as many units come back as went, only the sums
-above them change, else the tree is built anew from the counts, without encoding anything else.
+Each document is a segment tree: a leaf holds some ``LEAF`` units with their text, lengths and token
+counts, an inner node the sums of its subtree. An edit walks down to the leaves it touches by their
+characters, re-encodes the units it touches with one unit of context on either side, and walks up
+again to update the sums. A leaf that has grown too large becomes an inner node over parts of it, in
+its place; when a tree has become too deep or too empty, its nodes are set up anew over the leaves as
+they are, without encoding anything. So an edit costs a leaf and the depth of the tree, however long
+the document is.
 """
 
 from __future__ import annotations
@@ -41,6 +44,9 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_NONE = np.empty(0, np.int64)
+
+
 class UnitCounter:
     """Token counts of units; each distinct unit is encoded once while the table lasts."""
 
@@ -65,74 +71,169 @@ class UnitCounter:
         return self.counts[at]
 
 
-class SegmentTree:
-    """Sums over a row of numbers; ``tree[1]`` is the total, leaves start at ``size``."""
+#: Units of a leaf, when set up; it is parted when it has more than twice as many.
+LEAF = 256
 
-    def __init__(self, values: np.ndarray) -> None:
-        self.n = len(values)
-        self.size = 1 << max(0, (self.n - 1)).bit_length()
-        self.tree = np.zeros(2 * self.size, np.int64)
-        self.tree[self.size : self.size + self.n] = values
-        self._sum(self.size, 2 * self.size)
 
-    def _sum(self, a: int, b: int) -> None:
-        """Sums above the nodes [a, b) of one level."""
-        while a > 1:
-            a, b = a // 2, (b + 1) // 2
-            self.tree[a:b] = self.tree[2 * a : 2 * b : 2] + self.tree[2 * a + 1 : 2 * b : 2]
+class Node:
+    """A leaf with its units' text, lengths and token counts, or an inner node; with the sums of the subtree."""
 
-    @property
-    def total(self) -> int:
-        return int(self.tree[1])
+    __slots__ = ("chars", "counts", "left", "lengths", "parent", "right", "text", "tokens", "units")
 
-    @property
-    def values(self) -> np.ndarray:
-        return self.tree[self.size : self.size + self.n]
-
-    def replace(self, first: int, last: int, values: np.ndarray) -> None:
-        """Put ``values`` in the place of those at [first, last)."""
-        if len(values) == last - first:
-            self.tree[self.size + first : self.size + last] = values
-            if last > first:
-                self._sum(self.size + first, self.size + last)
-        else:
-            self.__init__(np.concatenate([self.values[:first], values, self.values[last:]]))
+    def __init__(self, text: str = "", lengths: np.ndarray = _NONE, counts: np.ndarray = _NONE) -> None:
+        self.parent = self.left = self.right = None
+        self.fill(text, lengths, counts)
+
+    def fill(self, text: str, lengths: np.ndarray, counts: np.ndarray) -> None:
+        self.text, self.lengths, self.counts = text, lengths, counts
+        self.chars, self.tokens, self.units = len(text), int(counts.sum()), len(counts)
+
+    def over(self, left: Node, right: Node) -> Node:
+        """Make this the inner node over two others."""
+        self.left, self.right, left.parent, right.parent = left, right, self, self
+        self.text, self.lengths, self.counts = "", _NONE, _NONE
+        self.add()
+        return self
+
+    def add(self) -> None:
+        self.chars, self.tokens, self.units = (self.left.chars + self.right.chars, self.left.tokens + self.right.tokens, self.left.units + self.right.units)
+
+
+def _leaves(text: str, lengths: np.ndarray, counts: np.ndarray) -> list[Node]:
+    if len(counts) <= 2 * LEAF:
+        return [Node(text, lengths, counts)]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return [Node(text[ends[a] : ends[min(a + LEAF, len(counts))]], lengths[a : a + LEAF], counts[a : a + LEAF]) for a in range(0, len(counts), LEAF)]
+
+
+def _tree(nodes: list[Node], top: Node | None = None) -> Node:
+    """A balanced tree over some nodes, ``top`` its root if given."""
+    while len(nodes) > 2:
+        nodes = [Node().over(a, b) for a, b in zip(nodes[::2], nodes[1::2], strict=False)] + nodes[len(nodes) - len(nodes) % 2 :]
+    if len(nodes) == 1:
+        return nodes[0]
+    return (top or Node()).over(*nodes)
 
 
 class CountedText:
-    """A text with the token counts of its units, kept right under edits."""
+    """A text with the token counts of its units, kept right under edits.
+
+    ``reencoded`` counts units encoded again, ``touched`` the nodes that edits walked through.
+    """
 
     def __init__(self, text: str, count: UnitCounter) -> None:
-        self.text, self.count, self.reencoded = text, count, 0
+        self.count, self.reencoded, self.touched = count, 0, 0
         units = UNIT.findall(text)
-        self.lengths = SegmentTree(np.fromiter(map(len, units), np.int64, len(units)))
-        self.tokens = SegmentTree(count(units))
+        leaves = _leaves(text, np.fromiter(map(len, units), np.int64, len(units)), count(units))
+        self.root, self.n_leaves = _tree(leaves), len(leaves)
+
+    @property
+    def n_tokens(self) -> int:
+        return self.root.tokens
+
+    @property
+    def n_units(self) -> int:
+        return self.root.units
+
+    @property
+    def n_chars(self) -> int:
+        return self.root.chars
+
+    def leaves(self) -> list[Node]:
+        """All leaves with units, in order."""
+        out, open_ = [], [self.root]
+        while open_:
+            node = open_.pop()
+            if node.left is None:
+                out.append(node)
+            else:
+                open_ += [node.right, node.left]
+        return [x for x in out if x.units] or out[:1]
+
+    @property
+    def text(self) -> str:
+        return "".join(x.text for x in self.leaves())
+
+    def _leaf(self, at: int) -> tuple[Node, int, int]:
+        """The leaf of the character ``at`` (the last one for the end), where it begins, its depth."""
+        node, start, depth = self.root, 0, 0
+        while node.left is not None:
+            depth += 1
+            if at < start + node.left.chars or not node.right.chars:
+                node = node.left
+            else:
+                start += node.left.chars
+                node = node.right
+        self.touched += depth + 1
+        return node, start, depth
+
+    def _sum(self, node: Node | None) -> None:
+        while node is not None:
+            node.add()
+            self.touched += 1
+            node = node.parent
 
     def edit(self, start: int, n_deleted: int, inserted: str) -> None:
         """Replace the characters [start, start + n_deleted), cut off at the text's ends, by ``inserted``."""
-        start = min(max(start, 0), len(self.text))
-        stop = min(start + max(n_deleted, 0), len(self.text))
-        ends = np.cumsum(self.lengths.values)
-        first = max(0, int(np.searchsorted(ends, start, "right")) - 1)
-        last = min(len(ends), int(np.searchsorted(ends, stop, "left")) + 2)
-        a = int(ends[first - 1]) if first else 0
-        b = int(ends[last - 1]) if last else 0
-        self.text = self.text[:start] + inserted + self.text[stop:]
-        region = self.text[a : b + len(inserted) - (stop - start)]
-        units = UNIT.findall(region)
+        start = min(max(start, 0), self.n_chars)
+        stop = min(start + max(n_deleted, 0), self.n_chars)
+        first, begin, deepest = self._leaf(start)
+        held = [first]
+        end = begin + first.chars
+        # the unit before the one with ``start``, and two from the one that ends at ``stop`` or after, must be held
+        if begin and start < begin + (first.lengths[0] if first.units else 1):
+            before, begin, depth = self._leaf(begin - 1)
+            held.insert(0, before)
+            deepest = max(deepest, depth)
+        while end < self.n_chars and (stop >= end or int(np.searchsorted(np.cumsum(held[-1].lengths), stop - end + held[-1].chars, "left")) + 2 > held[-1].units):
+            after, _, depth = self._leaf(end)
+            enough = stop < end
+            held.append(after)
+            end += after.chars
+            deepest = max(deepest, depth)
+            if enough and after.units > 1:
+                break
+        lengths, counts, text = (np.concatenate([x.lengths for x in held]), np.concatenate([x.counts for x in held]), "".join(x.text for x in held))
+        start, stop = start - begin, stop - begin
+        ends = np.cumsum(lengths)
+        low = max(0, int(np.searchsorted(ends, start, "right")) - 1)
+        high = min(len(ends), int(np.searchsorted(ends, stop, "left")) + 2)
+        a, b = int(ends[low - 1]) if low else 0, int(ends[high - 1]) if high else 0
+        text = text[:start] + inserted + text[stop:]
+        units = UNIT.findall(text[a : b + len(inserted) - (stop - start)])
         self.reencoded += len(units)
-        self.lengths.replace(first, last, np.fromiter(map(len, units), np.int64, len(units)))
-        self.tokens.replace(first, last, self.count(units))
+        lengths = np.concatenate([lengths[:low], np.fromiter(map(len, units), np.int64, len(units)), lengths[high:]])
+        counts = np.concatenate([counts[:low], self.count(units), counts[high:]])
+        parts = _leaves(text, lengths, counts)
+        for other in held[1:]:
+            other.fill("", _NONE, _NONE)
+            self._sum(other.parent)
+        if len(parts) == 1:
+            held[0].fill(text, lengths, counts)
+        else:
+            _tree(parts, held[0])
+        self._sum(held[0].parent)
+        self.n_leaves += len(parts) - 1
+        if deepest > 2 * self.n_leaves.bit_length() + 8 or self.n_leaves > 16 + 4 * self.n_units // LEAF:
+            leaves = self.leaves()
+            self.root, self.n_leaves = _tree(leaves), len(leaves)
+            self.root.parent = None
 
 
 EDITS = "array<struct<start:bigint,n_deleted:bigint,inserted:string>>"
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with the edits (doc_id, seq, start, n_deleted, inserted) of each, in order of seq."""
+    """``docs`` (doc_id, text) with the edits (doc_id, seq, start, n_deleted, inserted) of each, in order of seq.
+
+    Edits of one seq are put in order by their fields; a null seq comes first. Edits of a null doc_id
+    go to the rows with a null doc_id; a doc_id that repeats gets its edits on every row. A row without
+    edits has null; edits of a doc_id that no row has are not used. Other columns are not read.
+    """
     listed = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "n_deleted", "inserted"))).alias("edits"))
     listed = listed.select("doc_id", F.transform("edits", lambda e: F.struct(e["start"].cast("long").alias("start"), e["n_deleted"].cast("long").alias("n_deleted"), e["inserted"].alias("inserted"))).alias("edits"))
-    return docs.select("doc_id", "text").join(listed, "doc_id", "left")
+    rows = docs.select("doc_id", "text")
+    return rows.join(listed.withColumnRenamed("doc_id", "edited_id"), F.col("doc_id").eqNullSafe(F.col("edited_id")), "left").drop("edited_id")
 
 
 def count_edited(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
@@ -143,7 +244,8 @@ def count_edited(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> D
     beyond the text or a deletion past its end is cut off there.
 
     A null text counts as empty, null edits as none, null fields of an edit as 0 or empty. Repeated
-    rows are counted each; an empty table gives no rows; other columns are not read.
+    rows are counted each; a very long text is a tree of many leaves and counted whole; an empty table
+    gives no rows; other columns are not read.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +254,11 @@ def count_edited(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> D
             got = []
             for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = CountedText(text, count)
-                before = own.tokens.total
+                before = own.n_tokens
                 for e in edits or ():
                     if e is not None:
                         own.edit(e["start"] or 0, e["n_deleted"] or 0, e["inserted"] or "")
-                got.append((before, own.tokens.total, own.tokens.n, own.reencoded, len(own.text)))
+                got.append((before, own.n_tokens, own.n_units, own.reencoded, own.n_chars))
             columns = list(zip(*got, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_tokens_before", "n_tokens", "n_units", "n_reencoded", "n_chars"])
 
