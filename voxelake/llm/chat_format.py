@@ -10,9 +10,9 @@ of this template, nor ``</s>`` or ``[INST]``, can occur in an escaped text, and
 replacements in reverse order gives the text back.
 
 Every assistant turn becomes an example of its own: all that precedes it is context, and only that
-reply is trainable. Examples refer to the conversation's string by character spans, so a
-conversation of n turns takes space for n turns and not for n * n / 2; ``expand`` spells the
-strings out.
+reply is trainable. A conversation holds its examples as character spans of its string, so n turns take
+space for n turns and not for n * n / 2; ``expand`` explodes them into one row each, with the context
+and the reply spelt out. Whatever is trained on is read from those rows.
 """
 
 from __future__ import annotations
@@ -77,11 +77,18 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
 
 
-def expand(formatted: DataFrame) -> DataFrame:
-    """One row for each reply: conv_id, turn_no, context, target (still escaped)."""
-    rows = formatted.select("conv_id", "formatted", F.inline("examples"))
+def expand(formatted: DataFrame, outer: bool = False) -> DataFrame:
+    """One row for each reply: conv_id, formatted, turn_no, context, target (both still escaped).
+
+    All of ``context`` precedes the reply and is masked, all of ``target`` is trainable. A conversation
+    without replies has no row, or with ``outer`` one whose turn_no, context and target are null. Empty
+    replies are rows with an empty target; null conv_ids stay; an empty table gives no rows.
+    """
+    inline = F.inline_outer if outer else F.inline
+    rows = formatted.select("conv_id", "formatted", inline("examples"))
     return rows.select(
         "conv_id",
+        "formatted",
         "turn_no",
         F.substr("formatted", F.lit(1), F.col("context_end").cast("int")).alias("context"),
         F.substr("formatted", (F.col("target_start") + 1).cast("int"), (F.col("target_end") - F.col("target_start")).cast("int")).alias("target"),
@@ -89,7 +96,10 @@ def expand(formatted: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The turns that a formatted conversation holds: conv_id, turns array<struct<role, text>>."""
+    """``formatted`` (conv_id, formatted, ...) with the turns that its strings hold: array<struct<role, text>>.
+
+    Roles and texts come back as they were put in, null as empty, whatever control strings they hold.
+    """
     inner = F.substr("formatted", F.lit(len(START) + 1), F.char_length("formatted") - len(START) - len(END))
     pieces = F.filter(F.split(inner, CLOSE, -1), lambda x: x != "")
 
@@ -100,14 +110,20 @@ def read_back(formatted: DataFrame) -> DataFrame:
             unescaped(F.substr(piece, F.char_length(role) + len(HEAD) + 1)).alias("text"),
         )
 
-    return formatted.select("conv_id", "formatted", "examples", F.transform(pieces, parse).alias("turns"))
+    return formatted.withColumn("turns", F.transform(pieces, parse))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of what formatted conversations hold, all read from them."""
+    """Counts and digests of what formatted conversations hold: turns from their strings, the loss from the exploded examples.
+
+    A conversation without replies has an empty loss; an empty table gives no rows.
+    """
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("examples", lambda e: unescaped(F.substr("formatted", (e["target_start"] + 1).cast("int"), (e["target_end"] - e["target_start"]).cast("int")))), "")
-    return read_back(formatted).select(
+    # a conversation's examples lie together as its turns did, so nothing is shuffled again
+    reply = F.when(F.col("turn_no").isNotNull(), F.struct("turn_no", "target"))
+    gathered = expand(formatted, outer=True).groupBy("conv_id").agg(F.first("formatted").alias("formatted"), F.array_sort(F.collect_list(reply)).alias("replies"))
+    loss = F.array_join(F.transform("replies", lambda e: unescaped(e["target"])), "")
+    return read_back(gathered).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"),
