@@ -10,10 +10,16 @@ words and in which they are a large enough share.
 The masks alone do not reach every such stretch. Its replaced words cut it into runs of equal words,
 though, of which the longest cannot be short: all windows of so many words, a number that hangs on
 the item's length, are seeds as well. For items shorter than the masks they are the only ones.
+
+Where a text and items share a long passage, every window of it is a hit of the same places side by
+side. A window whose items all have one and the same window before it, which the text has before it as
+well, adds none and is passed over; and of places for one text and item only those are compared word by
+word that can still give more equal words than the best so far.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import cache
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_ALPHANUMERIC, ROW, bounded_batches, chunks, flat_ranges, hashed_words, numbered, table, text_of, without
+from .common import NOT_ALPHANUMERIC, ROW, bounded_batches, chunks, flat_ranges, hashed_words, numbered, table, text_of, without, worker_table
 
 #: Masks over a window of words: 1 is compared, 0 ignored. Wherever two of thirteen words in a row are
 #: replaced, some window under some mask is left whole (a test tries all places).
@@ -32,6 +38,8 @@ MASKS = ("1110110011", "110101111", "110011111", "10101101011")
 MIN_WORDS = 13
 #: Of items too short for that, the share of words that must be equal.
 SHORT_SHARE = 0.85
+#: Items of fewer words match nothing: a name or a phrase of everyday use would mark every text that has it.
+MIN_ITEM_WORDS = 5
 #: The share of a stretch's words that must be equal.
 MIN_IDENTITY = 0.8
 #: Bytes of text that are taken up at a time: what is held of them fits a processor's cache.
@@ -40,6 +48,8 @@ TAKE = 600_000
 PART_WORDS = 2_000_000
 #: Hits, and words of hits, that are looked at together.
 BLOCK = 1_000_000
+#: Bits of a hash that tables of presence are indexed by, at most.
+SEEN_BITS = 24
 
 
 def mask_places(mask: str) -> np.ndarray:
@@ -75,12 +85,12 @@ def sure_words(length: int, min_words: int = MIN_WORDS, min_identity: float = MI
 class SeedIndex:
     """All windows of a benchmark's items under all masks, looked up by hash."""
 
-    def __init__(self, items: list[tuple[object, str]], masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> None:
+    def __init__(self, items: list[tuple[object, str]], masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, min_item_words: int = MIN_ITEM_WORDS) -> None:
         self.masks, self.share = masks, Fraction(str(min_identity))
         hashes, counts = hashed_words([(text or "").encode("utf-8", "surrogatepass") for _, text in items], NOT_ALPHANUMERIC)
-        rows = [(item_id, x) for (item_id, _), x in zip(items, np.split(hashes, np.cumsum(counts)[:-1]), strict=False) if len(x)]
+        rows = [(item_id, x) for (item_id, _), x in zip(items, np.split(hashes, np.cumsum(counts)[:-1]), strict=False) if len(x) >= max(1, min_item_words)]
         self.item_ids, self.items = [i for i, _ in rows], [x for _, x in rows]
-        self.seeds: list[tuple[int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.seeds: list[tuple[int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.lengths = np.fromiter(map(len, self.items), np.int64, len(self.items))
         self.firsts, self.words = np.cumsum(self.lengths) - self.lengths, np.concatenate([np.empty(0, np.uint64), *self.items])
         self.needed = np.array([words_needed(n, min_words) for n in self.lengths.tolist()], np.int64)
@@ -94,53 +104,69 @@ class SeedIndex:
             item = np.repeat([i for _, i in rows], [len(h) for h, _ in rows])
             place = np.concatenate([np.arange(len(h)) for h, _ in rows])
             order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            bits = max(16, min(27, int(len(keys)).bit_length() + 6))
+            before = np.concatenate([[np.uint64(0)], keys[:-1]])[order]
+            keys, place = keys[order], place[order]
+            # of each key: whether all of its windows have a window before them, and the same
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            one = (np.minimum.reduceat(before, starts) == np.maximum.reduceat(before, starts)) & (np.minimum.reduceat(place, starts) > 0)
+            one = np.repeat(one, np.diff(np.append(starts, len(keys))))
+            bits = max(16, min(SEEN_BITS, int(len(keys)).bit_length() + 6))
             seen = np.zeros(1 << bits, bool)
             seen[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.seeds.append((salt, mask, keys, item[order], place[order], seen))
+            self.seeds.append((salt, mask, keys, np.where(one, before, 0), item[order], place, seen, one))
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item, offset of the item's first word in the text) of all seed hits with enough equal words."""
-        found = [np.empty((0, 2), np.int64)]
-        for salt, mask, keys, item, place, seen in self.seeds:
+        """(item, offset of the item's first word in the text, equal words in all), distinct, of seed hits with enough equal words."""
+        wide = len(hashes) + int(self.lengths.max(initial=0)) + 1
+        known, equal = np.empty(0, np.int64), np.empty(0, np.int64)
+        for salt, mask, keys, before, item, place, seen, one in self.seeds:
             own = window_hashes(hashes, mask, salt)
             bits = len(seen).bit_length() - 1
             near = np.flatnonzero(seen[(own >> np.uint64(64 - bits)).astype(np.int64)])
             lo, hi = np.searchsorted(keys, own[near], "left"), np.searchsorted(keys, own[near], "right")
+            near, lo, hi = (x[hi > lo] for x in (near, lo, hi))
+            fresh = ~(one[lo] & (near > 0) & (own[near - 1] == before[lo]))
+            near, lo, hi = near[fresh], lo[fresh], hi[fresh]
             for a, b in blocks(hi - lo):
                 n = (hi - lo)[a:b]
                 at = flat_ranges(lo[a:b], n)
-                both = np.unique(np.stack([item[at], np.repeat(near[a:b], n) - place[at]], 1), axis=0)
-                found.append(both[self._enough(hashes, both[:, 0], both[:, 1])])
-        both = np.unique(np.concatenate(found), axis=0)
-        return both[:, 0], both[:, 1]
-
-    def _enough(self, hashes: np.ndarray, item: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """Whether an item, laid at an offset, has as many equal words in all as a stretch needs."""
-        out = np.zeros(len(item), bool)
+                both = np.unique(item[at] * (2 * wide) + np.repeat(near[a:b], n) - place[at] + wide)
+                both = both[~np.isin(both, known)]
+                count = self._equal(hashes, both // (2 * wide), both % (2 * wide) - wide)
+                keep = count >= self.needed[both // (2 * wide)]
+                known, equal = np.concatenate([known, both[keep]]), np.concatenate([equal, count[keep]])
+        return known // (2 * wide), known % (2 * wide) - wide, equal
+
+    def _equal(self, hashes: np.ndarray, item: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """How many words of an item, laid at an offset, are equal in all."""
+        out = np.zeros(len(item), np.int64)
         for a, b in blocks(self.lengths[item]):
             n = self.lengths[item[a:b]]
             at = flat_ranges(offset[a:b], n)
             equal = (at >= 0) & (at < len(hashes)) & (hashes[at.clip(0, len(hashes) - 1)] == self.words[flat_ranges(self.firsts[item[a:b]], n)])
-            out[a:b] = np.add.reduceat(equal.astype(np.int64), np.cumsum(n) - n) >= self.needed[item[a:b]]
+            out[a:b] = np.add.reduceat(equal.astype(np.int64), np.cumsum(n) - n)
         return out
 
-    def overlaps(self, hashes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-        """(document, item, first word, end word, first word in the item, equal words) of verified stretches.
+    def overlaps(self, hashes: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+        """By document and item: first word, end word, first word in the item, equal words of the best verified stretch.
 
-        ``starts`` are the places where documents begin in ``hashes``, with its length at the end.
+        ``starts`` are the places where documents begin in ``hashes``, with its length at the end. Of
+        stretches with as many equal words the first stays.
         """
-        item, offset = self.hits(hashes)
-        out = []
-        for i, o in zip(item.tolist(), offset.tolist(), strict=True):
+        item, offset, equal = self.hits(hashes)
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        order = np.lexsort((offset, -equal))
+        for i, o, most in zip(item[order].tolist(), offset[order].tolist(), equal[order].tolist(), strict=True):
             own = self.items[i]
             for doc in self._documents(starts, o, o + len(own)):
+                kept = best.get((doc, i))
+                if kept and kept[3] >= most:
+                    continue
                 a, b = max(o, int(starts[doc])), min(o + len(own), int(starts[doc + 1]))
-                equal = hashes[a:b] == own[a - o : b - o]
-                for first, last, count in stretches(equal, int(self.needed[i]), self.share):
-                    out.append((doc, i, a + first - int(starts[doc]), a + last - int(starts[doc]), a + first - o, count))
-        return out
+                for first, last, count in stretches(hashes[a:b] == own[a - o : b - o], int(self.needed[i]), self.share):
+                    if not kept or count > kept[3]:
+                        kept = best[doc, i] = (a + first - int(starts[doc]), a + last - int(starts[doc]), a + first - o, count)
+        return best
 
     @staticmethod
     def _documents(starts: np.ndarray, a: int, b: int) -> range:
@@ -182,19 +208,22 @@ def stretches(equal: np.ndarray, needed: int, share: Fraction) -> list[tuple[int
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, part_words: int = PART_WORDS) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, part_words: int = PART_WORDS, min_item_words: int = MIN_ITEM_WORDS
+) -> DataFrame:
     """Overlaps of ``docs`` (doc_id, text) with items of ``benchmark`` (item_id, text).
 
     Returns one row for each document and item that overlap: doc_id, item_id, first_word and end_word
     (the place among the document's words of the stretch of the most equal words), item_word (its first
-    word in the item), n_equal (its equal words), n_runs (all stretches that count and do not overlap
-    where the two lie side by side alike). Documents without an overlap have no row.
+    word in the item), n_equal (its equal words). Documents without an overlap have no row.
 
     The benchmark is cut into parts of at most ``part_words`` words (or one item, if that is longer);
-    documents pass once for each part, so that a task's memory stays bounded for any benchmark.
+    documents pass once for each part, so that a task's memory stays bounded for any benchmark. A
+    worker sets up the hashes of a part once and joins those of its documents with them.
 
-    Null texts count as empty and overlap with nothing; items without words match nothing; repeated
-    rows are judged each; empty tables give no rows; other columns are not read.
+    Null texts count as empty and overlap with nothing; items of fewer than ``min_item_words`` words,
+    and those without any, match nothing; very long texts are read whole; repeated rows are judged
+    each; empty tables give no rows; other columns are not read.
     """
     spark = bounded_batches(docs.sparkSession)
     sized = benchmark.select("item_id", text_of().alias("text"))
@@ -202,42 +231,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     parts = max(1, int(-(-words // part_words)))
     key = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_no long, first_word long, end_word long, item_word long, n_equal long, n_runs long"
+    schema = f"doc_id {kind}, item_no long, first_word long, end_word long, item_word long, n_equal long"
     result = None
     for part in range(parts):
         items = [tuple(r) for r in sized.filter(key == part).orderBy("item_id", "text").collect()]
-        held = spark.sparkContext.broadcast(items)
+        held = spark.sparkContext.broadcast([text for _, text in items])
+        name = f"seeds {uuid.uuid4().hex}"
 
-        def rows(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = SeedIndex(held.value, min_words=min_words, min_identity=min_identity)
+        def rows(batches: Iterator[pa.RecordBatch], held=held, name=name) -> Iterator[pa.RecordBatch]:
+            index = worker_table(name, lambda: SeedIndex(list(enumerate(held.value)), min_words=min_words, min_identity=min_identity, min_item_words=min_item_words))
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 for a, b in chunks(texts, TAKE):
                     hashes, counts = hashed_words(texts[a:b], NOT_ALPHANUMERIC)
-                    starts = np.concatenate([[0], np.cumsum(counts)])
-                    best: dict[tuple[int, int], list[int]] = {}
-                    for doc, i, first, end, place, n in index.overlaps(hashes, starts):
-                        kept = best.setdefault((doc, i), [first, end, place, n, 0])
-                        if n > kept[3]:
-                            kept[:4] = first, end, place, n
-                        kept[4] += 1
+                    best = index.overlaps(hashes, np.concatenate([[0], np.cumsum(counts)]))
                     if best:
                         at = pa.array([a + doc for doc, _ in best])
-                        columns = [[i for _, i in best], *([v[k] for v in best.values()] for k in range(5))]
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "item_no", "first_word", "end_word", "item_word", "n_equal", "n_runs"])
+                        columns = [[index.item_ids[i] for _, i in best], *([v[k] for v in best.values()] for k in range(4))]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "item_no", "first_word", "end_word", "item_word", "n_equal"])
 
         found = docs.select("doc_id", text_of().cast("binary").alias("text")).mapInArrow(rows, schema)
-        numbered = list(enumerate(SeedIndex(items).item_ids))
-        names = spark.createDataFrame(numbered, f"item_no long, item_id {benchmark.schema['item_id'].dataType.simpleString()}")
+        names = spark.createDataFrame([(k, item_id) for k, (item_id, _) in enumerate(items)], f"item_no long, item_id {benchmark.schema['item_id'].dataType.simpleString()}")
+        # names of one part's items, of which there are no more than its words
         found = found.join(F.broadcast(names), "item_no").drop("item_no")
         result = found if result is None else result.unionByName(found)
-    return result.select("doc_id", "item_id", "first_word", "end_word", "item_word", "n_equal", "n_runs")
+    return result.select("doc_id", "item_id", "first_word", "end_word", "item_word", "n_equal")
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap with no item, with their columns; each by its own text, whatever its doc_id."""
+def clean_rows(docs: DataFrame, benchmark: DataFrame, min_item_words: int = MIN_ITEM_WORDS) -> DataFrame:
+    """The rows of ``docs`` that overlap with no item, with their columns; each by its own text, whatever its doc_id.
+
+    Null and empty texts stay, repeated rows are judged each, and an empty benchmark keeps every row.
+    """
     rows = numbered(docs)
-    found = decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark)
+    found = decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, min_item_words=min_item_words)
     return without(rows, found.select(F.col("doc_id").alias(ROW)), docs.columns)
 
 
