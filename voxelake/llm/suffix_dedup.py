@@ -14,6 +14,9 @@ anchors at equal places, so they fall into one bucket, named by the anchor's str
    difference-cover sample of a block's text are computed first, then one bucket of suffixes at a time
    is sorted by its first ``PERIOD`` bytes, and longer ties are resolved by the sample's ranks at the
    offset that both suffixes reach. Neighbours in that order that agree on ``LENGTH`` bytes repeat.
+   A bucket whose contexts have more than ``BLOCK_BYTES`` is not sorted but dealt out again, its contexts
+   taken as documents and anchored by another hash: the shorter contexts that come of it are mostly
+   alone or settled by counting. After ``LEVELS`` hashes what is left is sorted as it is.
 4. Repeated windows go back to the documents, where the bytes they cover are removed.
 """
 
@@ -33,8 +36,10 @@ LENGTH = 200
 GRAM = 32
 #: A difference cover modulo 31: every difference is that of two of its members (a fixed value).
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-#: Bytes of contexts that one block holds; a bucket is split over blocks only if it is larger.
+#: Bytes of contexts after which a block is sorted; a bucket of more is dealt out again by another hash.
 BLOCK_BYTES = 1_000_000
+#: Hashes by which buckets are dealt out, one after the other.
+LEVELS = 3
 #: Bytes of text that are taken up at a time.
 TAKE = 600_000
 _FACTOR = 0x9E3779B97F4A7C55
@@ -71,7 +76,7 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, level: int = 0) -> tuple[np.ndarray, ...]:
     """Text number, first window, windows, place, string hash and context hash of all anchors.
 
     Windows and places are byte positions in the text. Texts shorter than ``length`` have none.
@@ -83,6 +88,8 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
         return none, none, none, none, none, none
     starts = np.cumsum(sizes) - sizes
     hashes = _gram_hashes(data, gram)
+    if level:
+        hashes = mixed(hashes + np.uint64(level))
     keys = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
     place = (_sliding_least(keys, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of every window
     window = np.arange(len(place))
@@ -237,15 +244,16 @@ def repeated_windows(contexts: list[bytes], windows: np.ndarray, length: int = L
 # ---- Spark --------------------------------------------------------------------------------------
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """row_id, first, windows, gram, context of all anchors of ``docs`` (row_id, data)."""
+def _anchor_rows(docs: DataFrame, length: int, gram: int, level: int) -> DataFrame:
+    """row_id, first, windows, gram, context of all anchors of ``docs`` (row_id, scope, data); those of other scopes never meet."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, scopes, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for a, b in chunks(texts, TAKE):
-                text, first, count, _, name, context = anchors(texts[a:b], length, gram)
+                text, first, count, _, name, context = anchors(texts[a:b], length, gram, level)
                 if len(text):
+                    name = name ^ scopes[a:b][text]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][text]), pa.array(first), pa.array(count), pa.array(name), pa.array(context)], ["row_id", "first", "windows", "gram", "context"])
 
     return docs.mapInArrow(rows, "row_id long, first long, windows long, gram long, context long")
@@ -258,7 +266,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def _sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
-    """gram, context and flags (one byte a window, 1: it repeats) of contexts that share a window with another."""
+    """gram, context, at (0), windows and flags (one byte a window, 1: it repeats) of contexts that share a window with another."""
     ordered = contexts.repartition("gram").sortWithinPartitions("gram")
 
     def block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +274,8 @@ def _sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
         flags = repeated_windows([h[3] for h in held], np.array([h[2] for h in held]), length)
         some = [k for k, f in enumerate(flags) if f.any()]
         if some:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([held[k][0] for k in some], pa.int64()), pa.array([held[k][1] for k in some], pa.int64()), pa.array([flags[k].astype(np.uint8).tobytes() for k in some], pa.binary())], ["gram", "context", "flags"]
-            )
+            numbers = [pa.array(c, pa.int64()) for c in zip(*((held[k][0], held[k][1], 0, held[k][2]) for k in some), strict=True)]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array([flags[k].astype(np.uint8).tobytes() for k in some], pa.binary())], ["gram", "context", "at", "windows", "flags"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -283,7 +290,38 @@ def _sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield from block(held)
 
-    return ordered.mapInArrow(rows, "gram long, context long, flags binary")
+    return ordered.mapInArrow(rows, "gram long, context long, at long, windows long, flags binary")
+
+
+def _hits(docs: DataFrame, length: int, gram: int, level: int = 0) -> tuple[DataFrame, list[str]]:
+    """row_id, first, windows, flags (null: all of them) of places in ``docs`` (row_id, scope, data) whose windows repeat.
+
+    With the paths of the tables that it reads.
+    """
+    spark = docs.sparkSession
+    found, found_path = write_shared(_anchor_rows(docs, length, gram, level), "suffix-anchors")
+    counted = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "first", "windows")).alias("one"))
+    several = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("places"), F.sum(F.col("one.windows") + (length - 1)).alias("bytes")).filter("places > 1")
+    repeated, repeated_path = write_shared(counted.join(several, "gram").select("gram", "context", "n", "contexts", "bytes", "one.*"), "suffix-repeated")
+    # a context that occurs once can share windows with others only; one that occurs twice is settled
+    wanted = repeated.filter("contexts > 1").select("row_id", "first", "windows", "gram", "context", "bytes")
+    large = F.col("bytes") > (BLOCK_BYTES if level < LEVELS - 1 else 1 << 62)
+    flags = _sorted_buckets(_contexts(docs, wanted.filter(~large), length), length)
+    again = []
+    if not wanted.filter(large).isEmpty():
+        parts = _contexts(docs, wanted.filter(large), length).select(F.monotonically_increasing_id().alias("row_id"), F.col("gram").alias("scope"), "context", F.col("bytes").alias("data"))
+        parts, parts_path = write_shared(parts, "suffix-parts")
+        inner, paths = _hits(parts.select("row_id", "scope", "data"), length, gram, level + 1)
+        inner = inner.join(parts.select("row_id", F.col("scope").alias("gram"), "context"), "row_id")
+        flags = flags.unionByName(inner.select("gram", "context", F.col("first").alias("at"), "windows", "flags"))
+        again += [parts_path, *paths]
+    settled = repeated.filter("n > 1").select("gram", "context", F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("windows"), F.lit(None).cast("binary").alias("flags"))
+    partial = flags.join(repeated.filter("n = 1").select("gram", "context"), ["gram", "context"], "left_semi").select("gram", "context", "at", "windows", "flags")
+    marks, marks_path = write_shared(settled.unionByName(partial), "suffix-marks")
+    drop_shared(spark, repeated_path, *again)
+    marks = marks.withColumnRenamed("windows", "some")
+    hits = found.join(marks, ["gram", "context"]).select("row_id", (F.col("first") + F.col("at")).alias("first"), F.coalesce("some", "windows").alias("windows"), "flags")
+    return hits, [found_path, marks_path]
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
@@ -295,24 +333,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_t
     and are judged on the input.
 
     A null text counts as empty. Rows that repeat, with a doc_id or without, are documents of their
-    own. An empty table gives no rows; other columns are not read.
+    own. A very long text is anchored as a whole, so its size bounds a task's memory from below. An
+    empty table gives no rows; other columns are not read.
     """
     spark = bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     # a number for every row, so that repeated and null ids do no harm; kept in the shared folder since it isn't stable
     numbered, numbered_path = write_shared(docs.select("doc_id", text_of().cast("binary").alias("data")).withColumn("row_id", F.monotonically_increasing_id()), "suffix-docs")
-    texts = numbered.select("row_id", "data")
-    found, found_path = write_shared(_anchor_rows(texts, length, gram), "suffix-anchors")
-    counted = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "first", "windows")).alias("one"))
-    several = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("places")).filter("places > 1")
-    repeated, repeated_path = write_shared(counted.join(several, "gram").select("gram", "context", "n", "contexts", "one.*"), "suffix-repeated")
-    # a context that occurs once can share windows with others only; one that occurs twice is settled
-    wanted = repeated.filter("contexts > 1").select("row_id", "first", "windows", "gram", "context")
-    flags = _sorted_buckets(_contexts(texts, wanted, length), length)
-    settled = repeated.filter("n > 1").select("gram", "context", F.lit(None).cast("binary").alias("flags"))
-    partial = flags.join(repeated.filter("n = 1").select("gram", "context"), ["gram", "context"], "left_semi").select("gram", "context", "flags")
-    marks, marks_path = write_shared(settled.unionByName(partial), "suffix-marks")
-    hits = found.join(marks, ["gram", "context"]).select("row_id", "first", "windows", "flags")
+    hits, paths = _hits(numbered.select("row_id", F.lit(0).cast("long").alias("scope"), "data"), length, gram)
     per_row = hits.groupBy("row_id").agg(F.collect_list(F.struct("first", "windows", "flags")).alias("hits"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,8 +365,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_t
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<bigint>>, kept binary" * with_text
-    result = numbered.join(per_row, "row_id", "left").select("doc_id", "data", "hits").mapInArrow(rows, schema)
-    drop_shared(spark, repeated_path)
+    result, _ = write_shared(numbered.join(per_row, "row_id", "left").select("doc_id", "data", "hits").mapInArrow(rows, schema), "suffix-result")
+    drop_shared(spark, numbered_path, *paths)
     return result
 
 
