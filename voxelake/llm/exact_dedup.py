@@ -7,8 +7,10 @@ Three combining stages, each of which groups by the digest *and* the full conten
    ``salts`` tasks and not by one;
 3. among the salt winners, at most ``salts`` rows a group.
 
-Rows then find their winner by digest. A digest that stands for two contents (a collision) is
-noticed in stage 3, and its rows find their winner by digest and content instead.
+Rows then find their winner by digest and salt, under each salt that the group has, so that a large
+group is dealt over as many tasks on the way back as on the way there. A digest that stands for two
+contents (a collision) is noticed in stage 3, and its rows find their winner by digest and content
+instead.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Col
     Returns doc_id, keep_id, group_size, kept, text_sha256. A null text counts as empty, so empty
     and null texts form one group. Null ids never win against others; a group of null ids only has
     a null keep_id and its rows count as kept. Rows that repeat a doc_id and its text are all
-    marked alike. An empty table gives no rows; other columns of ``docs`` are not read.
+    marked alike. Very long texts are compared whole. An empty table gives no rows; other columns of
+    ``docs`` are not read. ``salts`` (62 at most) tell rows of one group apart by doc_id, so those
+    that have none share one.
 
     ``digest`` replaces SHA-256 as the grouping key (tests force collisions with it).
     """
@@ -42,20 +46,24 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Col
     rows = docs.select("doc_id", normalised(text_of()).alias("content")).withColumn("digest", digest(F.col("content")))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     merged = salted.groupBy("digest", "salt", "content").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    winners = merged.groupBy("digest", "content").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    # a bit for each salt of the group
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt").cast("int"))
+    winners = merged.groupBy("digest", "content").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.bit_or(bit).alias("bits"))
     by_digest = winners.groupBy("digest").agg(
         F.count(F.lit(1)).alias("contents"),
         F.min("keep_id").alias("keep_id"),
         F.max("group_size").alias("group_size"),
         F.max(F.sha2("content", 256)).alias("text_sha256"),
+        F.bit_or("bits").alias("bits"),
     )
     by_digest, _ = write_shared(by_digest, "exact-dedup")
-    found = rows.select("doc_id", "digest").join(by_digest.filter("contents = 1"), "digest")
+    each = by_digest.filter("contents = 1").withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda x: F.call_function("shiftrightunsigned", "bits", x) % 2 == 1)))
+    found = salted.select("doc_id", "digest", F.col("salt").cast("int").alias("salt")).join(each, ["digest", "salt"])
     found = found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     if by_digest.filter("contents > 1").isEmpty():
         return found
     collided = by_digest.filter("contents > 1").select("digest")
-    exact = rows.join(collided, "digest", "left_semi").join(winners, ["digest", "content"])
+    exact = rows.join(collided, "digest", "left_semi").join(winners.drop("bits"), ["digest", "content"])
     return found.unionByName(exact.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.sha2("content", 256).alias("text_sha256")))
 
 
