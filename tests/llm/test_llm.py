@@ -1,9 +1,11 @@
 """Each operator against a brute-force version, a round trip or a library, and on edge cases."""
 
+import base64
 import collections
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -125,10 +127,43 @@ def test_edits_equal_full_counts():
     for _ in range(400):
         own = edit_counts.CountedText("".join(r.choice(letters) for _ in range(r.randrange(40))), count)
         for _ in range(4):
-            assert own.tokens.total == len(whole.encode_ordinary(own.text)) and own.lengths.total == len(own.text)
+            assert own.n_tokens == len(whole.encode_ordinary(own.text)) and own.n_chars == len(own.text)
             own.edit(r.randrange(-2, 45), r.randrange(10), "".join(r.choice(letters) for _ in range(r.randrange(6))))
 
 
+@pytest.mark.parametrize("leaf", [1, 3])
+def test_edits_over_many_leaves(monkeypatch, leaf):
+    monkeypatch.setattr(edit_counts, "LEAF", leaf)
+    path = f"{edit_counts.TOKENIZERS}/{edit_counts.VOCABULARY}"
+    count, whole, r, letters = edit_counts.UnitCounter(path), edit_counts.encoding(path), random.Random(leaf), "ab  \n'sé日\x85　1."
+    for _ in range(60):
+        text = "".join(r.choice(letters) for _ in range(r.randrange(200)))
+        own = edit_counts.CountedText(text, count)
+        for _ in range(25):
+            start, n, new = r.randrange(-2, 205), r.choice([0, 0, 1, 5, 120]), "".join(r.choice(letters) for _ in range(r.choice([0, 3, 40])))
+            own.edit(start, n, new)
+            start = min(max(start, 0), len(text))
+            text = text[:start] + new + text[start + n :]
+            assert own.text == text and own.n_tokens == len(whole.encode_ordinary(text))
+            assert own.n_units == len(edit_counts.UNIT.findall(text)) and own.n_chars == len(text)
+
+
+def test_edits_of_a_long_text_touch_few_nodes():
+    count, r = edit_counts.UnitCounter(f"{edit_counts.TOKENIZERS}/{edit_counts.VOCABULARY}"), random.Random(2)
+    own = edit_counts.CountedText("some words " * 450_000, count)
+    for k in range(300):
+        before = own.touched, own.reencoded
+        own.edit(r.randrange(own.n_chars) if k % 2 else 2_000_000, r.randrange(12), "and more of them ")
+        assert own.touched - before[0] < 150 and own.reencoded - before[1] < 20
+
+
+def test_edits_of_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, None), (2, "a")], "doc_id long, text string")
+    edits = spark.createDataFrame([(None, 1, 0, 1, "x "), (1, None, 0, 0, "y "), (1, 0, 0, 1, None), (9, 0, 0, 0, "z")], "doc_id long, seq int, start long, n_deleted long, inserted string")
+    got = edit_counts.count_edited(edit_counts.with_edits(docs, edits)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 4), (1, 1), (1, 4), (2, 1)]
+
+
 def test_edits_reencode_little(spark):
     docs = docs_of(spark, ["word " * 5000])
     edits = spark.createDataFrame([(0, 1, 10000, 3, "new"), (0, 0, 5, 0, "x")], "doc_id long, seq int, start long, n_deleted long, inserted string")
@@ -158,6 +193,19 @@ def test_suffix_dedup(spark, prose):
     assert all(len(got[i].kept) == len(raw[i]) - got[i].n_removed == len(raw[i]) - sum(b - a for a, b in got[i].spans) for i in range(len(texts)))
 
 
+@pytest.mark.parametrize("limit", [1, 3000])
+def test_suffix_dedup_of_large_buckets(spark, monkeypatch, limit):
+    """A string of 40 bytes in many surroundings, a passage that many texts share, and copies of both."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", limit)
+    r = random.Random(11)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, passage = noise(40), noise(260)
+    texts = [noise(150) + line + noise(150) for _ in range(40)] + [noise(90) + passage + noise(90) for _ in range(30)]
+    texts += [texts[3], texts[50] + "x", noise(50) + texts[4][20:320], passage[:210], "ab" * 300, None]
+    got = by_id(suffix_dedup.suffix_dedup(docs_of(spark, texts)))
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == removed([(t or "").encode() for t in texts], 200)
+
+
 def test_suffix_order():
     r = random.Random(2)
     for _ in range(40):
@@ -244,8 +292,8 @@ def test_masks_survive_two_replaced_words():
 def test_decontamination(spark):
     words = [f"w{i}" for i in range(40)]
     changed = [("CHANGED" if i % 6 == 3 else w.upper()) for i, w in enumerate(words)]
-    bench = spark.createDataFrame([(1, " ".join(words)), (2, "short one here"), (3, None), (4, "")], "item_id long, text string")
-    docs = docs_of(spark, [f"before {', '.join(changed)} after", "clean words only", None, "so Short, one HERE", " ".join(words[:9]), f"x {' '.join(words[10:30])}", "short one there"])
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "short one here with words"), (3, None), (4, "")], "item_id long, text string")
+    docs = docs_of(spark, [f"before {', '.join(changed)} after", "clean words only", None, "so Short, one HERE with words", " ".join(words[:9]), f"x {' '.join(words[10:30])}", "short one there with words"])
     got = {(r.doc_id, r.item_id): r for r in decontamination.decontaminate(docs, bench).collect()}
     assert set(got) == {(0, 1), (3, 2), (5, 1)} and got[0, 1].first_word == 1 and got[5, 1].n_equal == 20
     parts = {(r.doc_id, r.item_id) for r in decontamination.decontaminate(docs, bench, part_words=10).collect()}
@@ -265,12 +313,71 @@ def test_segment_checks_itself():
     random_ = np.random.default_rng(1)
     documents = [random_.integers(0, 49408, n) for n in (0, 5, 3000)]
     data = token_files.write_segment(documents, 49408)
-    assert all((a == b).all() for a, b in zip(documents, token_files.read_segment(data, 49408), strict=True))
+    read = token_files.read_segment(data, 49408)
+    assert all((a == b).all() for a, b in zip(documents, read.documents, strict=True)) and read.names.to_pylist() == [0, 1, 2]
     for bad in (b"", b"xxxx" + data[4:], data[:-40], data[:-9] + bytes([data[-9] ^ 255]) + data[-8:]):
         with pytest.raises(token_files.CorruptSegment):
             token_files.read_segment(bad, 49408)
 
 
+GOLDEN = (
+    "VlhUSwIDAAAAegAAAAAAAAABAAAAAwAAAAsAAAAAAAAAkAAAAHicXU87DsIwFHOakBSUoUOFOnIQht6kA12YuAIjtw5+T5YasPR+eY7jtNbaG8AEwwUVGSeM7IiQOIPTyJyUecyY/c7Ms4zirEkaYbB6E9eQGfvrsT1306qM4lpGXsWhjfaRrqHiKifV1RETFulCXhdukrze9YeIA0PXB1W961r9Lv7xMn5RVM+dX6tf"
+    "IwgSZz0AAAAAAAAAPQAAAHoAAAABAAAApgAAAMEVEHNRAAAAx37Zn3WfTPegTTpwpgG/pr8yc5NSsZvaELJtPIVeP90yKz6e4I2IiJsOx15ctbsXuL7BgCgQFXSLh06JbAM+Yv//nXDBrkkydOBTuCRm/YaRDSO/VvvAxgHfq+WpRKTEQdXHP3vPPSzjOOEactrfwzLXinLNNi4eqF+uA68vdRWwKQQEZBeJ9Db8vLNcRlHFS6bVsdD5qyLI6o3soZLr/LY+"
+)
+
+
+def test_a_segment_written_once_is_read_by_any_build():
+    read = token_files.read_segment(base64.b64decode(GOLDEN), 1000)
+    assert [d.tolist() for d in read.documents] == [[5, 6, 7] * 20 + [2], [], [k * k % 1000 for k in range(60)] + [2]]
+    assert (read.names.to_pylist(), read.file_no, read.n_before) == ([None, 7, 9], 3, 11)
+
+
+def test_a_block_is_smaller_than_order_0_allows(prose):
+    words = token_files.WordTokens(f"{token_files.TOKENIZERS}/{token_files.VOCABULARY}")
+    ids = np.concatenate([np.append(x, token_files.END_ID) for x in words.batch(prose)])
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    _, payload = token_files.encode_block(ids, 49408)
+    assert 8 * len(payload) < 0.98 * len(ids) * -(share * np.log2(share)).sum()
+
+
+def test_intervals_of_all_ids_fill_the_range():
+    model, random_ = token_files.Mixer(300, 40), np.random.default_rng(3)
+    for _ in range(60):
+        model.predict(40)
+        spans = [model.intervals(np.full(40, k, np.int32)) for k in range(300)]
+        ends = np.zeros(40, np.uint64)
+        for low, size in spans:
+            assert (low == ends).all() and (size > 0).all()
+            ends = low + size
+        assert (ends == 1 << token_files.TOTAL_BITS).all()
+        k = int(random_.integers(0, 300))
+        assert all((model.find(place.astype(np.int64)) == k).all() for place in (spans[k][0], spans[k][0] + spans[k][1] - np.uint64(1)))
+        ids = random_.integers(0, 12, 40).astype(np.int32)
+        model.predict(40)
+        model.intervals(ids)
+        model.learn(ids)
+
+
+def test_words_across_stretches(monkeypatch, prose):
+    words = token_files.WordTokens(f"{token_files.TOKENIZERS}/{token_files.VOCABULARY}")
+    texts = ["", "x" * 90, " \n ", "THE!! the!! The é É, Éa.b É.. ÷, a× \xc3", *prose[:3]]
+    want = [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for size in (7, 64):
+        monkeypatch.setattr(token_files, "STRETCH", size)
+        monkeypatch.setattr(token_files, "TABLE_LISTS", 50)
+        assert [x.tolist() for x in words.batch(texts)] == want
+        assert [words(t.encode()).tolist() for t in texts] == want
+
+
+def test_rows_that_share_an_id_are_written_once_each(spark):
+    texts = ["a b", "c", None, "a b", "c d e"] * 40
+    docs = spark.createDataFrame([(None if k % 3 == 0 else 7, t, k) for k, t in enumerate(texts)], "doc_id long, text string, data int")
+    files, _ = token_files.write_tokens(docs, partitions=6)
+    got = token_files.read_tokens(files).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((None if k % 3 == 0 else 7 for k in range(200)), key=lambda x: x or 0)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist() and sum(r.n_tokens for r in got) == sum(len((t or "").split()) + 1 for t in texts)
+
+
 def test_token_files_equal_library(spark, prose):
     texts = [*ODD, *prose[:50], "<|endoftext|> don't  STOP"]
     path = f"{token_files.TOKENIZERS}/{token_files.VOCABULARY}"
@@ -396,18 +503,40 @@ def test_rows_with_null_and_repeated_ids(spark, column):
     got = ngram_join.representatives(docs, ngram_join.Similarity(2, 80, 100))
     assert texts_kept(got.filter("text IS NULL OR text NOT LIKE 'no %id'"), docs.columns) == as_rows([r for r in exact if r[1] != base]) and got.count() == len(exact)
     bench = spark.createDataFrame([(1, base), (2, "other text")], "item_id long, text string")
-    assert texts_kept(decontamination.clean_rows(docs, bench), docs.columns) == as_rows([r for r in rows if r[1] not in (base, near, "other text", "other  text")])
+    assert texts_kept(decontamination.clean_rows(docs, bench, 2), docs.columns) == as_rows([r for r in rows if r[1] not in (base, near, "other text", "other  text")])
 
 
 def test_short_items_with_a_replaced_word(spark):
     items = [[f"w{n}x{k}" for k in range(n)] for n in range(1, 13)]
     docs = [["before", *item[:k], "other", *item[k + 1 :]] for item in items for k in range(len(item))] + items
     want = {(d, i): n for d, doc in enumerate(docs) for i, item in enumerate(items) if (n := every_stretch(doc, item))}
-    assert overlaps_found(spark, items, docs) == want
+    assert overlaps_found(spark, items, docs, min_item_words=1) == want
+    assert overlaps_found(spark, items, docs) == {k: n for k, n in want.items() if len(items[k[1]]) >= 5}
     # of seven words and more, one may be replaced anywhere
     assert len(want) == sum(range(7, 13)) + len(items)
 
 
+def test_a_line_that_many_items_and_texts_share():
+    line = " ".join(f"l{k}" for k in range(30))
+    items = [(i, f"a{i} b{i} {line} c{i}") for i in range(1000)]
+    text = " ".join(f"x{k} {line} y{k % 7}" for k in range(1000)).encode()
+    started = time.process_time()
+    index = decontamination.SeedIndex(items)
+    hashes, counts = common.hashed_words([text, b"none of it"], common.NOT_ALPHANUMERIC)
+    found = index.overlaps(hashes, np.concatenate([[0], np.cumsum(counts)]))
+    assert set(found) == {(0, i) for i in range(1000)} and set(found.values()) == {(1, 31, 2, 30)}
+    assert time.process_time() - started < 20
+
+
+def test_passages_repeated_in_items_and_texts(spark):
+    draw = random.Random(9)
+    passages = [[f"p{n}x{k}" for k in range(n)] for n in (8, 15, 20)]
+    mixed = lambda: [w for _ in range(4) for w in draw.choice([*passages, [f"z{draw.randrange(5)}"] * 3])]
+    items, docs = [mixed() for _ in range(12)], [mixed() for _ in range(40)]
+    want = {(d, i): n for d, doc in enumerate(docs) for i, item in enumerate(items) if (n := every_stretch(doc, item))}
+    assert overlaps_found(spark, items, docs) == want and want
+
+
 def test_segments_part_no_unit():
     draw = random.Random(3)
     texts = ["", " ", " " * 50, "a" + " " * 12 + "b", "ab" * 30, *("".join(draw.choice(["a", "bc", " ", " " * draw.randrange(30)]) for _ in range(40)) for _ in range(50))]

@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op7_ngram_join": ngram_join.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
 }
