@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import random
+import re
 import time
 import zlib
 
@@ -113,6 +114,30 @@ def test_quality_held_out(spark):
     assert quality.train(docs_of(spark, []), spark.createDataFrame([], "doc_id long, quality int")).bias == 0
 
 
+def test_quality_scores_equal_the_double_sum(spark, prose):
+    """Every score against the plain sum over pairs, from the model that training gives."""
+    docs = docs_of(spark, [*prose[:30], None, "", "a"])
+    model = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    got = by_id(quality.score(docs, model))
+    make = quality.Features()
+    w, v = model.w.astype(np.float32).astype(float), model.v.astype(np.float32).astype(float)
+    for k, text in enumerate([*prose[:30], "", "", "a"]):
+        at, bucket, value, dense = make([text])
+        _, index, x = model.joined(at, bucket, value, model.scaled(dense))
+        z = model.bias + (w[index] * x).sum() + sum(v[index[a]] @ v[index[b]] * x[a] * x[b] for a, b in itertools.combinations(range(len(x)), 2))
+        assert got[k].score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6)
+
+
+def test_quality_of_other_ids_and_columns(spark, prose):
+    docs = spark.createDataFrame([(f"d{k % 20}" if k % 7 else None, t, k) for k, t in enumerate([*prose[:40], None])], "doc_id string, text string, quality int")
+    labels = spark.createDataFrame([*((f"d{k}", k % 2) for k in range(20)), ("d1", 1), (None, 1), ("d2", None)], "doc_id string, quality int")
+    model = quality.train(docs, labels, max_rows=7)
+    assert quality.score(docs, model).count() == 41
+    kept = quality.accepted(docs, labels, 0.0)
+    assert kept.columns == docs.columns and kept.count() == 41 and quality.accepted(docs, labels, 1.1).count() == 0
+    assert quality.accepted(docs.limit(0), labels.limit(0)).count() == 0
+
+
 def test_sum_of_squares_identity():
     random_ = np.random.default_rng(0)
     m = quality.FactorisationMachine(v=random_.normal(size=(quality.BUCKETS + len(quality.STATISTICS), quality.FACTORS)))
@@ -537,6 +562,82 @@ def test_passages_repeated_in_items_and_texts(spark):
     assert overlaps_found(spark, items, docs) == want and want
 
 
+def test_rows_of_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", 1, 2, 3), (2, "a b  c d e f g", 4, 5, 6), (3, "other words are here today now", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int, first int, node int")
+    bench = spark.createDataFrame([(1, "other words are here today now")], "item_id long, text string")
+    for kept, want in ((exact_dedup.kept_rows(docs), [1, 3]), (ngram_join.representatives(docs), [1, 3]), (decontamination.clean_rows(docs, bench), [1, 2])):
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def test_stages_on_tables_that_are_odd(spark, tmp_path, prose):
+    """Nulls in any column, repeated rows and ids, and columns named as the stages name theirs; then no rows at all."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    bench.unionByName(spark.createDataFrame([(None, None), (7, "")], bench.schema)).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    item = bench.filter("length(text) > 60").first().text
+    plain = prose[0]
+    rows = [(None, None), (None, ""), (None, plain), (1, plain), (1, plain), (1, f"{plain} again"), (2, f"so it says: {item}"), (3, "é" * 5000), (3, "\0")]
+    schema = "doc_id long, text string, first long, _gone long, lang string, n_chars long"
+    odd = spark.createDataFrame([(i, t, None, 1, None, None) for i, t in rows], schema)
+    numbered = odd.withColumn(common.ROW, F.monotonically_increasing_id())
+    kept = {}
+    for name in ("exact_dedup", "ngram_join", "decontamination"):
+        got = stage(name)(spark, numbered, str(tmp_path))
+        assert got.columns == numbered.columns
+        kept[name] = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    # of the two texts that are empty or null, and of the three plain ones, one each
+    assert len(kept["exact_dedup"]) == 6 and (1, plain) in kept["exact_dedup"] and (1, f"{plain} again") in kept["exact_dedup"]
+    assert {t for _, t in kept["decontamination"]} == {t for _, t in rows if t is None or item not in t} and len(kept["decontamination"]) == 8
+    assert (1, f"{plain} again") not in kept["ngram_join"] and (1, plain) in kept["ngram_join"] and (None, None) in kept["ngram_join"]
+    coded = stage("sentencepiece")(spark, numbered, str(tmp_path)).collect()
+    assert len(coded) == len(rows) and all(r.round_trip for r in coded)
+    docs = odd
+    for name, function in corpus_pipeline.STAGES:
+        docs = function(spark, docs.limit(0), str(tmp_path))
+        assert docs.count() == 0, name
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """What each filtering stage keeps of the small table, held against plain versions of the same rules."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn(common.ROW, F.col("doc_id"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = sorted(texts)
+    same = {}
+    for i in ids:
+        same.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i]), i)
+    assert {r.doc_id for r in stage("exact_dedup")(spark, docs, SF).collect()} == set(same.values())
+    roots = classes([texts[i] for i in ids], 5, 80, 100)
+    assert {r.doc_id for r in stage("ngram_join")(spark, docs, SF).collect()} == {i for k, i in enumerate(ids) if roots[k][1] == k}
+    items = [re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in r.text or "")) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    words = {i: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in texts[i])) for i in ids}
+    clean = {r.doc_id for r in stage("decontamination")(spark, docs, SF).collect()}
+    for i in ids:
+        # no stretch that counts can be without two neighbouring words of the item
+        pairs = set(zip(words[i], words[i][1:], strict=False))
+        near = [x for x in items if len(x) >= 5 and pairs & set(zip(x, x[1:], strict=False))]
+        assert (i in clean) == (not any(stretch_there(words[i], x) for x in near)), i
+
+
+def stretch_there(doc, item):
+    """Whether any stretch counts, by running sums over every diagonal."""
+    needed = min(13, -(-85 * len(item) // 100))
+    a, b = np.array([hash(w) for w in doc], np.int64), np.array([hash(w) for w in item], np.int64)
+    for offset in range(1 - len(b), len(a)):
+        x, y = a[max(0, offset) : offset + len(b)], b[max(0, -offset) : max(0, -offset) + len(a[max(0, offset) : offset + len(b)])]
+        equal = x == y
+        if equal.sum() < needed:
+            continue
+        n = len(equal)
+        if any(equal[p:q].sum() >= needed and 10 * equal[p:q].sum() >= 8 * (q - p) for p in range(n) for q in range(p + 1, n + 1)):
+            return True
+    return False
+
+
 def test_segments_part_no_unit():
     draw = random.Random(3)
     texts = ["", " ", " " * 50, "a" + " " * 12 + "b", "ab" * 30, *("".join(draw.choice(["a", "bc", " ", " " * draw.randrange(30)]) for _ in range(40)) for _ in range(50))]

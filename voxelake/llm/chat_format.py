@@ -47,8 +47,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     exactly those in [target_start, target_end) are trainable (0-based, end exclusive).
 
     Turns are put in order by turn (null first), then role, then text. Null roles and texts count as
-    empty; rows that repeat are turns of their own. Null conv_ids form one conversation. Empty
-    input gives no rows; other columns are not read.
+    empty; rows that repeat are turns of their own. Null conv_ids form one conversation. A conversation
+    is one string, however long it is. Empty input gives no rows; other columns are not read.
     """
     cleaned = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = cleaned.select(

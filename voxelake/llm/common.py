@@ -79,7 +79,7 @@ BROADCAST_IDS = 500_000
 
 
 #: The column of row numbers by which the pipeline's stages tell rows apart, whatever their doc_id.
-ROW = "row_no"
+ROW = "voxelake_row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -94,12 +94,14 @@ def numbered(docs: DataFrame) -> DataFrame:
 def without(docs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of numbered ``docs`` whose ``ROW`` is not among ``rows`` (``ROW``); that column stays if ``columns`` have it.
 
-    The numbers are written and counted first: at most ``BROADCAST_IDS`` of them are broadcast.
+    The numbers are written and counted first: at most ``BROADCAST_IDS`` of them are broadcast. Columns of
+    ``docs`` may have any other names. No ``rows`` leave all of ``docs``; null numbers match none.
     """
-    gone, _ = write_shared(rows.select(F.col(ROW).alias("_gone")).distinct(), "gone")
+    gone, _ = write_shared(rows.select(F.col(ROW)).distinct(), "gone")
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col(ROW) == F.col("_gone"), "left_anti")
+    # joined by the column's name, so that no name of ``docs`` can be ambiguous
+    kept = docs.join(gone, ROW, "left_anti").select(docs.columns)
     return kept if ROW in columns else kept.drop(ROW)
 
 

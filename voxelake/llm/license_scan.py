@@ -148,8 +148,8 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, chars_
     phrase, else the best notice's share of unedited characters, 0 without any); n_notices and spans
     (JSON list of [label, start, end, edits] in characters of the normal form).
 
-    A null text counts as empty: no words, no marks. Repeated rows are scanned each; an empty table
-    gives no rows; other columns are not read.
+    A null text counts as empty: no words, no marks. Repeated rows are scanned each; texts are read whole,
+    however long; an empty table gives no rows; other columns are not read.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

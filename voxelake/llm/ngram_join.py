@@ -375,7 +375,8 @@ def ngram_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFr
     Returns doc_id, n_shingles (size of the row's set) and component_id (the smallest doc_id that
     links reach, its own included). A null or empty text has no shingles and links with nothing; equal
     sets link. Null doc_ids never are a component's id unless it has no other. Rows that repeat a
-    doc_id are judged each by its own text. Empty tables give no rows; other columns are not read.
+    doc_id are judged each by its own text. Sets of very long texts are whole. Empty tables give no rows;
+    other columns are not read.
     """
     spark = bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", text_of().cast("binary").alias("text"))

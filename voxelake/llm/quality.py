@@ -172,30 +172,33 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 
     The features are made on the executors; the driver gets those of ``max_rows`` texts at most.
     Null ids, labels and texts: rows without id or label are left out, a null text counts as empty.
-    A doc_id that repeats in ``labels`` counts once. Without any row the model scores 0.5.
+    A doc_id that repeats in ``labels`` counts once, as does one that repeats in ``docs`` (with its least
+    text). Ids may be of any type that has an order. Without any row the model scores 0.5.
     """
     bounded_batches(docs.sparkSession)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    # the broadcast has ``max_rows`` rows at most, and so has what is left of their texts
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
+    kind = docs.schema["doc_id"].dataType
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = worker_table("features", Features)
         for batch in batches:
-            ids, quality, texts_ = batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), batch.column("text").to_pylist()
+            ids, quality, texts_ = batch.column("doc_id"), batch.column("quality").to_pylist(), batch.column("text").to_pylist()
             for a, b in chunks(texts_):
                 at, bucket, value, dense = make(texts_[a:b])
                 cut = np.searchsorted(at, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": ids[a:b], "quality": pa.array(quality[a:b], pa.int32()),
+                        "doc_id": ids.slice(a, b - a), "quality": pa.array(quality[a:b], pa.int32()),
                         "bucket": [bucket[cut[k] : cut[k + 1]].astype("<u2").tobytes() for k in range(b - a)],
                         "value": [value[cut[k] : cut[k + 1]].astype("<f4").tobytes() for k in range(b - a)],
                         "dense": [dense[k].astype("<f8").tobytes() for k in range(b - a)],
                     }
                 )
 
-    got: pd.DataFrame = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(rows, "doc_id long, quality int, bucket binary, value binary, dense binary").toPandas()
+    got: pd.DataFrame = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(rows, f"doc_id {kind.simpleString()}, quality int, bucket binary, value binary, dense binary").toPandas()
     got = got.sort_values("doc_id", kind="stable")
     model = FactorisationMachine()
     if got.empty:
@@ -210,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     """doc_id and score of every row of ``docs``; null and empty texts are scored as empty ones.
 
-    Repeated rows are scored each; an empty table gives no rows; other columns are not read.
+    Repeated rows are scored each; texts are read whole, however long; an empty table gives no rows; other
+    columns are not read.
     """
     held = bounded_batches(docs.sparkSession).sparkContext.broadcast((model.bias, model.w.astype(np.float32), model.v.astype(np.float32), model.mean, model.sd))
 
@@ -225,7 +229,12 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with their columns."""
+    """The rows of ``docs`` that score ``threshold`` or more, with their columns, whatever these are named.
+
+    A null or empty text is scored as an empty one and stays as it is; repeated rows are judged each, by
+    their own text; texts are read whole, however long. Without labels every row scores 0.5. An empty
+    table gives no rows.
+    """
     held = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((held.bias, held.w.astype(np.float32), held.v.astype(np.float32), held.mean, held.sd))
     names, at = docs.columns, docs.columns.index("text")
