@@ -108,6 +108,46 @@ def test_notices_with_few_edits_are_found():
             assert any(m.label == label or m.edits <= 2 for m in s(f"before {''.join(text)} after")), (label, "".join(text))
 
 
+def edit_distances(notice, text):
+    """For each place of the text the least edits of the notice against any stretch that ends there."""
+    row = list(range(len(notice) + 1))
+    out = []
+    for c in text:
+        before, row[0] = row[0], 0
+        for k, d in enumerate(notice, 1):
+            before, row[k] = row[k], min(before + (c != d), row[k] + 1, row[k - 1] + 1)
+        out.append(row[-1])
+    return out
+
+
+def spoilt(draw, text, edits):
+    out = list(text)
+    for _ in range(edits):
+        at, kind = draw.randrange(len(out)), draw.randrange(3)
+        out[at : at + (kind != 1)] = [] if kind == 0 else [draw.choice("qxz e")]
+    return "".join(out)
+
+
+def test_notices_equal_brute_force_under_all_kinds_of_edits():
+    s, draw = license_scan.NoticeScanner(), random.Random(13)
+    found_all = 0
+    for notice, _ in license_scan.NOTICES:
+        most = max(1, len(notice) // license_scan.CHARS_PER_EDIT)
+        for edits in range(most + 3):
+            text = license_scan.normal_form(f"words before {spoilt(draw, notice, edits)} and after").decode()
+            found = s(text)
+            for m in found:
+                own = next(n for n, label in license_scan.NOTICES if label == m.label)
+                assert edit_distances(own, text[m.start : m.end])[-1] <= m.edits <= max(1, len(own) // license_scan.CHARS_PER_EDIT)
+            for other, label in license_scan.NOTICES:
+                k = max(1, len(other) // license_scan.CHARS_PER_EDIT)
+                ends = [e for e, d in enumerate(edit_distances(other, text), 1) if d <= k]
+                # wherever any stretch is near enough, a match of this notice or a better one lies there
+                assert all(any(m.start - k <= e <= m.end + k for m in found) for e in ends), (label, text)
+                found_all += bool(ends)
+    assert found_all > 50
+
+
 def test_quality_held_out(spark):
     got = quality.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out")
     assert got.filter("predicted = quality").count() >= 0.97 * got.count()
