@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_suffix_dedup": suffix_dedup.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_ngram_join": ngram_join.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
+    "op9_decontamination": decontamination.ORACLE,
 }

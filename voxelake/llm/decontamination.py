@@ -151,7 +151,8 @@ class SeedIndex:
         """By document and item: first word, end word, first word in the item, equal words of the best verified stretch.
 
         ``starts`` are the places where documents begin in ``hashes``, with its length at the end. Of
-        stretches with as many equal words the first stays.
+        stretches with as many equal words that with the least first word stays, then that with the
+        least first word in the item.
         """
         item, offset, equal = self.hits(hashes)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
@@ -160,12 +161,14 @@ class SeedIndex:
             own = self.items[i]
             for doc in self._documents(starts, o, o + len(own)):
                 kept = best.get((doc, i))
-                if kept and kept[3] >= most:
-                    continue
                 a, b = max(o, int(starts[doc])), min(o + len(own), int(starts[doc + 1]))
+                # no stretch here can have more equal words, or as many and a lesser first word
+                if kept and (kept[3] > most or kept[3] == most and kept[0] < a - int(starts[doc])):
+                    continue
                 for first, last, count in stretches(hashes[a:b] == own[a - o : b - o], int(self.needed[i]), self.share):
-                    if not kept or count > kept[3]:
-                        kept = best[doc, i] = (a + first - int(starts[doc]), a + last - int(starts[doc]), a + first - o, count)
+                    found = (a + first - int(starts[doc]), a + last - int(starts[doc]), a + first - o, count)
+                    if not kept or (-found[3], found[0], found[2]) < (-kept[3], kept[0], kept[2]):
+                        kept = best[doc, i] = found
         return best
 
     @staticmethod
@@ -270,3 +273,27 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, min_item_words: int = MIN_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE = r"""
+WITH dw AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS p FROM (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents)
+), iw AS (
+  SELECT item_id, needed, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS q FROM (
+    SELECT item_id, ws, least(13, ceil(0.85 * len(ws))) AS needed FROM (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark)
+    WHERE len(ws) >= 5)
+), equal AS (
+  SELECT doc_id, item_id, needed, p - q AS diagonal, p, q FROM dw JOIN iw USING (word)
+), near AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS k FROM equal
+  QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diagonal) >= needed
+), stretches AS (
+  SELECT a.doc_id, a.item_id, a.p AS first_word, b.p + 1 AS end_word, a.q AS item_word, b.k - a.k + 1 AS n_equal
+  FROM near a JOIN near b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.diagonal = b.diagonal AND b.k >= a.k
+  WHERE b.k - a.k + 1 >= a.needed AND 10 * (b.k - a.k + 1) >= 8 * (b.p - a.p + 1)
+)
+SELECT doc_id, item_id, first_word, end_word, item_word, n_equal FROM stretches
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, first_word, item_word) = 1
+"""

@@ -372,3 +372,28 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_t
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_slice(b, i + 1, i + 200)) AS name FROM (SELECT doc_id, b, unnest(range(n - 199)) AS i FROM d WHERE n >= 200)
+), repeated AS (
+  SELECT doc_id, i FROM windows JOIN (SELECT name FROM windows GROUP BY name HAVING count(*) > 1) USING (name)
+), runs AS (
+  SELECT doc_id, min(i) AS first, max(i) + 200 AS stop FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+      SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM repeated)
+  ) GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, first, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY first), 0) AS before FROM runs
+), cut AS (
+  SELECT doc_id, CAST(sum(stop - first) AS BIGINT) AS n_removed, count(*) AS n_spans, max(stop) AS last,
+         string_agg(CASE WHEN first > before THEN hex(array_slice(b, before + 1, first)) ELSE '' END, '' ORDER BY first) AS kept
+  FROM pieces JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || CASE WHEN n > coalesce(last, 0) THEN hex(array_slice(b, coalesce(last, 0) + 1, n)) ELSE '' END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
