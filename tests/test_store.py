@@ -87,6 +87,35 @@ def test_containers_are_created_extended_and_read(spark, tmp_path):
     assert storage.write_containers(series_rows(spark, store, [(1, 1, 1)]).limit(0)).count() == 0
 
 
+def test_members_that_are_kept(spark, tmp_path):
+    store = f"{tmp_path}/store"
+    index = spark.createDataFrame(storage.write_containers(series_rows(spark, store, [(1, 1, 700), (1, 2, 30), (1, 3, 5), (2, 4, 9)])).collect())
+    left = storage.keep_members(index, index.filter("instance_uid IN ('9.1', '9.3')")).collect()
+    assert sorted((r.instance_uid, r.start_byte, r.size) for r in left) == [("9.1", 1536, 700), ("9.3", 1536 + 1024 + 1536, 5)]
+    with tarfile.open(f"{store}/studies/1.2/series/1.2.1.tar") as tar:
+        assert [(m.name, tar.extractfile(m).read()) for m in tar] == [("instances/9.1.dcm", b"\1" * 700), ("instances/9.3.dcm", b"\3" * 5)]
+    with tarfile.open(f"{store}/studies/1.2/series/1.2.2.tar") as tar:
+        assert tar.getnames() == ["instances/9.4.dcm"]
+
+
+def test_bytes_and_frames_in_files(spark):
+    rows = spark.createDataFrame([(b"ab\xff\x00cd", [(1, 2), (4, 1)]), (b"", []), (None, None)], "c binary, f array<struct<offset:long,length:long>>")
+    assert [r.p for r in rows.select(S.find_bytes(F.col("c"), b"\xff\x00").alias("p")).collect()] == [2, -1, None]
+    got = [tuple(None if x is None else bytes(x) for x in r) for r in rows.select(*(layout.frame_bytes(F.col("c"), F.col("f"), F.lit(k)).alias(f"x{k + 1}") for k in (-1, 0, 1, 2))).collect()]
+    assert got == [(None, b"b\xff", b"c", None), (None,) * 4, (None,) * 4]
+
+
+def test_thumbnail_indexes(spark):
+    rows = spark.createDataFrame([("s", "b", 0, 2), ("s", "a", 1, 1), ("s", "a", 0, 0), ("t", "c", 0, None)], "series string, instance string, frame int, thumbnail_index int")
+    maps = thumbnails.index_map(rows, "series", "instance", "frame")
+    got = maps.select(thumbnails.at_index(F.col("thumbnails"), F.lit(2)).alias("x"), thumbnails.of_instance(F.col("thumbnails"), F.lit("a")).alias("y"), thumbnails.of_instance(F.col("thumbnails"), F.lit("z")).alias("z")).first()
+    assert (tuple(got.x), got.y, got.z) == (("b", 0), [0, 1], []) and maps.count() == 1
+    for k in (3, -1):
+        with pytest.raises(Exception, match="no thumbnail at"):
+            maps.select(thumbnails.at_index(F.col("thumbnails"), F.lit(k)).alias("x")).collect()
+    assert thumbnails.image(bytes(range(12)), 3, 2).shape == (2, 2, 3) and thumbnails.image(bytes(4), 1, 2).shape == (2, 2)
+
+
 def test_fetching_and_errors(spark, tmp_path):
     storage.write_bytes(f"{tmp_path}/a/b.dcm", b"payload")
     rows = spark.createDataFrame([(f"file://{tmp_path}/a/b.dcm",), (f"{tmp_path}/none",), ("gs://b/x.tar://m",), (None,)], "uri string")

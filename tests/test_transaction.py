@@ -56,3 +56,10 @@ def test_a_torn_lock_is_held_by_another(tmp_path):
             T.Lock(tmp_path).acquire()
         with pytest.raises(T.LockVerificationError):
             T.Lock(tmp_path, "mine").verify()
+
+
+def test_dirty_operations_under_a_lock_warn(spark, tmp_path):
+    with T.SeriesStore(spark, tmp_path, lock=True) as store:
+        with pytest.warns(UserWarning, match="read is called as dirty"):
+            assert store.read(dirty=True) is None
+        assert "unlocked" not in repr(store)

@@ -141,6 +141,16 @@ def find(text: Column, pattern: str) -> Column:
     return (F.instr(text, pattern) - 1).cast("bigint")
 
 
+def find_bytes(content: Column, pattern: bytes) -> Column:
+    """0-based place of the first occurrence of some bytes in binary content, -1 if there is none; null for null."""
+
+    @F.pandas_udf(T.LongType())
+    def place(content: pd.Series) -> pd.Series:
+        return content.map(lambda x: None if x is None else bytes(x).find(pattern)).astype("Int64")
+
+    return place(content)
+
+
 def byte_window(content: Column, start: Column, stop: Column) -> Column:
     """Bytes [start, stop) of binary content."""
     return F.substr(content, (start + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))

@@ -56,6 +56,12 @@ def table_frames(start: Column, table_bytes: Column, offsets: Column, total: Col
     return F.zip_with(offsets, ends, lambda o, e: F.struct((start + table_bytes + 16 + o).alias("offset"), (e - o - 8).alias("length")))
 
 
+def frame_bytes(content: Column, frames: Column, index: Column) -> Column:
+    """The bytes of the frame at ``index`` (from 0) of a file, by its frames' offsets and lengths; null if there is none."""
+    one = F.try_element_at(frames, (index + 1).cast("int"))
+    return F.when(index >= 0, S.byte_window(content, one["offset"], one["offset"] + one["length"]))
+
+
 class FrameError(ValueError):
     """Pixel data that is not a sequence of items."""
 

@@ -137,6 +137,28 @@ def harmonised(frames: list[np.ndarray]) -> np.ndarray:
     return np.stack(frames)
 
 
+def image(pixels: bytes, channels: int, edge: int = EDGE) -> np.ndarray:
+    """A stored thumbnail as an array, (edge, edge) or (edge, edge, channels)."""
+    return np.frombuffer(pixels, np.uint8).reshape((edge, edge) if channels == 1 else (edge, edge, channels))
+
+
+def index_map(thumbnails: DataFrame, series: str, instance: str, frame: str) -> DataFrame:
+    """For each series the (instance, frame) of each thumbnail index, as an array in order of the index."""
+    listed = F.array_sort(F.collect_list(F.struct("thumbnail_index", instance, frame)))
+    return thumbnails.filter("thumbnail_index IS NOT NULL").groupBy(series).agg(F.transform(listed, lambda x: F.struct(x[instance].alias("instance"), x[frame].alias("frame"))).alias("thumbnails"))
+
+
+def at_index(maps: Column, index: Column) -> Column:
+    """The (instance, frame) at a thumbnail index of an ``index_map``; an error if it is out of bounds."""
+    outside = (index < 0) | (index >= F.size(maps))
+    return F.when(outside, F.raise_error(F.concat(F.lit("no thumbnail at "), index.cast("string"))).cast("struct<instance:string,frame:int>")).otherwise(F.try_element_at(maps, (index + 1).cast("int")).cast("struct<instance:string,frame:int>"))
+
+
+def of_instance(maps: Column, instance: Column) -> Column:
+    """The thumbnail indexes of an instance's frames, in order; none if it has no thumbnail."""
+    return F.filter(F.transform(maps, lambda x, i: F.when(x["instance"].eqNullSafe(instance), i)), lambda i: i.isNotNull())
+
+
 @dataclass(frozen=True)
 class CoordinateMap:
     """Maps (row, column) between an original frame and its thumbnail."""

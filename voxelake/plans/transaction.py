@@ -7,6 +7,7 @@ import json
 import os
 import time
 import uuid
+import warnings
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,8 @@ def operation(method):
     def gated(self, *args, dirty: bool = False, **kwargs):
         if not dirty and not self.locked:
             raise CleanOperationUnlocked(method.__name__)
+        if dirty and self.locked:
+            warnings.warn(f"{method.__name__} is called as dirty though the lock is held", stacklevel=2)
         return method(self, *args, **kwargs)
 
     return gated
@@ -110,6 +113,9 @@ class SeriesStore:
         if kind is None and self.locked:
             self.lock.release()
 
+    def __repr__(self) -> str:
+        return f"SeriesStore({self.folder}, {'locked' if self.locked else 'unlocked'}, version {self.version})"
+
     @property
     def locked(self) -> bool:
         return self.lock.generation is not None

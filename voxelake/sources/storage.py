@@ -141,6 +141,16 @@ def write_containers(instances: DataFrame, stored: DataFrame | None = None) -> D
     return ordered.mapInPandas(write, "series_uri string, instance_uid string, seq long, size long, tar_uri string, uri string, start_byte long, end_byte long")
 
 
+def keep_members(index: DataFrame, keep: DataFrame) -> DataFrame:
+    """Write the containers of ``index`` anew with the members in ``keep`` (series_uri, instance_uid) only; the new index.
+
+    Members are read by byte range from the old containers before any new one is written. Series that
+    keep nothing are not touched.
+    """
+    kept = index.join(keep.select("series_uri", "instance_uid").distinct(), ["series_uri", "instance_uid"], "left_semi")
+    return write_containers(read_members(kept).select("series_uri", "instance_uid", "seq", "content"))
+
+
 def write_documents(documents: DataFrame, compressed: bool = False) -> DataFrame:
     """Write each of ``documents`` (uri, value) to its URI, by gzip if ``compressed``; uri and bytes of each."""
     rows = documents.select("uri", (S.gzipped("value") if compressed else F.col("value").cast("binary")).alias("content"))
