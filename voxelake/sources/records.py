@@ -23,11 +23,8 @@ INSTANCES = (
     "map<string,struct<metadata:variant,uri:string,headers:struct<start_byte:bigint,end_byte:bigint>,offset_tables:variant,crc32c:string,size:bigint,"
     "original_path:string,dependencies:array<string>,diff_hash_dupe_paths:array<string>,version:string,modified_datetime:string>>"
 )
-#: Members of an instance in a document, in their order (fixed values), and what stands for one that is not there.
-MEMBERS = {
-    "metadata": "variant", "uri": "string", "headers": "struct<start_byte:bigint,end_byte:bigint>", "offset_tables": "variant", "crc32c": "string", "size": "bigint",
-    "original_path": "string", "dependencies": "array<string>", "diff_hash_dupe_paths": "array<string>", "version": "string", "modified_datetime": "string",
-}
+#: Members of an instance in a document (fixed values).
+MEMBERS = ("metadata", "uri", "headers", "offset_tables", "crc32c", "size", "original_path", "dependencies", "diff_hash_dupe_paths", "version", "modified_datetime")
 
 
 def parsed_metadata(documents: DataFrame) -> DataFrame:
@@ -62,8 +59,10 @@ def metadata_json(instances: DataFrame) -> DataFrame:
     the columns that are there are written, others as null, and version as 1.0 if it is not there.
     """
     has = set(instances.columns)
-    member = {name: F.col(name) if name in has else F.lit("1.0") if name == "version" else F.lit(None).cast(kind) for name, kind in MEMBERS.items()}
-    body = F.to_json(F.struct(*(c.alias(name) for name, c in member.items())), {"ignoreNullFields": "false"})
+    member = {name: F.col(name) if name in has else F.lit("1.0") for name in MEMBERS if name in has or name == "version"}
+    known = F.to_json(F.struct(*(c.alias(name) for name, c in member.items())), {"ignoreNullFields": "false"})
+    # what no row has is the same for all
+    body = F.concat(F.substr(known, F.lit(1), F.length(known) - 1), F.lit("".join(f',"{name}":null' for name in MEMBERS if name not in member) + "}"))
     first = F.col("position") if "position" in has else F.col("instance_uid")
     rows = instances.select(
         "study_uid", "series_uid", F.coalesce("hashed_uids", F.lit(False)).alias("hashed") if "hashed_uids" in has else F.lit(False).alias("hashed"), first.alias("first"),
