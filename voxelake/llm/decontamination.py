@@ -155,27 +155,31 @@ class SeedIndex:
         least first word in the item.
         """
         item, offset, equal = self.hits(hashes)
+        # the documents that an item lies over, of which there can be several
+        low = np.searchsorted(starts, np.maximum(offset, 0), "right") - 1
+        high = np.minimum(np.searchsorted(starts, offset + self.lengths[item], "left"), len(starts) - 1)
+        n = np.maximum(high - low, 0)
+        doc = flat_ranges(low, n)
+        item, offset, equal = (np.repeat(x, n) for x in (item, offset, equal))
+        order = np.lexsort((offset, -equal, item, doc))
+        doc, item, offset, equal = (x[order] for x in (doc, item, offset, equal))
+        cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), [True]])) if len(doc) else np.zeros(1, np.int64)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        order = np.lexsort((offset, -equal))
-        for i, o, most in zip(item[order].tolist(), offset[order].tolist(), equal[order].tolist(), strict=True):
-            own = self.items[i]
-            for doc in self._documents(starts, o, o + len(own)):
-                kept = best.get((doc, i))
-                a, b = max(o, int(starts[doc])), min(o + len(own), int(starts[doc + 1]))
-                # no stretch here can have more equal words, or as many and a lesser first word
-                if kept and (kept[3] > most or kept[3] == most and kept[0] < a - int(starts[doc])):
-                    continue
-                for first, last, count in stretches(hashes[a:b] == own[a - o : b - o], int(self.needed[i]), self.share):
-                    found = (a + first - int(starts[doc]), a + last - int(starts[doc]), a + first - o, count)
+        for first, end in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            d, i, kept = int(doc[first]), int(item[first]), None
+            own, begin, stop = self.items[i], int(starts[d]), int(starts[d + 1])
+            for row in range(first, end):
+                o, most = int(offset[row]), int(equal[row])
+                a, b = max(o, begin), min(o + len(own), stop)
+                # neither this nor any later place can have more equal words, or as many and a lesser first word
+                if kept and (kept[3] > most or kept[3] == most and kept[0] < a - begin):
+                    break
+                for x, y, count in stretches(hashes[a:b] == own[a - o : b - o], int(self.needed[i]), self.share):
+                    found = (a + x - begin, a + y - begin, a + x - o, count)
                     if not kept or (-found[3], found[0], found[2]) < (-kept[3], kept[0], kept[2]):
-                        kept = best[doc, i] = found
+                        kept = best[d, i] = found
         return best
 
-    @staticmethod
-    def _documents(starts: np.ndarray, a: int, b: int) -> range:
-        first = max(0, int(np.searchsorted(starts, a, "right")) - 1)
-        return range(first, min(len(starts) - 1, int(np.searchsorted(starts, b, "left"))))
-
 
 def blocks(sizes: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive places whose ``sizes`` add up to about ``limit``, one place at least."""
