@@ -17,7 +17,7 @@ from ..session import shared_path
 T = TypeVar("T")
 
 #: Characters of text that a Python worker holds as separate words at a time.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_500_000
 #: Distinct words that a worker keeps before it starts its table anew.
 MAX_WORDS = 300_000
 

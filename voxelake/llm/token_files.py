@@ -45,6 +45,8 @@ VOCABULARY = "word_bpe_49k.json"
 TABLE_LISTS, TABLE_BITS = 1_500_000, 22
 #: Bytes of text that are taken up at a time: what is held of them fits a processor's cache.
 STRETCH = 1 << 18
+#: Bytes of text whose new words are taken up together.
+TAKE = 3_000_000
 #: Bytes that part words, ASCII letters, capitals, and punctuation that the vocabulary splits from letters before it.
 _SPACE = np.isin(np.arange(256), [0x20, 0x0A])
 _LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
@@ -593,7 +595,7 @@ def write_tokens(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", end_
             texts = batch.column(1).to_pylist()
             if file_no is None and len(batch):
                 file_no = batch.column(2)[0].as_py()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, TAKE):
                 for k, own in enumerate(words.batch(texts[a:b]), a):
                     held.append(np.append(own, end_id))
                     owners.append(batch.column(0).slice(k, 1))
