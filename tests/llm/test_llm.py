@@ -315,6 +315,53 @@ def test_ngram_components(spark, prose, n, num):
     assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == classes(texts, n, num, 100)
 
 
+def test_near_copies_that_hardly_miss_a_link(spark, monkeypatch):
+    """Groups of near copies give rows in proportion to their members, and all of their links."""
+    draw = random.Random(11)
+    base = [f"b{k}" for k in range(100)]
+    # copies changed at one place link; of different places they differ in one shingle too many, which the sketches can't always tell
+    texts = [" ".join([*base[:at], f"x{draw.randrange(10**9)}", *base[at + 1 :]]) for at in (draw.randrange(4, 96, 4) for _ in range(300))]
+    rows = {"ngram-groups": 0, "ngram-found": 0}
+
+    def counted(df, name):
+        table, path = common.write_shared(df, name)
+        if name in rows:
+            rows[name] += table.count()
+        return table, path
+
+    monkeypatch.setattr(ngram_join, "write_shared", counted)
+    got = by_id(ngram_join.ngram_components(docs_of(spark, texts), ngram_join.Similarity(4, 85, 100)))
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == classes(texts, 4, 85, 100)
+    assert 0 < rows["ngram-found"] < rows["ngram-groups"]
+
+
+def test_forest_of_a_tile_spans_its_links():
+    draw = np.random.default_rng(3)
+    like = ngram_join.Similarity(4, 85, 100)
+    for _ in range(20):
+        bases = [draw.integers(0, 2**63, 60, dtype=np.uint64) for _ in range(3)]
+        sets = []
+        for _ in range(40):
+            own = bases[draw.integers(3)].copy()
+            own[draw.integers(0, 60, draw.integers(0, 7))] = draw.integers(0, 2**63, dtype=np.uint64)
+            sets.append(np.unique(own))
+        n = np.array([len(s) for s in sets])
+        row, root = draw.random(40) < 0.6, draw.integers(0, 30, 40)
+        bits = ngram_join.unpacked([ngram_join.sketch(s, like) for s in sets])
+        links = [(a, b) for a, b in itertools.combinations(range(40), 2) if (row[a] or row[b]) and like.linked(len(np.intersect1d(sets[a], sets[b])), n[a], n[b])]
+
+        def parts(pairs, label=root):
+            label = label.copy()
+            for a, b in pairs:
+                label[label == label[b]] = label[a]
+            return {(a, b) for a, b in itertools.combinations(range(40), 2) if label[a] == label[b]}
+
+        found = list(ngram_join.spanning(row, root, n, bits, like, sets))
+        assert {tuple(sorted(p)) for p in found} <= set(links) and parts(found) == parts(links)
+        near = list(ngram_join.spanning(row, root, n, bits, like))
+        assert parts(near) >= parts(links) and max(len(found), len(near)) < len(np.unique(root))
+
+
 def test_linked_sets_share_a_signature():
     random_ = np.random.default_rng(5)
     like = ngram_join.Similarity(5, 80, 100)

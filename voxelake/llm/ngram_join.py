@@ -16,10 +16,14 @@ Signatures give candidates in two rounds, and never all pairs of a group. First
 signature's group is compared with one centre of the group. Then only those groups whose members are
 not yet in one component are looked at again, groups of the same members once: members outside a
 group's largest component are held against all of other components, in tiles of bounded size, by a
-lower bound on the sets' difference (parity sketches). What passes is verified by the whole sets, a
-pair once however many groups it comes from. A tile gives a number of pairs in proportion to its
-members, the closest first; if it has more, its group is looked at again with the components as they
-are then and a larger number.
+lower bound on the sets' difference (parity sketches). Of the pairs that the bound lets pass, a tile
+gives only a forest that spans them: less than one for each member. Those are verified by the whole
+sets, a pair once however many groups it comes from. If all of a tile's forest are links, every pair
+that passed there is within one component.
+
+Groups of other tiles are looked at a last time, with the components as they are then. The pairs that
+still pass join nodes to clusters, each node in one. A cluster is held together in tiles with the whole
+sets, so what it gives is a forest of links and settles all of its pairs.
 
 Equal sets are one node from the start, named by a 64-bit hash of the set.
 """
@@ -35,16 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, bounded_batches, chunks, drop_shared, hashed_words, mixed, numbered, smallest, table, text_of, write_shared
+from .common import ROW, bounded_batches, chunks, drop_shared, flat_ranges, hashed_words, mixed, numbered, smallest, table, text_of, write_shared
 from .components import connected_components
 
 LEVELS = 4
 #: A set's sketch has so many bits for each shingle in which a linked set of its size may differ, within these limits.
 SKETCH_SHARE, SKETCH_LEAST, SKETCH_MOST = 32, 256, 1 << 16
-#: Members of either side of a tile of the second round.
-BLOCK = 4096
-#: Pairs that a tile gives for each of its members at first, and by what the number grows if it has more.
-PAIRS, MORE = 8, 8
+#: Members of either side of a tile, and shingles that count as one member where whole sets are held.
+BLOCK, MEMBER = 4096, 256
 #: Orders by which a group's centre is chosen, so that a set meets different centres.
 CENTRES = mixed(np.arange(16))
 #: Bytes of text that are taken up at a time: what is held of them fits a processor's cache.
@@ -298,20 +300,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
     return _sides(pairs, sets, "shingles").mapInArrow(rows, "a long, b long")
 
 
-def _tiles(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """sig, i, j, row, root and node: members of the ``groups`` (sig, node) that hold several components, in tiles.
+def _tiles(groups: DataFrame, roots: DataFrame, least: int = 3) -> DataFrame:
+    """sig, i, j, row, root and node: members of the ``groups`` (sig, node, size) that hold several components, in tiles.
+
+    Groups of fewer than ``least`` members are left out: of a signature's two, the only pair has been verified.
 
-    A group's members outside its largest component are dealt over blocks, as are those inside it. Tile
-    (i, j) holds the outside block i as its rows, and with it the outside block j (if j > i) and the
-    inside block j. Groups of the same members are taken once.
+    A group's members outside its largest component are dealt over blocks of a total size of about
+    ``BLOCK``, as are those inside it. Tile (i, j) holds the outside block i as its rows, and with it the
+    outside block j (if j > i) and the inside block j. Groups of the same members are taken once.
     """
     members = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-    by_root = members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"), *names)
-    held = by_root.groupBy("sig").agg(F.sum("n").alias("members"), F.max_by("root", "n").alias("top"), F.max("n").alias("inside"), F.count(F.lit(1)).alias("components"), *[F.bit_xor(c).alias(c) for c in "xy"])
-    # of a group of two, the only pair has been verified
-    split = held.filter("components > 1 AND members > 2").groupBy("members", "x", "y").agg(F.min("sig").alias("sig"), F.max("top").alias("top"), F.max("inside").alias("inside"))
-    split = split.select("sig", "top", F.ceil((F.col("members") - F.col("inside")) / BLOCK).cast("int").alias("out_blocks"), F.ceil(F.col("inside") / BLOCK).cast("int").alias("in_blocks"))
+    by_root = members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), *names)
+    held = by_root.groupBy("sig").agg(F.sum("n").alias("members"), F.max(F.struct("n", "root", "size")).alias("top"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("components"), *[F.bit_xor(c).alias(c) for c in "xy"])
+    one = F.min(F.struct("sig", "top", "size")).alias("one")
+    split = held.filter(f"components > 1 AND members >= {least}").groupBy("members", "x", "y").agg(one).select("one.*")
+    out, inside = F.col("size") - F.col("top.size"), F.col("top.size")
+    split = split.select("sig", F.col("top.root").alias("top"), F.ceil(out / BLOCK).cast("int").alias("out_blocks"), F.ceil(inside / BLOCK).cast("int").alias("in_blocks"))
     dealt = members.join(split, "sig").withColumn("row", F.col("root") != F.col("top"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("row"), F.col("out_blocks")).otherwise(F.col("in_blocks"))).cast("int"))
     rows = F.transform(F.sequence(F.lit(0), F.greatest("out_blocks", "in_blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
@@ -321,33 +326,55 @@ def _tiles(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return dealt.select("sig", "row", "block", "root", "node", F.inline(tiles)).select("sig", "i", "j", (F.col("row") & (F.col("block") == F.col("i"))).alias("row"), "root", "node")
 
 
-def _across(tiles: DataFrame, sets: DataFrame, like: Similarity, pairs: int) -> DataFrame:
-    """Pairs (sig, a, b) of different components within the ``tiles`` that the sketches' bound lets pass.
+def spanning(row: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, like: Similarity, sets: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """A forest that spans a tile's pairs of different components (``root``) which may link, by their sketches ``bits``.
 
-    A tile gives at most ``pairs`` of them for each of its members, the closest ones, and if there are
-    more a row with its sig only.
+    Pairs have one or two members of ``row``. With whole ``sets`` they are pairs that do link.
+    """
+    own = np.unique(root, return_inverse=True)[1]
+    place = np.arange(len(own))
+    if sets is not None:
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        starts, held = np.cumsum(n) - n, np.zeros(int(codes.max()) + 1, bool)
+    for k in np.flatnonzero(row).tolist():
+        rest = np.flatnonzero((own != own[k]) & (~row | (place > k)))
+        rest = rest[like.linked(np.minimum(n[rest], n[k]), n[rest], n[k])]
+        apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
+        close = apart <= like.most_different(n[rest], n[k])
+        rest, apart = rest[close], apart[close]
+        if sets is not None and len(rest):
+            mine = codes[starts[k] : starts[k] + n[k]]
+            held[mine] = True
+            common = np.add.reduceat(held[codes[flat_ranges(starts[rest], n[rest])]], np.cumsum(n[rest]) - n[rest], dtype=np.int64)
+            held[mine] = False
+            links = like.linked(common, n[rest], n[k])
+            rest, apart = rest[links], apart[links]
+        if len(rest):
+            rest = rest[np.argsort(apart, kind="stable")]
+            joined, first = np.unique(own[rest], return_index=True)
+            yield from ((k, other) for other in rest[first].tolist())
+            own[np.isin(own, joined)] = own[k]
+
+
+def _across(tiles: DataFrame, sets: DataFrame, like: Similarity, column: str) -> DataFrame:
+    """Pairs (sig, a, b) that span those of different components within the ``tiles``, less than one for each member.
+
+    By ``column`` sketch they are pairs that the sketches' bound lets pass, by shingles links.
     """
-    ordered = tiles.join(sets.select("node", "n", "sketch"), "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")
+    ordered = tiles.join(sets.select("node", "n", column), "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")
 
     def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile = pa.Table.from_batches(held).combine_chunks()
-        row, root, node, n = (tile.column(k).to_numpy(zero_copy_only=False) for k in ("row", "root", "node", "n"))
-        bits = unpacked(tile.column("sketch").to_pylist())
-        near = []
-        for k in np.flatnonzero(row).tolist():
-            rest = np.flatnonzero((root != root[k]) & ~row | (root != root[k]) & (np.arange(len(row)) > k))
-            rest = rest[like.linked(np.minimum(n[rest], n[k]), n[rest], n[k])]
-            if len(rest):
-                apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
-                close = apart <= like.most_different(n[rest], n[k])
-                near.append(np.stack([apart[close], np.minimum(node[rest[close]], node[k]), np.maximum(node[rest[close]], node[k])]))
-        both = np.concatenate([np.empty((3, 0), np.int64), *near], 1)
-        some = both[:, np.lexsort(both[::-1])[: pairs * len(node)]]
-        sig = [tile.column("sig")[0].as_py()]
-        if some.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(sig * some.shape[1], pa.int64()), pa.array(some[1]), pa.array(some[2])], ["sig", "a", "b"])
-        if some.shape[1] < both.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64())], ["sig", "a", "b"])
+        tile = pa.Table.from_batches(held)
+        row, root, node, n = (tile.column(k).to_numpy() for k in ("row", "root", "node", "n"))
+        given, whole = tile.column(column).to_pylist(), None
+        if column == "shingles":
+            whole = [np.frombuffer(x, "<u8") for x in given]
+            given = [sketch(x, like) for x in whole]
+        pairs = np.array(list(spanning(row, root, n, unpacked(given), like, whole)), np.int64).reshape(-1, 2)
+        if len(pairs):
+            ends = node[pairs]
+            sig = np.full(len(pairs), tile.column("sig")[0].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ends.min(1)), pa.array(ends.max(1))], ["sig", "a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -391,21 +418,24 @@ def ngram_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFr
     links, links_path = write_shared(_verified(near, sets, like), "ngram-links")
     roots = connected_components(links)
     paths = [groups_path, sets_path, near_path, links_path]
-    open_, tested, pairs = groups.select("sig", "node"), near, PAIRS
-    while True:
-        found, found_path = write_shared(_across(_tiles(open_, roots), sets, like, pairs), "ngram-found")
-        paths.append(found_path)
-        if found.isEmpty():
-            break
-        fresh, fresh_path = write_shared(found.filter("a IS NOT NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "ngram-near")
-        more, more_path = write_shared(_verified(fresh, sets, like), "ngram-links")
-        paths += [fresh_path, more_path]
-        links, tested = links.union(more), tested.union(fresh)
+    one = F.lit(1.0).alias("size")
+    found, found_path = write_shared(_across(_tiles(groups.select("sig", "node", one), roots), sets, like, "sketch"), "ngram-found")
+    fresh, fresh_path = write_shared(found.select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "ngram-near")
+    more, more_path = write_shared(_verified(fresh, sets, like), "ngram-links")
+    paths += [found_path, fresh_path, more_path]
+    if not more.isEmpty():
+        links = links.union(more)
         roots = connected_components(links)
-        over = found.filter("a IS NULL").select("sig").distinct()
-        if over.isEmpty():
-            break
-        open_, pairs = open_.join(over, "sig", "left_semi"), pairs * MORE
+    failed = found.join(links, ["a", "b"], "left_anti").select("sig").distinct()
+    if not failed.isEmpty():
+        again = groups.select("sig", "node", one).join(failed, "sig", "left_semi")
+        still, still_path = write_shared(_across(_tiles(again, roots), sets, like, "sketch"), "ngram-found")
+        size = F.greatest(F.lit(1.0), F.col("n") / MEMBER).alias("size")
+        clusters = connected_components(still.select("a", "b")).withColumnRenamed("root", "sig").join(sets.select("node", "n"), "node").select("sig", "node", size)
+        last, last_path = write_shared(_across(_tiles(clusters, roots, 2), sets, like, "shingles"), "ngram-links")
+        paths += [still_path, last_path]
+        if not last.isEmpty():
+            roots = connected_components(links.union(last.select("a", "b")))
     drop_shared(spark, *paths)
     nodes = nodes.select("doc_id", "n_shingles", "node")
     least = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
