@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -362,6 +363,26 @@ def test_forest_of_a_tile_spans_its_links():
         assert parts(near) >= parts(links) and max(len(found), len(near)) < len(np.unique(root))
 
 
+def test_memory_of_a_tile_of_near_copies():
+    """What a tile holds follows its members, not its pairs: these 4.5 million would take 100 MB."""
+    draw = np.random.default_rng(8)
+    like = ngram_join.Similarity(5, 80, 100)
+    base = draw.integers(0, 2**63, 100, dtype=np.uint64)
+    bits = np.stack([ngram_join.unpacked([ngram_join.sketch(np.append(base, x), like)])[0] for x in draw.integers(0, 2**63, 3000, dtype=np.uint64)])
+    tracemalloc.start()
+    found = list(ngram_join.spanning(np.ones(3000, bool), np.arange(3000), np.full(3000, 101), bits, like))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2999 and peak < 20 << 20
+
+
+def test_a_worker_lets_go_of_its_table():
+    first = common.worker_table("first", list)
+    assert common.worker_table("first", dict) is first
+    common.forget_table()
+    assert common.worker_table("first", dict) == {}
+
+
 def test_linked_sets_share_a_signature():
     random_ = np.random.default_rng(5)
     like = ngram_join.Similarity(5, 80, 100)

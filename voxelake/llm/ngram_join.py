@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, bounded_batches, chunks, drop_shared, flat_ranges, hashed_words, mixed, numbered, smallest, table, text_of, write_shared
+from .common import ROW, bounded_batches, chunks, drop_shared, flat_ranges, forget_table, hashed_words, mixed, numbered, smallest, table, text_of, write_shared
 from .components import connected_components
 
 LEVELS = 4
@@ -211,6 +211,7 @@ def _nodes(docs: DataFrame, like: Similarity) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_table()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts, TAKE):
@@ -225,6 +226,7 @@ def _signed(docs: DataFrame, like: Similarity) -> DataFrame:
     """sig and order (the node, changed by the signature's order of centres) of all sets, each once for a task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_table()
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -377,6 +379,7 @@ def _across(tiles: DataFrame, sets: DataFrame, like: Similarity, column: str) ->
             yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ends.min(1)), pa.array(ends.max(1))], ["sig", "a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_table()
         held: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
