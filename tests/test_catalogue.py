@@ -45,3 +45,9 @@ def test_frame_walk_takes_all_words(spark, tmp_path):
             at += 8 + len(word)
     got = [tuple(r) for r in catalogue.QUERIES["frame_offsets_walk"](spark, str(tmp_path)).collect()]
     assert set(got) == want and len(got) == len(want) == 705
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_removal_reads_either_side_once(spark):
+    plan = catalogue.QUERIES["remove_with_guards"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2

@@ -236,6 +236,16 @@ def test_remove_guards(spark):
         dml.remove_guarded(stored, given("3"), KEYS, "series")
 
 
+def test_guard_lets_named_series_go(spark):
+    stored = spark.createDataFrame([("s", "1"), ("s", "2"), ("t", "3"), ("t", "3"), (None, "4"), ("u", None)], "series string, uid string")
+    given = spark.createDataFrame([("s", "1"), ("t", "3"), ("t", "3"), (None, "4"), ("u", None), ("v", "5")], "series string, uid string")
+    bare = dml.bared(stored, given, KEYS, "series")
+    assert values(bare, "series") == [("t",)]
+    dml.guard(stored, given, KEYS, "series", but=bare)
+    with pytest.raises(dml.NothingLeft, match="t"):
+        dml.guard(stored, given, KEYS, "series", but=bare.limit(0))
+
+
 # ---- requests -----------------------------------------------------------------------------------
 
 
