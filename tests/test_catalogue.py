@@ -51,3 +51,9 @@ def test_frame_walk_takes_all_words(spark, tmp_path):
 def test_removal_reads_either_side_once(spark):
     plan = catalogue.QUERIES["remove_with_guards"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_requests_are_routed_once(spark):
+    plan = catalogue.QUERIES["request_answers"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") == 1 and max(map(len, plan.splitlines())) < 5000

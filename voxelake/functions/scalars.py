@@ -39,8 +39,8 @@ def is_nested(uri: Column) -> Column:
 
 def after(uri: Column, mark: str) -> Column:
     """The path segment after the first ``mark``; null if there is none."""
-    found = F.regexp_extract(uri, mark + r"([^/]*)", 1)
-    return F.when(uri.contains(mark), found)
+    rest = F.substr(uri, F.instr(uri, mark) + F.lit(len(mark)))
+    return F.when(uri.contains(mark), F.substring_index(rest, "/", 1))
 
 
 def basename(uri: Column) -> Column:

@@ -65,36 +65,40 @@ def answers(requests: DataFrame, instances: DataFrame) -> DataFrame:
     requests that repeat are each answered; with no instances every valid request finds nothing.
     """
     names = list(requests.columns)
-    parsed = requests.withColumn("_r", parse(F.col("uri"))).withColumn("_fault", F.when(F.col("uri").isNull(), "no uri").otherwise(request_fault(F.col("uri"), F.col("_r")))).withColumn("level", level(F.col("_r")))
-    valid = parsed.filter("_fault IS NULL")
+    # faults are a column and no filter: a filter would be pushed down to where the URIs are made, with a copy of their making for each use
+    parsed = requests.filter("uri IS NOT NULL").withColumn("_r", parse(F.col("uri"))).withColumn("_fault", request_fault(F.col("uri"), F.col("_r"))).withColumn("level", level(F.col("_r")))
     place = ["store", "study_uid", "series_uid"]
+    at = ["_kind", "_store", "_study", "_series", "_instance"]
+    blank = F.lit("")
 
-    def asked(name: str, keys: list[str]) -> DataFrame:
-        of = dict(zip([*place, "instance_uid"], ("store", "study", "series", "instance"), strict=True))
-        return valid.filter(F.col("level") == name).select("*", *(F.col(f"_r.{of[k]}").alias(f"_{k}") for k in keys))
-
-    def answered(name: str, keys: list[str], found: DataFrame) -> DataFrame:
-        on = [F.col(f"_{k}") == F.col(f"_of_{k}") for k in keys]
-        held = found.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("body").alias("_body"), F.col("frames").alias("_frames"), F.lit(True).alias("_there"))
-        return asked(name, keys).join(held, on, "left").select(*names, "level", "_r", "_there", "_body", "_frames")
+    # each request meets answers of its own kind once; a part that its kind needs and it lacks is null and finds nothing
+    good = F.col("_fault").isNull()
+    kind = F.when(~good, "fault").when(F.col("level") == "frame", "instance").otherwise(F.col("level"))
+    parsed = parsed.withColumn("_kind", kind)
+    of = [F.when(good, F.col("_r.store")).otherwise(F.col("uri")), F.when(good, F.col("_r.study")), F.when(F.col("_kind") == "study", blank).otherwise(F.col("_r.series")), F.when(F.col("_kind") == "instance", F.col("_r.instance")).otherwise(blank)]
+    asked = parsed.select(*names, "level", "_fault", "_kind", F.col("_r.frames").alias("_wanted"), *(c.alias(k) for c, k in zip(of, at[1:], strict=True)))
 
     none = F.lit(None).cast("array<binary>")
-    whole = instances.select(*place, "instance_uid", F.col("metadata").alias("body"), "frames")
-    series = instances.groupBy(*place).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "instance_uid", "metadata"))), lambda x: F.coalesce(x["metadata"], F.lit("null"))), ","), F.lit("]")).alias("body")).withColumn("frames", none)
-    first = instances.groupBy("store", "study_uid").agg(F.min_by("metadata", F.struct("series_uid", "seq", "instance_uid")).alias("m"))
+
+    def held(found: DataFrame, kind: str, keys: list[Column | str], body: Column | str, frames: Column) -> DataFrame:
+        return found.select(F.lit(kind).alias("_kind"), *(F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for c, k in zip(keys, at[1:], strict=True)), F.col(body).alias("_body") if isinstance(body, str) else body.alias("_body"), frames.alias("_frames"), F.lit(True).alias("_there"))
+
+    ordered = instances.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("seq", "instance_uid", "metadata"))).alias("_of"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("_of", lambda x: F.coalesce(x["metadata"], F.lit("null"))), ","), F.lit("]"))
+    first = ordered.groupBy(*place[:2]).agg(F.min(F.struct("series_uid", F.element_at("_of", 1)["metadata"].alias("m"))).alias("_least")).select(*place[:2], "_least.m")
     tags = F.array_join(F.array(*(F.concat(F.lit(f'"{t}":'), F.coalesce(F.get_json_object("m", f"$.{t}"), F.lit("null"))) for t in STUDY_TAGS)), ",")
-    study = first.select("store", "study_uid", F.concat(F.lit("{"), tags, F.lit("}")).alias("body"), none.alias("frames"))
-    parts = [answered("study", place[:2], study), answered("series", place, series), answered("instance", [*place, "instance_uid"], whole), answered("frame", [*place, "instance_uid"], whole)]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    wanted = F.col("_r.frames")
-    fault = F.when(F.col("_there").isNull(), "not found").when(F.col("level") == "frame", frame_fault(F.col("_frames").isNotNull(), F.size("_frames"), wanted))
-    good = rows.withColumn("fault", fault).select(
+    found = held(first, "study", [*place[:2], blank, blank], F.concat(F.lit("{"), tags, F.lit("}")), none)
+    found = found.unionByName(held(ordered, "series", [*place, blank], listed, none)).unionByName(held(instances, "instance", [*place, "instance_uid"], "metadata", F.col("frames")))
+    rows = asked.join(found, at, "left")
+    wanted = F.col("_wanted")
+    fault = F.when(F.col("_fault").isNotNull(), F.col("_fault")).when(F.col("_there").isNull(), "not found").when(F.col("level") == "frame", frame_fault(F.col("_frames").isNotNull(), F.size("_frames"), wanted))
+    answered = rows.withColumn("fault", fault).select(
         *names, "level", "fault",
         F.when(F.col("fault").isNull() & (F.col("level") != "frame"), F.col("_body")).alias("body"),
         F.when(F.col("fault").isNull() & (F.col("level") == "frame"), F.transform(wanted, lambda i: F.element_at("_frames", i))).alias("content"),
     )
-    bad = parsed.filter("_fault IS NOT NULL").select(*names, "level", F.col("_fault").alias("fault"), F.lit(None).cast("string").alias("body"), none.alias("content"))
-    return good.unionByName(bad)
+    blind = requests.filter("uri IS NULL").select(*names, level(parse(F.col("uri"))).alias("level"), F.lit("no uri").alias("fault"), F.lit(None).cast("string").alias("body"), none.alias("content"))
+    return answered.unionByName(blind)
 
 
 class InstanceNotFound(LookupError):
