@@ -336,6 +336,17 @@ def test_near_copies_that_hardly_miss_a_link(spark, monkeypatch):
     assert 0 < rows["ngram-found"] < rows["ngram-groups"]
 
 
+def test_groups_of_the_last_look_are_joined_once(spark, monkeypatch):
+    draw = random.Random(5)
+    base = [f"b{k}" for k in range(100)]
+    texts = [" ".join([*base[:at], f"x{draw.randrange(10**9)}", *base[at + 1 :]]) for at in (draw.randrange(4, 96, 4) for _ in range(300))]
+    names = []
+    monkeypatch.setattr(ngram_join, "write_shared", lambda df, name: (names.append(name), common.write_shared(df, name))[1])
+    got = by_id(ngram_join.ngram_components(docs_of(spark, texts), ngram_join.Similarity(4, 85, 100)))
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == classes(texts, 4, 85, 100)
+    assert names.count("ngram-again") == 1
+
+
 def test_forest_of_a_tile_spans_its_links():
     draw = np.random.default_rng(3)
     like = ngram_join.Similarity(4, 85, 100)

@@ -431,12 +431,13 @@ def ngram_components(docs: DataFrame, like: Similarity = Similarity()) -> DataFr
         roots = connected_components(links)
     failed = found.join(links, ["a", "b"], "left_anti").select("sig").distinct()
     if not failed.isEmpty():
-        again = groups.select("sig", "node", one).join(failed, "sig", "left_semi")
+        # the tiles read their groups twice, so these are written
+        again, again_path = write_shared(groups.select("sig", "node", one).join(failed, "sig", "left_semi"), "ngram-again")
         still, still_path = write_shared(_across(_tiles(again, roots), sets, like, "sketch"), "ngram-found")
         size = F.greatest(F.lit(1.0), F.col("n") / MEMBER).alias("size")
         clusters = connected_components(still.select("a", "b")).withColumnRenamed("root", "sig").join(sets.select("node", "n"), "node").select("sig", "node", size)
         last, last_path = write_shared(_across(_tiles(clusters, roots, 2), sets, like, "shingles"), "ngram-links")
-        paths += [still_path, last_path]
+        paths += [again_path, still_path, last_path]
         if not last.isEmpty():
             roots = connected_components(links.union(last.select("a", "b")))
     drop_shared(spark, *paths)
