@@ -476,6 +476,16 @@ def test_a_segment_written_once_is_read_by_any_build():
     assert (read.names.to_pylist(), read.file_no, read.n_before) == ([None, 7, 9], 3, 11)
 
 
+def test_places_in_the_tables_need_no_cast():
+    model = token_files.Mixer(100, 8)
+    for step in range(3):
+        ids = (np.arange(8, dtype=np.int32) * 7 + step) % 100
+        model.predict(8)
+        model.intervals(ids)
+        model.learn(ids)
+        assert {x.dtype for x in (model.slot, model.row, model.before, model.before2)} == {np.dtype(np.intp)}
+
+
 def test_a_block_is_smaller_than_order_0_allows(prose):
     words = token_files.WordTokens(f"{token_files.TOKENIZERS}/{token_files.VOCABULARY}")
     ids = np.concatenate([np.append(x, token_files.END_ID) for x in words.batch(prose)])

@@ -93,7 +93,7 @@ ID_BITS = 20
 #: Counts that a prediction reaches at most, a power of two less 1.
 MOST = 15
 COUNT_BITS = MOST.bit_length()
-_ID = np.int32((1 << ID_BITS) - 1)
+_ID, _COUNT = np.int32((1 << ID_BITS) - 1), np.int32(1 << ID_BITS)
 
 
 class Mixer:
@@ -106,7 +106,8 @@ class Mixer:
         self.seen = np.tile(np.array([8, 8, 16, 0], np.int64), ((MOST + 1) ** 2 * 2, 1))
         self.frequency, self.missed = np.zeros(symbols, np.int64), [np.empty(0, np.int32)]
         self.steps = 0
-        self.before, self.before2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        # numpy takes places of its own kind as they are, and casts any other at each use
+        self.before, self.before2 = np.zeros(lanes, np.intp), np.zeros(lanes, np.intp)
         self.places: np.ndarray | None = None
         self._sum()
         self._weigh()
@@ -130,9 +131,11 @@ class Mixer:
         """Candidates and weights of the first ``lanes`` lanes."""
         b1, b2 = self.before[:lanes], self.before2[:lanes]
         self.slot = ((b1.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (b2.astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - ORDER2.bit_length() + 1)
+        self.slot = self.slot.astype(np.intp)
         self.held2, self.held1 = self.table2.take(self.slot), self.table1.take(b1)
         self.guess2, self.guess1 = self.held2 & _ID, self.held1 & _ID
         self.row = ((((self.held2 >> ID_BITS) << COUNT_BITS) | (self.held1 >> ID_BITS)) << 1) | (self.guess2 == self.guess1)
+        self.row = self.row.astype(np.intp)
         self.share2, self.share1 = self.weight2.take(self.row), self.weight1.take(self.row)
         self.share0 = (1 << TOTAL_BITS) - self.share2 - self.share1
 
@@ -143,8 +146,9 @@ class Mixer:
     def intervals(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and widths of the intervals of ids, one a lane."""
         self.right2, self.right1 = ids == self.guess2, ids == self.guess1
-        low = self._scaled(ids)
-        size = self._scaled(ids + 1) - low
+        self.at = ids.astype(np.intp)
+        low = self._scaled(self.at)
+        size = self._scaled(self.at + 1) - low
         low += self.share2 * (self.guess2 < ids)
         low += self.share1 * (self.guess1 < ids)
         size += self.share2 * self.right2
@@ -155,9 +159,9 @@ class Mixer:
         """The ids in whose intervals ``place`` lies, one a lane."""
         if self.places is None:
             self.places = np.repeat(np.arange(self.symbols, dtype=np.int32), np.diff(self.borders))
-        swap = self.guess1 < self.guess2
+        lower = self.share2 + (self.guess1 < self.guess2) * (self.share1 - self.share2)
         # a weight lies before the order-0 interval of its id: taken out, the lower id's first, only order 0 is left
-        for guess, share in ((np.minimum(self.guess1, self.guess2), np.where(swap, self.share1, self.share2)), (np.maximum(self.guess1, self.guess2), np.where(swap, self.share2, self.share1))):
+        for guess, share in ((np.minimum(self.guess1, self.guess2), lower), (np.maximum(self.guess1, self.guess2), self.share1 + self.share2 - lower)):
             place = np.maximum(np.minimum(place, self._scaled(guess)), place - share)
         return self.places.take((((place + 1) << ORDER0_BITS) - 1) // self.share0)
 
@@ -165,19 +169,19 @@ class Mixer:
         """Take up the ids of a step, whose intervals were asked for."""
         n = len(ids)
         miss = ~(self.right2 | self.right1)
-        kind = np.where(self.right2, 0, 1 + miss)
+        kind = miss.view(np.int8) + (~self.right2).view(np.int8)
         self.seen += np.bincount((self.row << 2) + kind, minlength=self.seen.size).reshape(self.seen.shape) << 4
         for held, right, at, own in ((self.held2, self.right2, self.slot, self.table2), (self.held1, self.right1, self.before[:n], self.table1)):
-            count = held >> ID_BITS
-            count = np.where(right, np.minimum(count + 1, MOST), count - ((count + 1) >> 1))
-            # a candidate that failed stays if its count was more than 1
-            now = np.where(right | (held >> ID_BITS > 1), held & _ID, ids)
-            value = (np.where(now == ids, np.maximum(count, 1), count) << ID_BITS) | now
+            # a candidate that held counts one more, one that failed half, and if its count was 1 or less the id takes its place
+            # (sums, since choices that hardly can be foreseen take longer)
+            value, fresh = held - (((held >> ID_BITS) + 1 >> 1) << ID_BITS), ids | _COUNT
+            value = fresh + (held >= 2 * _COUNT) * (value - fresh)
+            value += right * (held + _COUNT * (held < MOST * _COUNT) - value)
             own[at] = 0
             np.maximum.at(own, at, value)
         self.missed.append(ids[miss])
         self.before2[:n] = self.before[:n]
-        self.before[:n] = ids
+        self.before[:n] = self.at
         self.steps += 1
         if self.steps % FADE_STEPS == 0:
             self.seen -= self.seen >> FADE
