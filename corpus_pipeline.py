@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelake.llm import decontamination, exact_dedup, ngram_join, quality, sentencepiece_codec
-from voxelake.llm.common import ROW, drop_shared, table, write_shared
+from voxelake.llm.common import ROW, drop_shared, shrink_heaps, table, write_shared
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +36,13 @@ def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item, each row by its own text. Null and empty texts stay."""
+    shrink_heaps(spark)
     return decontamination.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with their number, checksum and whether they decode to the text (null as empty)."""
+    shrink_heaps(spark)
     return sentencepiece_codec.encode(docs)
 
 

@@ -387,6 +387,35 @@ def test_memory_of_a_tile_of_near_copies():
     assert len(found) == 2999 and peak < 20 << 20
 
 
+def test_memory_of_learning_units():
+    """What learning new units takes follows the characters indexed at a time: at 250000 it would be over 60 MB."""
+    draw = random.Random(5)
+    encoder = sentencepiece_codec.Encoder(f"{sentencepiece_codec.TOKENIZERS}/{sentencepiece_codec.MODEL}")
+    units = list({" " + "".join(draw.choices("etaoinshrdlu", k=9)) for _ in range(25_000)})
+    tracemalloc.start()
+    encoder._learn(units)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert encoder.n == len(units) and peak < 30 << 20
+
+
+def test_item_names_start_no_python_workers(spark):
+    """Rows from a list are turned by Python workers of their own on every executor (Scan ExistingRDD)."""
+    bench = spark.createDataFrame([(7, "one two three four five six seven eight nine ten eleven twelve thirteen")], "item_id long, text string").localCheckpoint()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = decontamination.decontaminate(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan
+
+
+def test_heaps_shrink(spark):
+    """Garbage that fills the heap goes, and the heap with it."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    spark.range(2_000_000).select(F.collect_list(F.concat(F.col("id").cast("string"), F.lit("x" * 100)))).write.format("noop").mode("overwrite").save()
+    before = runtime.totalMemory()
+    common.shrink_heaps(spark)
+    assert runtime.totalMemory() < before
+
+
 def test_a_worker_lets_go_of_its_table():
     first = common.worker_table("first", list)
     assert common.worker_table("first", dict) is first

@@ -241,8 +241,8 @@ def decontaminate(
     schema = f"doc_id {kind}, item_no long, first_word long, end_word long, item_word long, n_equal long"
     result = None
     for part in range(parts):
-        items = [tuple(r) for r in sized.filter(key == part).orderBy("item_id", "text").collect()]
-        held = spark.sparkContext.broadcast([text for _, text in items])
+        items = sized.filter(key == part).orderBy("item_id", "text").toArrow()
+        held = spark.sparkContext.broadcast(items.column("text").to_pylist())
         name = f"seeds {uuid.uuid4().hex}"
 
         def rows(batches: Iterator[pa.RecordBatch], held=held, name=name) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,9 @@ def decontaminate(
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "item_no", "first_word", "end_word", "item_word", "n_equal"])
 
         found = docs.select("doc_id", text_of().cast("binary").alias("text")).mapInArrow(rows, schema)
-        names = spark.createDataFrame([(k, item_id) for k, (item_id, _) in enumerate(items)], f"item_no long, item_id {benchmark.schema['item_id'].dataType.simpleString()}")
+        # as an Arrow table: rows from a list would start Python workers of another kind on every executor, which stay
+        named = pa.table([pa.array(range(items.num_rows), pa.int64()), items.column("item_id")], ["item_no", "item_id"])
+        names = spark.createDataFrame(named, f"item_no long, item_id {benchmark.schema['item_id'].dataType.simpleString()}")
         # names of one part's items, of which there are no more than its words
         found = found.join(F.broadcast(names), "item_no").drop("item_no")
         result = found if result is None else result.unionByName(found)

@@ -36,8 +36,8 @@ from .common import MAX_WORDS, Interner, bounded_batches, chunks, flat_ranges, s
 TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Characters of distinct units that are indexed at a time.
-INDEX_CHARS = 250_000
+#: Characters of distinct units that are indexed at a time, each with some 250 bytes of edges.
+INDEX_CHARS = 64_000
 _UNITS = re.compile(" +[^ ]*")
 
 
