@@ -552,6 +552,22 @@ def test_words_across_stretches(monkeypatch, prose):
         assert [words(t.encode()).tolist() for t in texts] == want
 
 
+def test_words_are_merged_as_by_the_library(monkeypatch, prose):
+    """Ordinary words don't go to the library, and have its ids."""
+    words = token_files.WordTokens(f"{token_files.TOKENIZERS}/{token_files.VOCABULARY}")
+    draw = random.Random(3)
+    odd = ["".join(draw.choices("aabeinstzAEÉéßÿÀ0129!!..,&%#<|>~_-()'×÷ªñ", k=draw.randint(1, 40))) for _ in range(4000)]
+    texts = [*prose[:20], "", "'", " ".join(odd), *(f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}1" for c in range(33, 0x180)), "<|endoftext|> x<|startoftext|>y <| |>"]
+    assert [x.tolist() for x in words.batch(texts)] == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [len(x) for x in words.batch(["'", ""])] == [1, 0]
+    plain = "Zwischenzeitlich fragments, ÉTÉ!! (see) 2024 a&&& " + "q" * 32
+    want = words.tokenizer.encode(plain, add_special_tokens=False).ids
+    words._reset()
+    monkeypatch.setattr(words, "tokenizer", None)
+    monkeypatch.setattr(words, "_others", lambda units: (np.zeros(0, np.int64), np.zeros(0, np.int32)) if not units else pytest.fail(f"to the library: {units}"))
+    assert words.batch([plain])[0].tolist() == want
+
+
 def test_rows_that_share_an_id_are_written_once_each(spark):
     texts = ["a b", "c", None, "a b", "c d e"] * 40
     docs = spark.createDataFrame([(None if k % 3 == 0 else 7, t, k) for k, t in enumerate(texts)], "doc_id long, text string, data int")

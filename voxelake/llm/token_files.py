@@ -24,6 +24,8 @@ place of a table the largest value stays, so the outcome hangs on no order of wr
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -55,10 +57,19 @@ _MARKS = b".,;:!?"
 _PUNCTUATION = np.isin(np.arange(256), list(_MARKS))
 #: The second bytes of the letters from U+00C0 to U+00FF (the first is 0xC3), which no normal form changes.
 _LATIN = np.array([0x80 <= c <= 0xBF and c not in (0x97, 0xB7) for c in range(256)])
+#: Kinds of the bytes of words that are merged here: spaces between, digits, letters, and punctuation.
+_BETWEEN, _DIGIT = 0, 1
+_KIND = np.array([_BETWEEN if c == 0x20 else _DIGIT if 0x30 <= c <= 0x39 else 2 if c >= 128 or chr(c).isalpha() else 3 for c in range(256)], np.int8)
 #: What a byte counts in a word's hash, with capitals lowered and as it is.
 _LOWER, _OWN = (x.astype(np.uint64) for x in (np.where(_CAPITAL, 33, 1) + np.arange(256), np.arange(256) + 1))
-#: What the vocabulary's tokens at the end of a run of letters end with.
+#: What the vocabulary's tokens at the end of a run of letters, of punctuation or of a digit end with.
 WORD_END = "</w>"
+#: Words that are merged here: of letters whose lower case and normal form are plain, digits, and ASCII punctuation but
+#: the apostrophe; of at most ``MERGED`` bytes, without the beginning of a token that stands for itself.
+_MERGED = re.compile(r"(?!.*<\|)[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF0-9!-&(-/:-@\[-`{-~]+")
+MERGED = 32
+#: Widths of the grids that runs are merged in, and runs of a grid at most.
+GRIDS, GRID_ROWS = (4, 8, 12, 16, MERGED), 1 << 14
 #: A character that is a token of its own, which no text without it holds.
 MARK = "\x01"
 #: Units that go to the library in one text.
@@ -402,6 +413,95 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def byte_characters() -> list[str]:
+    """The characters that byte-level vocabularies write bytes as."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
+class Merges:
+    """The vocabulary's merges, made for many runs of bytes side by side: in each run the merge of the least rank, the
+    leftmost of those, again and again, as the library does in one after the other."""
+
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, vocabulary: Tokenizer) -> None:
+        model = json.loads(vocabulary.to_str())["model"]
+        ids, self.symbols = model["vocab"], vocabulary.get_vocab_size()
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([ids[a] * self.symbols + ids[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.made = np.array([ids[a + b] for a, b in pairs], np.int32)  # by rank
+        self.inner, self.last = (np.array([ids[c + end] for c in byte_characters()], np.int32) for end in ("", WORD_END))
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of pairs; ``NONE`` where there is none, or no id (below 0)."""
+        key = a.astype(np.int64) * self.symbols + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (b >= 0), self.ranks[at], self.NONE)
+
+    def _grid(self, grid: np.ndarray) -> np.ndarray:
+        """Merge the ids in each row, which -1 follow, as far as they go."""
+        rank = np.full(grid.shape, self.NONE)
+        filled = grid[:, 1:] >= 0
+        rank[:, :-1][filled] = self._rank(grid[:, :-1][filled], grid[:, 1:][filled])
+        out, rows, columns = grid, np.arange(len(grid)), np.arange(grid.shape[1])
+        grid = grid.copy()
+        while len(rows):
+            at = rank.argmin(1)
+            each = np.arange(len(rows))
+            least = rank[each, at]
+            if (least == self.NONE).any():
+                out[rows] = grid
+                on = least < self.NONE
+                rows, grid, rank, at, least = rows[on], grid[on], rank[on], at[on], least[on]
+                each = np.arange(len(rows))
+                if not len(rows):
+                    break
+            # what stands right of the pair moves up by one
+            after = columns[:-1] > at[:, None]
+            for x, empty in ((grid, -1), (rank, self.NONE)):
+                np.copyto(x[:, :-1], x[:, 1:].copy(), where=after)
+                x[:, -1] = empty
+            made = self.made[least]
+            grid[each, at] = made
+            right = grid[each, np.minimum(at + 1, len(columns) - 1)]
+            rank[each, at] = self._rank(made, np.where(at + 1 < len(columns), right, -1))
+            left = at > 0
+            rank[each[left], at[left] - 1] = self._rank(grid[each[left], at[left] - 1], made[left])
+        return out
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each run of bytes gives, and the ids one after the other. Runs have 1 to ``MERGED`` bytes."""
+        counts = np.empty(len(starts), np.int64)
+        parts, low = [], 0
+        for width in GRIDS:
+            of_width = np.flatnonzero((lengths > low) & (lengths <= width))
+            low = width
+            for k in range(0, len(of_width), GRID_ROWS):
+                own = of_width[k : k + GRID_ROWS]
+                inside = np.arange(width) < lengths[own, None]
+                grid = np.full(inside.shape, -1, np.int32)
+                grid[inside] = self.inner[data[flat_ranges(starts[own], lengths[own])]]
+                ends = lengths[own] - 1
+                grid[np.arange(len(own)), ends] = self.last[data[starts[own] + ends]]
+                grid = self._grid(grid)
+                counts[own] = (grid >= 0).sum(1)
+                parts.append((own, grid[grid >= 0]))
+        ids = np.empty(int(counts.sum()), np.int32)
+        begin = np.cumsum(counts) - counts
+        for own, found in parts:
+            ids[flat_ranges(begin[own], counts[own])] = found
+        return counts, ids
+
+
+@cache
+def merges_of(path: str) -> Merges:
+    return Merges(tokenizer(path))
+
+
 class IdLists:
     """A growing list of lists of ids."""
 
@@ -433,7 +533,8 @@ class WordTokens:
     distinct word between spaces and line ends are found once while the table lasts.
 
     It lowers letters too and splits letters from what follows, so a word of plain letters and at most one
-    punctuation mark is put together from its letters and the mark's id. All words of a stretch of bytes
+    punctuation mark is put together from its letters and the mark's id. Short words of plain letters, digits and
+    punctuation are merged here, side by side; all others go to the library. All words of a stretch of bytes
     are found, hashed (64 bits) and looked up side by side; only those that the table does not have become
     strings. The table has one place for each ``TABLE_BITS`` bits of a hash, where a later word replaces an
     earlier one, so its size does not grow.
@@ -443,9 +544,7 @@ class WordTokens:
         self.tokenizer = tokenizer(path)
         self.symbols = self.tokenizer.get_vocab_size()
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        # ids that end a run of letters
-        self.ends = np.zeros(self.symbols, bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+        self.merges = merges_of(path)
         self.marks = np.zeros(256, np.int32)
         for c in _MARKS:
             (self.marks[c],) = self.tokenizer.encode(chr(c), add_special_tokens=False).ids
@@ -460,10 +559,19 @@ class WordTokens:
         got = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.empty(0, np.int32), *got])
 
-    def _letters(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of runs of letters, many in a call: the last id of each is one that ends a run."""
-        ids = self._joined([" ".join(units[a : a + JOINED]) for a in range(0, len(units), JOINED)])
-        return np.diff(np.flatnonzero(self.ends[ids]), prepend=-1), ids
+    def _merged(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units that ``_MERGED`` takes: the vocabulary splits them into runs of letters or of punctuation and single digits."""
+        if not units:
+            return np.empty(0, np.int64), np.empty(0, np.int32)
+        data = np.frombuffer(" ".join([*units, ""]).lower().encode(), np.uint8)
+        kind = _KIND[data]
+        first = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)])
+        edges = np.append(np.flatnonzero(first), len(data))
+        starts, lengths = edges[:-1], np.diff(edges)
+        runs = kind[starts] != _BETWEEN
+        unit = np.cumsum(~runs)[runs]
+        counts, ids = self.merges(data, starts[runs], lengths[runs])
+        return np.bincount(unit, counts, len(units)).astype(np.int64), ids
 
     def _others(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of any units, many in a call, with a mark after each."""
@@ -475,12 +583,13 @@ class WordTokens:
         marks = ids == self.mark
         return np.diff(np.flatnonzero(marks), prepend=-1) - 1, ids[~marks]
 
-    def _learn(self, units: list[str], plain: np.ndarray) -> int:
-        """Take up units, those of letters only being ``plain``; the number of the first one's list."""
+    def _learn(self, units: list[str]) -> int:
+        """Take up units; the number of the first one's list."""
         first = self.ids.n
         counts, starts = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        merged = np.fromiter((len(u.encode("utf-8", "replace")) <= MERGED and _MERGED.fullmatch(u) is not None for u in units), bool, len(units))
         found, held = [], 0
-        for of_kind, encode in ((plain, self._letters), (~plain, self._others)):
+        for of_kind, encode in ((merged, self._merged), (~merged, self._others)):
             own, ids = encode([u for u, k in zip(units, of_kind.tolist(), strict=True) if k])
             counts[of_kind] = own
             starts[of_kind] = held + np.cumsum(own) - own
@@ -491,7 +600,7 @@ class WordTokens:
 
     @staticmethod
     def _words(joined: bytes) -> tuple[np.ndarray, ...]:
-        """Of the words of some bytes: starts, ends of what is looked up, the mark after it (0: none), hashes, whether it is letters only."""
+        """Of the words of some bytes: starts, ends of what is looked up, the mark after it (0: none), hashes."""
         data = np.frombuffer(joined, np.uint8)
         edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]]).view(np.int8)))
         starts, ends = edge[::2], edge[1::2]
@@ -514,9 +623,9 @@ class WordTokens:
             # capitals count in words that are not plain
             low, own = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(v[data] * power)]) for v in (_LOWER, _OWN))
             hashes = mixed(np.where(plain, low[core] - low[starts], own[core] - own[starts]) * inverse[starts] + (core - starts).astype(np.uint64))
-        return starts, core, np.where(mark, last, 0), hashes, plain
+        return starts, core, np.where(mark, last, 0), hashes
 
-    def _lists(self, joined: bytes, starts: np.ndarray, core: np.ndarray, hashes: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    def _lists(self, joined: bytes, starts: np.ndarray, core: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The numbers of the words' lists of ids; words that the table does not have are taken up."""
         if self.ids.n > TABLE_LISTS:
             self._reset()
@@ -527,7 +636,7 @@ class WordTokens:
             fresh, at, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
             at = missed[at]
             units = [joined[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), core[at].tolist(), strict=True)]
-            numbers = self._learn(units, plain[at]) + np.arange(len(units), dtype=np.int32)
+            numbers = self._learn(units) + np.arange(len(units), dtype=np.int32)
             lists[missed] = numbers[back]
             # of words with one place the first goes there
             there, one = np.unique(place[at], return_index=True)
@@ -554,8 +663,8 @@ class WordTokens:
             at = end
         if not parts:
             return [np.empty(0, np.int32)] * len(texts)
-        starts, core, mark, hashes, plain = (np.concatenate(x) for x in zip(*parts, strict=True))
-        lists = self._lists(joined, starts, core, hashes, plain)
+        starts, core, mark, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        lists = self._lists(joined, starts, core, hashes)
         counts = self.ids.counts.take(lists)
         marked = mark > 0
         sums = np.concatenate([[0], np.cumsum(counts + marked)])
