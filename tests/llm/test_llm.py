@@ -388,7 +388,7 @@ def test_memory_of_a_tile_of_near_copies():
 
 
 def test_memory_of_learning_units():
-    """What learning new units takes follows the characters indexed at a time: at 250000 it would be over 60 MB."""
+    """What learning new units takes follows the characters indexed at a time: at 250000 it would be 55 MB."""
     draw = random.Random(5)
     encoder = sentencepiece_codec.Encoder(f"{sentencepiece_codec.TOKENIZERS}/{sentencepiece_codec.MODEL}")
     units = list({" " + "".join(draw.choices("etaoinshrdlu", k=9)) for _ in range(25_000)})
