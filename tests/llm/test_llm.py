@@ -81,6 +81,33 @@ def test_sentencepiece_equals_library(prose):
         assert decoder(ids) == text.replace("▁", " ")
 
 
+def test_seams_are_looked_at_once(monkeypatch, prose):
+    """Units that are learned again, and pieces of a known alphabet, are not worked out anew."""
+    encoder = sentencepiece_codec.Encoder(f"{sentencepiece_codec.TOKENIZERS}/{sentencepiece_codec.MODEL}")
+    looked, compatible = [], encoder.pieces.compatible
+    monkeypatch.setattr(encoder.pieces, "compatible", lambda u, t: looked.append(len(u)) or compatible(u, t))
+    first = encoder.batch(prose[:60])
+    n = sum(looked)
+    encoder._reset()
+    words = encoder.words
+    assert all((x == y).all() for x, y in zip(first, encoder.batch(prose[:60]), strict=True))
+    assert sum(looked) - n < sum(map(len, prose[:60])) // 50 and encoder.words is words
+
+
+def test_units_met_often_outlast_the_table(monkeypatch):
+    """Letting go of a full table keeps what is asked for again and again, in any alphabet."""
+    path = f"{sentencepiece_codec.TOKENIZERS}/{sentencepiece_codec.MODEL}"
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Encoder(path)
+    monkeypatch.setattr(sentencepiece_codec, "MAX_WORDS", 60)
+    draw, learned, learn = random.Random(7), [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda units: learned.extend(units) or learn(units))
+    alphabets = ["abcdefgh", "абвгдежз", "日本語中文字的一", "".join(map(chr, range(0x4E00, 0x5200))), "가나다라마바사아", "éàüößñç\0"]
+    for k in range(60):
+        texts = ["of the " + " ".join("".join(draw.choices(alphabets[k % 6], k=draw.randrange(1, 30))) for _ in range(20)) for _ in range(3)]
+        assert [x.tolist() for x in encoder.batch(texts)] == [library.encode(t) for t in texts]
+    assert learned.count(" the") == 1 and len(encoder.units) == encoder.n <= 60 + 3 * 22
+
+
 def test_decode_frame(spark):
     coded = sentencepiece_codec.encode(docs_of(spark, ["a  b\né", None]))
     assert {k: r.text for k, r in by_id(sentencepiece_codec.decode(coded)).items()} == {0: "a  b\né", 1: ""}

@@ -38,6 +38,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of distinct units that are indexed at a time, each with some 250 bytes of edges.
 INDEX_CHARS = 64_000
+#: Bits of the places of pairs of pieces whose seams were looked at.
+ASKED_BITS = 20
 _UNITS = re.compile(" +[^ ]*")
 
 
@@ -63,6 +65,8 @@ class Pieces:
         self.length = np.array([len(t) for t in self.text])
         self._pairs()
         self._seams(n)
+        #: Pairs that were asked for, each at a place that its key's hash gives: key << 1 | verdict.
+        self.asked = np.full(1 << ASKED_BITS, -1, np.int32 if n * n < 1 << 30 else np.int64)
 
     def _pairs(self) -> None:
         """Sorted keys of all pairs of pieces that merge into a piece, and the piece's rank."""
@@ -153,57 +157,89 @@ class Pieces:
             i, j, live = (i + first)[on], (j + ~first)[on], live[on]
         return good
 
+    def fits(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """``compatible`` by the table of pairs asked before; a later pair takes the place of an earlier one."""
+        key = u.astype(self.asked.dtype) * len(self.text) + t
+        place = ((key.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - ASKED_BITS)).astype(np.intp)
+        held = self.asked.take(place)
+        good = (held & 1).astype(bool)
+        missed = np.flatnonzero(held >> 1 != key)
+        if len(missed):
+            fresh, at, back = np.unique(key[missed], return_index=True, return_inverse=True)
+            at = missed[at]
+            verdict = self.compatible(u[at], t[at])
+            self.asked[place[at]] = fresh << 1 | verdict
+            good[missed] = verdict[back]
+        return good
+
 
 @cache
 def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-class SuffixIndex:
-    """A suffix array of texts joined by separators, sorted to the depth of ``depth`` characters."""
-
-    def __init__(self, codes: np.ndarray, depth: int) -> None:
-        self.alphabet, dense = np.unique(codes, return_inverse=True)
-        self.bits = 8 if len(self.alphabet) < 255 else 16 if len(self.alphabet) < 65535 else 32
-        self.per_key = 64 // self.bits
-        self.n_keys = -(-depth // self.per_key)
-        padded = np.concatenate([dense.astype(np.uint64), np.zeros(self.per_key * self.n_keys, np.uint64)])
-        n = len(codes)
-        self.keys = []
-        for k in range(self.n_keys):
-            key = np.zeros(n, np.uint64)
-            for c in range(self.per_key):
-                key = (key << np.uint64(self.bits)) | padded[k * self.per_key + c : k * self.per_key + c + n]
-            self.keys.append(key)
-        self.order = np.lexsort(self.keys[::-1])
-        self.keys = [key[self.order] for key in self.keys]
-
-    def ranges(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word (of characters' codes) the range of the array where suffixes begin with it."""
-        lo, hi = np.zeros(len(words), np.int64), np.full(len(words), len(self.order))
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.concatenate(words)
-        at = np.minimum(np.searchsorted(self.alphabet, flat), len(self.alphabet) - 1)
-        known = self.alphabet[at] == flat
-        row = np.repeat(np.arange(len(words)), lengths)
-        column = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        grid = np.zeros((len(words), self.per_key * self.n_keys), np.uint64)
-        grid[row, column] = at
-        top = np.full(grid.shape, (1 << self.bits) - 1, np.uint64)
-        top[row, column] = at
-        hi[np.unique(row[~known])] = 0
+def _bits(n: int) -> int:
+    """Bits of the numbers from 0 to ``n`` and of one that is larger, in whole bytes."""
+    return 8 if n < 255 else 16 if n < 65535 else 32
+
+
+class Words:
+    """Words as keys of ``64 // bits`` characters: the least and the largest that suffixes beginning with a word have.
+
+    ``grid`` has the numbers (below 2 ** bits - 1) of a word's characters in each row, which zeros follow; rows ascend.
+    """
+
+    def __init__(self, grid: np.ndarray, bits: int) -> None:
+        per_key = 64 // bits
+        self.bits, self.lengths = bits, (grid > 0).sum(1)
+        self.n_keys = -(-grid.shape[1] // per_key)
+        self.low, self.high = [], []
         for k in range(self.n_keys):
-            part = slice(k * self.per_key, (k + 1) * self.per_key)
-            low, high = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
-            for c in range(part.start, part.stop):
-                low, high = (low << np.uint64(self.bits)) | grid[:, c], (high << np.uint64(self.bits)) | top[:, c]
-            on = (lo < hi) & (lengths > part.start)
-            if k == 0:
-                a, b = np.searchsorted(self.keys[0], low[on], "left"), np.searchsorted(self.keys[0], high[on], "right")
-            else:
-                a, b = self._search(self.keys[k], lo[on], hi[on], low[on], False), self._search(self.keys[k], lo[on], hi[on], high[on], True)
-            lo[on], hi[on] = a, b
-        return lo, np.maximum(hi, lo)
+            low, high = np.zeros(len(grid), np.uint64), np.zeros(len(grid), np.uint64)
+            for c in range(k * per_key, (k + 1) * per_key):
+                own = (grid[:, c] if c < grid.shape[1] else np.zeros(len(grid), np.int64)).astype(np.uint64)
+                low, high = (low << np.uint64(bits)) | own, (high << np.uint64(bits)) | np.where(own > 0, own, np.uint64((1 << bits) - 1))
+            self.low.append(low)
+            self.high.append(high)
+
+
+class SuffixIndex:
+    """A suffix array of texts joined by separators, sorted to the depth of some words; ``numbers`` are below 2 ** bits - 1."""
+
+    def __init__(self, numbers: np.ndarray, words: Words) -> None:
+        self.words = words
+        self.per_key = 64 // words.bits
+        n = len(numbers)
+        key = np.zeros(n + self.per_key * (words.n_keys + 1), np.uint64)
+        key[:n] = numbers
+        # of one character, of two, of four ... up to a key's
+        width = 1
+        while width < self.per_key:
+            key = (key[:-width] << np.uint64(words.bits * width)) | key[width:]
+            width *= 2
+        self.order = np.argsort(key[:n])
+        self.keys = [key[:n][self.order]]
+        # those with equal keys so far are put in order by the next
+        tied = np.concatenate([[False], self.keys[0][1:] == self.keys[0][:-1], [False]])
+        for k in range(1, words.n_keys):
+            own = np.flatnonzero(tied[1:] | tied[:-1])
+            self.order[own] = self.order[own[np.lexsort((key[self.order[own] + k * self.per_key], np.cumsum(~tied[:-1])[own]))]]
+            self.keys.append(key[self.order + k * self.per_key])
+            tied[1:-1] &= self.keys[k][1:] == self.keys[k][:-1]
+
+    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the range of the array where suffixes begin with it."""
+        words = self.words
+        # words ascend, so that one's search looks where the one before it looked
+        lo, hi = np.searchsorted(self.keys[0], words.low[0], "left"), np.zeros(len(words.lengths), np.int64)
+        on = np.flatnonzero(self.keys[0][np.minimum(lo, len(self.order) - 1)] <= words.high[0])
+        hi[on] = np.searchsorted(self.keys[0], words.high[0][on], "right")
+        hi = np.maximum(hi, lo)
+        for k in range(1, words.n_keys):
+            on = np.flatnonzero((lo < hi) & (words.lengths > k * self.per_key))
+            a, b = (self._search(self.keys[k], lo[on], hi[on], value[k][on], after) for value, after in ((words.low, False), (words.high, True)))
+            lo[on], hi[on] = a, np.maximum(a, b)
+        return lo, hi
 
     @staticmethod
     def _search(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray, after: bool) -> np.ndarray:
@@ -223,62 +259,106 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.pieces = pieces_of(path)
-        self.searched = self.pieces.plain[self.pieces.usable[self.pieces.plain]]
-        self.words = [np.array(list(map(ord, self.pieces.text[i])), np.int64) for i in self.searched]
-        self.depth = max(map(len, self.words))
+        p = self.pieces
+        searched = p.plain[p.usable[p.plain]]
+        codes = [np.array(list(map(ord, p.text[i])), np.int64) for i in searched]
+        #: Characters of pieces, in order, have numbers from 1; all others 0, as no piece holds them.
+        characters = np.unique(np.concatenate(codes))
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[characters] = np.arange(1, len(characters) + 1)
+        grid = np.zeros((len(codes), max(map(len, codes))), np.int32)
+        for row, own in zip(grid, codes, strict=True):
+            row[: len(own)] = self.number[own]
+        order = np.lexsort(grid.T[::-1])
+        self.all, self.grid = searched[order], grid[order]
+        self.is_piece = np.zeros(len(characters) + 1, bool)
+        self.is_piece[self.grid[self.grid[:, 1] == 0, 0]] = True
+        self.width = np.append(p.length, 1)  # the last of a character without a piece (-1)
+        self.present = np.zeros(len(characters) + 1, bool)
+        self._search_for(self.present)
         self._reset()
 
     def _reset(self) -> None:
         self.units = Interner()
         self.ids, self.n_ids = np.empty(1 << 14, np.int32), 0
         self.starts, self.counts, self.n = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
+        self.asked = np.zeros(1 << 12, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the units that were met twice or more, half of ``MAX_WORDS`` at most, and let go of the others."""
+        words, asked = list(self.units), self.asked[: self.n]
+        kept = np.flatnonzero(asked > 1)
+        if len(kept) > MAX_WORDS // 2:
+            kept = np.sort(kept[np.argsort(-asked[kept], kind="stable")[: MAX_WORDS // 2]])
+        ids, counts, asked = self.ids[flat_ranges(self.starts[kept], self.counts[kept])], self.counts[kept], asked[kept] // 2
+        self._reset()
+        self.units.update((words[i], k) for k, i in enumerate(kept.tolist()))
+        self._add(ids, counts)
+        self.asked[: self.n] = asked
+
+    def _search_for(self, present: np.ndarray) -> None:
+        """Set up the keys of the pieces whose characters (by number) are all ``present``."""
+        self.present = present.copy()
+        self.present[0] = False
+        self.local = np.cumsum(self.present) * self.present
+        inside = self.present.copy()
+        inside[0] = True
+        own = inside[self.grid].all(1)
+        self.searched, self.words = self.all[own], Words(self.local[self.grid[own]], _bits(int(self.present.sum())))
+
+    def _index(self, numbers: np.ndarray) -> SuffixIndex:
+        """The index of some characters. The keys of pieces stay while no others come; few characters have shorter keys."""
+        present = np.bincount(numbers, minlength=len(self.present)) > 0
+        present[0] = False
+        if (present & ~self.present).any():
+            both = present | self.present
+            self._search_for(both if _bits(int(both.sum())) == _bits(int(present.sum())) else present)
+        return SuffixIndex(self.local[numbers], self.words)
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units in a row, and how many belong to each. Units are in the model's form, not empty."""
         p = self.pieces
         lengths = np.fromiter(map(len, units), np.int64, len(units))
-        codes = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        codes = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        numbers = self.number[codes]
         starts = np.cumsum(lengths + 1) - (lengths + 1)
-        index = SuffixIndex(np.concatenate([codes, [0]]), self.depth)
-        lo, hi = index.ranges(self.words)
+        index = self._index(numbers)
+        lo, hi = index.ranges()
         begin = index.order[flat_ranges(lo, hi - lo)]
         piece = np.repeat(self.searched, hi - lo)
         unit = np.repeat(np.arange(len(units)), lengths + 1)  # of every position, separators included
         # a character without a piece: an edge that nothing merges with
-        single = np.zeros(len(unit), bool)
-        one = p.length[piece] == 1
-        single[begin[one]] = True
-        position = np.arange(len(unit))
-        is_text = np.ones(len(unit), bool)
-        is_text[starts + lengths] = False
-        alone = position[~single & is_text]
+        lost = ~self.is_piece[numbers]
+        lost[starts + lengths] = False
+        alone = np.flatnonzero(lost)
         begin, piece = np.concatenate([begin, alone]), np.concatenate([piece, np.full(len(alone), -1)])
-        end = begin + np.where(piece >= 0, p.length[piece], 1)
-        local = end - starts[unit[begin]]
+        local = begin - starts[unit[begin]] + self.width[piece]
+        longest = int(lengths.max(initial=0))
+        if longest < 1 << 16:
+            local = local.astype(np.uint16)  # sorted by its digits
         order = np.argsort(local, kind="stable")
-        begin, piece, end, local = begin[order], piece[order], end[order], local[order]
+        begin, piece = begin[order], piece[order]
+        end = begin + self.width[piece]
         last = np.full(len(unit) + 1, -3, np.int64)  # -3: not reached, -2: a unit's start, -1: a character without a piece
         last[starts] = -2
-        step = np.searchsorted(local, np.arange(1, int(lengths.max(initial=0)) + 2))
-        for a, b in zip(step, step[1:], strict=False):
+        step = np.concatenate([[0], np.cumsum(np.bincount(local, minlength=longest + 1)[1:])])
+        for a, b in zip(step.tolist(), step[1:].tolist(), strict=False):
             before, t = last[begin[a:b]], piece[a:b]
             fine = before > -3
             check = np.flatnonzero((before >= 0) & (t >= 0))
-            fine[check] = p.compatible(before[check], t[check])
+            fine[check] = p.fits(before[check], t[check])
             last[end[a:b][fine]] = t[fine]
         # back from every unit's end, all units in step
-        at, out, active = starts + lengths, [], np.flatnonzero(lengths > 0)
-        while len(active):
-            t = last[at[active]]
-            width = np.where(t >= 0, p.length[t], 1)
-            at[active] -= width
-            out.append((active, at[active].copy(), t))
-            active = active[at[active] > starts[active]]
-        if not out:
-            return np.empty(0, np.int32), np.zeros(len(units), np.int64)
-        owner, place, ids = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.argsort(place)
-        owner, place, ids = owner[order], place[order], ids[order]
+        chosen = np.full(len(unit), -3, np.int64)
+        at, first = (starts + lengths)[lengths > 0], starts[lengths > 0]
+        while len(at):
+            t = last[at]
+            at = at - self.width[t]
+            chosen[at] = t
+            on = at > first
+            at, first = at[on], first[on]
+        place = np.flatnonzero(chosen > -3)
+        owner, ids = unit[place], chosen[place]
         if (ids == -1).any():
             owner, ids = self._as_bytes(owner, ids, codes[place])
         return ids.astype(np.int32), np.bincount(owner, minlength=len(units))
@@ -294,23 +374,27 @@ class Encoder:
 
     def _learn(self, fresh: list[str]) -> None:
         for a, b in chunks(fresh, INDEX_CHARS):
-            ids, counts = self.encode_units([u.replace(" ", MARK) for u in fresh[a:b]])
-            if self.n_ids + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.n_ids], np.empty(max(len(ids), self.n_ids), np.int32)])
-            if self.n + len(counts) > len(self.counts):
-                more = max(len(counts), self.n)
-                self.counts, self.starts = (np.concatenate([x[: self.n], np.empty(more, np.int64)]) for x in (self.counts, self.starts))
-            self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-            self.counts[self.n : self.n + len(counts)] = counts
-            self.starts[self.n : self.n + len(counts)] = self.n_ids + np.cumsum(counts) - counts
-            self.n_ids += len(ids)
-            self.n += len(counts)
+            self._add(*self.encode_units([u.replace(" ", MARK) for u in fresh[a:b]]))
+
+    def _add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Take up the ids of units that follow those held."""
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.empty(max(len(ids), self.n_ids), np.int32)])
+        if self.n + len(counts) > len(self.counts):
+            more = max(len(counts), self.n)
+            self.counts, self.starts, self.asked = (np.concatenate([x[: self.n], np.zeros(more, x.dtype)]) for x in (self.counts, self.starts, self.asked))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.counts[self.n : self.n + len(counts)] = counts
+        self.starts[self.n : self.n + len(counts)] = self.n_ids + np.cumsum(counts) - counts
+        self.n_ids += len(ids)
+        self.n += len(counts)
 
     def _take(self, units: list[str]) -> np.ndarray:
         at = self.units.take(units)
         if self.units.fresh:
             fresh, self.units.fresh = self.units.fresh, []
             self._learn(fresh)
+        self.asked[: self.n] += np.bincount(at, minlength=self.n).astype(np.int32)
         return at
 
     def __call__(self, text: str) -> np.ndarray:
@@ -320,7 +404,7 @@ class Encoder:
         found = []
         for part in segments(" " + text.replace(MARK, " ")):
             if len(self.units) > 4 * MAX_WORDS:
-                self._reset()
+                self._forget()
             at = self._take(_UNITS.findall(part))
             found.append(self.ids[flat_ranges(self.starts[at], self.counts[at])])
         return found[0] if len(found) == 1 else np.concatenate(found)
@@ -328,7 +412,7 @@ class Encoder:
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of several texts, whose units are split once and share an index. A text by itself goes in segments."""
         if len(self.units) > MAX_WORDS:
-            self._reset()
+            self._forget()
         if len(texts) == 1:
             return [self(texts[0])]
         split = [_UNITS.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
