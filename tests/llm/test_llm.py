@@ -595,6 +595,58 @@ def test_words_are_merged_as_by_the_library(monkeypatch, prose):
     assert words.batch([plain])[0].tolist() == want
 
 
+def test_ranks_are_looked_up_once_a_pair(monkeypatch, prose):
+    words = token_files.WordTokens(f"{token_files.TOKENIZERS}/{token_files.VOCABULARY}")
+    looked, search = [], words.merges._search
+    monkeypatch.setattr(words.merges.answers, "ask", lambda key: looked.append(len(key)) or search(key))
+    first = words.batch(prose)
+    n = sum(looked)
+    words._reset()
+    assert all((x == y).all() for x, y in zip(first, words.batch(prose), strict=True))
+    assert sum(looked) - n < sum(map(len, prose)) // 50
+
+
+def test_words_merged_are_no_strings(monkeypatch):
+    """Only words for the library are decoded; those merged stay bytes, in lower case with a space after each."""
+    units = ["Abc", "éÀ1!", "x" * 32, "a<b", "a|b<", "", "x" * 33, "don't", "a<|b", "日", "÷", "a\x7f", "×y"]
+    joined = " ".join(units).encode() + b" \xc3"
+    ends = np.cumsum([len(u.encode()) + 1 for u in units]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    merged, data = token_files.WordTokens._mergeable(np.frombuffer(joined, np.uint8), np.append(starts, len(joined) - 1), np.append(ends, len(joined)) - np.append(starts, len(joined) - 1))
+    assert merged.tolist() == [True] * 6 + [False] * 8
+    assert bytes(data).decode() == "".join(u.lower() + " " for u in units[:6])
+
+
+def test_hashes_of_words_tell_all_bytes():
+    draw = random.Random(2)
+    units = {"".join(draw.choices("abAB", k=n)) for n in (1, 2, 3, 7, 8, 9, 15, 16, 17, 31, 63, 64, 65, 66, 200) for _ in range(30)}
+    units = sorted({u.lower() for u in units} | {f"{u.lower()}1" for u in units} | {f"{u}2" for u in units} | {"a" * n for n in range(1, 140)} | {"\x01", "\x02", "\0", "\0\0", "a\0", "b\0\0", *map(chr, range(33, 65))} - set(token_files._MARKS.decode()))
+    for joined in (" ".join(units), "\n".join(units) + " "):
+        starts, core, mark, hashes = token_files.WordTokens._words(joined.encode())
+        assert [joined[a:b] for a, b in zip(starts, core, strict=True)] == units and not mark.any() and len({0, *hashes.tolist()}) == len(units) + 1
+    # capitals count in words that are not plain only
+    hashes = token_files.WordTokens._words("ABCDEFGHIJ abcdefghij, ABCDEFGHIJ1 abcdefghij1".encode())[-1]
+    assert hashes[0] == hashes[1] and len(set(hashes.tolist())) == 3
+
+
+def test_quotients_by_floats_are_exact():
+    random_ = np.random.default_rng(4)
+    b = random_.integers(1, 1 << 26, 100_000)
+    a = random_.integers(1, (1 << 46) // b, 100_000) * b
+    for x in (a - 1, a, a + 1):
+        assert (token_files._divided(x, b) == x // b).all()
+
+
+@pytest.mark.parametrize(("lanes", "n"), [(1, 5), (3, 3), (70, 70 * 4), (70, 70 * 3 + 1), (130, 130 * 300 + 129)])
+def test_ids_of_a_step_lie_together(lanes, n):
+    steps, full = token_files._lanes(n, lanes)
+    ids, grid = np.arange(n), np.full((steps, lanes), -1)
+    token_files._turned(ids[: full * steps].reshape(full, steps), grid[:, :full])
+    token_files._turned(ids[full * steps :].reshape(lanes - full, steps - 1), grid[:-1, full:])
+    columns = [c[c >= 0].tolist() for c in grid.T]
+    assert sum(columns, []) == ids.tolist() and {len(c) for c in columns[full:]} <= {steps - 1}
+
+
 def test_rows_that_share_an_id_are_written_once_each(spark):
     texts = ["a b", "c", None, "a b", "c d e"] * 40
     docs = spark.createDataFrame([(None if k % 3 == 0 else 7, t, k) for k, t in enumerate(texts)], "doc_id long, text string, data int")

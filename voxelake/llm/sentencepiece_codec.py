@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_WORDS, Interner, bounded_batches, chunks, flat_ranges, segments, table, text_of, worker_table
+from .common import MAX_WORDS, Answers, Interner, bounded_batches, chunks, flat_ranges, segments, table, text_of, worker_table
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -65,8 +65,8 @@ class Pieces:
         self.length = np.array([len(t) for t in self.text])
         self._pairs()
         self._seams(n)
-        #: Pairs that were asked for, each at a place that its key's hash gives: key << 1 | verdict.
-        self.asked = np.full(1 << ASKED_BITS, -1, np.int32 if n * n < 1 << 30 else np.int64)
+        #: Of pairs asked for, the key of ``u`` and ``t`` as in ``_pairs``.
+        self.verdicts = Answers(lambda key: self.compatible(key // n, key % n), ASKED_BITS, 1, n * n)
 
     def _pairs(self) -> None:
         """Sorted keys of all pairs of pieces that merge into a piece, and the piece's rank."""
@@ -158,19 +158,8 @@ class Pieces:
         return good
 
     def fits(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """``compatible`` by the table of pairs asked before; a later pair takes the place of an earlier one."""
-        key = u.astype(self.asked.dtype) * len(self.text) + t
-        place = ((key.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - ASKED_BITS)).astype(np.intp)
-        held = self.asked.take(place)
-        good = (held & 1).astype(bool)
-        missed = np.flatnonzero(held >> 1 != key)
-        if len(missed):
-            fresh, at, back = np.unique(key[missed], return_index=True, return_inverse=True)
-            at = missed[at]
-            verdict = self.compatible(u[at], t[at])
-            self.asked[place[at]] = fresh << 1 | verdict
-            good[missed] = verdict[back]
-        return good
+        """``compatible`` by the table of pairs asked before."""
+        return self.verdicts(u * len(self.text) + t).astype(bool)
 
 
 @cache

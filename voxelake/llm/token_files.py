@@ -25,7 +25,6 @@ place of a table the largest value stays, so the outcome hangs on no order of wr
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,11 +33,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bounded_batches, chunks, flat_ranges, mixed, powers, table, text_of, worker_table, write_shared
+from .common import Answers, bounded_batches, chunks, flat_ranges, mixed, table, text_of, worker_table, write_shared
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -49,10 +49,7 @@ TABLE_LISTS, TABLE_BITS = 1_500_000, 22
 STRETCH = 1 << 18
 #: Bytes of text whose new words are taken up together.
 TAKE = 3_000_000
-#: Bytes that part words, ASCII letters, capitals, and punctuation that the vocabulary splits from letters before it.
-_SPACE = np.isin(np.arange(256), [0x20, 0x0A])
-_LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
-_CAPITAL = np.array([0x41 <= c <= 0x5A for c in range(256)])
+#: Punctuation that the vocabulary splits from letters before it.
 _MARKS = b".,;:!?"
 _PUNCTUATION = np.isin(np.arange(256), list(_MARKS))
 #: The second bytes of the letters from U+00C0 to U+00FF (the first is 0xC3), which no normal form changes.
@@ -60,14 +57,19 @@ _LATIN = np.array([0x80 <= c <= 0xBF and c not in (0x97, 0xB7) for c in range(25
 #: Kinds of the bytes of words that are merged here: spaces between, digits, letters, and punctuation.
 _BETWEEN, _DIGIT = 0, 1
 _KIND = np.array([_BETWEEN if c == 0x20 else _DIGIT if 0x30 <= c <= 0x39 else 2 if c >= 128 or chr(c).isalpha() else 3 for c in range(256)], np.int8)
-#: What a byte counts in a word's hash, with capitals lowered and as it is.
-_LOWER, _OWN = (x.astype(np.uint64) for x in (np.where(_CAPITAL, 33, 1) + np.arange(256), np.arange(256) + 1))
+#: What each count of a word's bytes leaves of eight, and a factor of words' hashes. Longer words are hashed one by one.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_FACTOR, _FOLD = np.uint64(0x9FB21C651E98DF25), np.uint64(32)
+HASHED = 64
 #: What the vocabulary's tokens at the end of a run of letters, of punctuation or of a digit end with.
 WORD_END = "</w>"
 #: Words that are merged here: of letters whose lower case and normal form are plain, digits, and ASCII punctuation but
-#: the apostrophe; of at most ``MERGED`` bytes, without the beginning of a token that stands for itself.
-_MERGED = re.compile(r"(?!.*<\|)[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF0-9!-&(-/:-@\[-`{-~]+")
+#: the apostrophe (``_PLAIN``, with the space after a word); of at most ``MERGED`` bytes, without the beginning of a token
+#: that stands for itself.
+_PLAIN = np.array([0x20 <= c <= 0x7E and c != 0x27 for c in range(256)])
 MERGED = 32
+#: Bits of the places of pairs whose ranks were looked up.
+RANK_BITS = 18
 #: Widths of the grids that runs are merged in, and runs of a grid at most.
 GRIDS, GRID_ROWS = (4, 8, 12, 16, MERGED), 1 << 14
 #: A character that is a token of its own, which no text without it holds.
@@ -107,12 +109,18 @@ COUNT_BITS = MOST.bit_length()
 _ID, _COUNT = np.int32((1 << ID_BITS) - 1), np.int32(1 << ID_BITS)
 
 
+def _divided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a // b`` of numbers from 0 to 2 ** 53, by floats: no quotient below a whole number is rounded up to it."""
+    return (a / b).astype(np.int64)
+
+
 class Mixer:
     """Predictions of order 0 to 2 for all lanes of a block, and their mixture."""
 
     def __init__(self, symbols: int, lanes: int) -> None:
         self.symbols = symbols
-        self.table2, self.table1 = np.zeros(ORDER2, np.int32), np.zeros(symbols, np.int32)
+        # order 2's places, then order 1's: what is done for both is done at once, in two rows
+        self.table = np.zeros(ORDER2 + symbols, np.int32)
         # how often order 2, only order 1, or neither held, by (count of order 2, count of order 1, agreement)
         self.seen = np.tile(np.array([8, 8, 16, 0], np.int64), ((MOST + 1) ** 2 * 2, 1))
         self.frequency, self.missed = np.zeros(symbols, np.int64), [np.empty(0, np.int32)]
@@ -136,19 +144,21 @@ class Mixer:
     def _weigh(self) -> None:
         tried = self.seen.sum(1)
         weights = self.seen[:, :2] * ((1 << TOTAL_BITS) - ORDER0_LEAST) // tried[:, None]
-        self.weight2, self.weight1 = weights[:, 0].copy(), weights[:, 1].copy()
+        self.weights = weights.T.copy()
 
     def predict(self, lanes: int) -> None:
         """Candidates and weights of the first ``lanes`` lanes."""
         b1, b2 = self.before[:lanes], self.before2[:lanes]
-        self.slot = ((b1.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (b2.astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - ORDER2.bit_length() + 1)
-        self.slot = self.slot.astype(np.intp)
-        self.held2, self.held1 = self.table2.take(self.slot), self.table1.take(b1)
-        self.guess2, self.guess1 = self.held2 & _ID, self.held1 & _ID
-        self.row = ((((self.held2 >> ID_BITS) << COUNT_BITS) | (self.held1 >> ID_BITS)) << 1) | (self.guess2 == self.guess1)
+        self.places_of = np.empty(2 * lanes, np.intp)
+        self.slot = self.places_of[:lanes]
+        self.slot[:] = ((b1.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (b2.astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - ORDER2.bit_length() + 1)
+        np.add(b1, ORDER2, out=self.places_of[lanes:])
+        self.held = self.table.take(self.places_of).reshape(2, lanes)
+        self.guess, self.count = self.held & _ID, self.held >> ID_BITS
+        self.row = (((self.count[0] << COUNT_BITS) | self.count[1]) << 1) | (self.guess[0] == self.guess[1])
         self.row = self.row.astype(np.intp)
-        self.share2, self.share1 = self.weight2.take(self.row), self.weight1.take(self.row)
-        self.share0 = (1 << TOTAL_BITS) - self.share2 - self.share1
+        self.share = self.weights.take(self.row, 1)
+        self.share0 = (1 << TOTAL_BITS) - self.share[0] - self.share[1]
 
     def _scaled(self, ids: np.ndarray) -> np.ndarray:
         """Where the order-0 intervals of ids begin, scaled to what is left to order 0."""
@@ -156,41 +166,43 @@ class Mixer:
 
     def intervals(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and widths of the intervals of ids, one a lane."""
-        self.right2, self.right1 = ids == self.guess2, ids == self.guess1
+        self.right = self.guess == ids
         self.at = ids.astype(np.intp)
         low = self._scaled(self.at)
         size = self._scaled(self.at + 1) - low
-        low += self.share2 * (self.guess2 < ids)
-        low += self.share1 * (self.guess1 < ids)
-        size += self.share2 * self.right2
-        size += self.share1 * self.right1
-        return low.astype(np.uint64), size.astype(np.uint64)
+        for x, where in ((low, self.guess < ids), (size, self.right)):
+            weight = self.share * where
+            x += weight[0]
+            x += weight[1]
+        # none is below 0
+        return low.view(np.uint64), size.view(np.uint64)
 
     def find(self, place: np.ndarray) -> np.ndarray:
         """The ids in whose intervals ``place`` lies, one a lane."""
         if self.places is None:
             self.places = np.repeat(np.arange(self.symbols, dtype=np.int32), np.diff(self.borders))
-        lower = self.share2 + (self.guess1 < self.guess2) * (self.share1 - self.share2)
+        guess2, guess1 = self.guess
+        share2, share1 = self.share
+        lower = share2 + (guess1 < guess2) * (share1 - share2)
         # a weight lies before the order-0 interval of its id: taken out, the lower id's first, only order 0 is left
-        for guess, share in ((np.minimum(self.guess1, self.guess2), lower), (np.maximum(self.guess1, self.guess2), self.share1 + self.share2 - lower)):
+        for guess, share in ((np.minimum(guess1, guess2), lower), (np.maximum(guess1, guess2), share1 + share2 - lower)):
             place = np.maximum(np.minimum(place, self._scaled(guess)), place - share)
-        return self.places.take((((place + 1) << ORDER0_BITS) - 1) // self.share0)
+        return self.places.take(_divided(((place + 1) << ORDER0_BITS) - 1, self.share0))
 
     def learn(self, ids: np.ndarray) -> None:
         """Take up the ids of a step, whose intervals were asked for."""
         n = len(ids)
-        miss = ~(self.right2 | self.right1)
-        kind = miss.view(np.int8) + (~self.right2).view(np.int8)
+        miss = ~(self.right[0] | self.right[1])
+        kind = miss.view(np.int8) + (~self.right[0]).view(np.int8)
         self.seen += np.bincount((self.row << 2) + kind, minlength=self.seen.size).reshape(self.seen.shape) << 4
-        for held, right, at, own in ((self.held2, self.right2, self.slot, self.table2), (self.held1, self.right1, self.before[:n], self.table1)):
-            # a candidate that held counts one more, one that failed half, and if its count was 1 or less the id takes its place
-            # (sums, since choices that hardly can be foreseen take longer)
-            value, fresh = held - (((held >> ID_BITS) + 1 >> 1) << ID_BITS), ids | _COUNT
-            value = fresh + (held >= 2 * _COUNT) * (value - fresh)
-            value += right * (held + _COUNT * (held < MOST * _COUNT) - value)
-            own[at] = 0
-            np.maximum.at(own, at, value)
-        self.missed.append(ids[miss])
+        # a candidate that held counts one more, one that failed half, and if its count was 1 or less the id takes its place
+        # (sums, since choices that hardly can be foreseen take longer)
+        value, fresh = self.held - ((self.count + 1 >> 1) << ID_BITS), ids | _COUNT
+        value = fresh + (self.held >= 2 * _COUNT) * (value - fresh)
+        value += self.right * (self.held + _COUNT * (self.held < MOST * _COUNT) - value)
+        self.table[self.places_of] = 0
+        np.maximum.at(self.table, self.places_of, value.reshape(-1))
+        self.missed.append(ids[np.flatnonzero(miss)])
         self.before2[:n] = self.before[:n]
         self.before[:n] = self.at
         self.steps += 1
@@ -270,7 +282,7 @@ class LaneReader:
 
     def __init__(self, payload: bytes, lanes: int) -> None:
         sizes = np.frombuffer(payload, "<u4", lanes).astype(np.int64)
-        self.data = np.concatenate([np.frombuffer(payload, "<u2", offset=4 * lanes).astype(np.uint64), np.zeros(8, np.uint64)])
+        self.data = np.concatenate([np.frombuffer(payload, "<u2", offset=4 * lanes), np.zeros(8, np.uint16)])
         self.at = np.cumsum(sizes) - sizes
         self.low, self.range, self.code = np.zeros(lanes, np.uint64), np.full(lanes, STATE), np.zeros(lanes, np.uint64)
         for _ in range(3):
@@ -280,8 +292,8 @@ class LaneReader:
     def peek(self, lanes: int) -> np.ndarray:
         """The place in the total width that the next interval of each of the first lanes holds."""
         self.unit = self.range[:lanes] >> _TOTAL
-        place = (self.code[:lanes] - self.low[:lanes]) // self.unit
-        return np.minimum(place, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
+        place = (self.code[:lanes] - self.low[:lanes]) / self.unit
+        return np.minimum(place, (1 << TOTAL_BITS) - 1).astype(np.int64)
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
         """Narrow the first lanes to their intervals, after ``peek``."""
@@ -302,24 +314,36 @@ class LaneReader:
             rows, same = rows[go], same[go]
 
 
-def _lanes(n_ids: int, lanes: int) -> tuple[int, int, np.ndarray]:
-    """Steps, lanes that have an id in the last step, and where each lane's ids begin."""
+def _lanes(n_ids: int, lanes: int) -> tuple[int, int]:
+    """Steps, and lanes that have an id in the last step."""
     steps = -(-n_ids // lanes)
-    full = n_ids - (steps - 1) * lanes
-    counts = np.full(lanes, steps - 1)
-    counts[:full] += 1
-    return steps, full, np.cumsum(counts) - counts
+    return steps, n_ids - (steps - 1) * lanes
+
+
+#: Rows that are turned into columns at a time: all of a block's have places that a processor's cache can't hold at once.
+TURNED = 64
+
+
+def _turned(rows: np.ndarray, out: np.ndarray) -> None:
+    """Write ``rows`` as the columns of ``out``."""
+    for a in range(0, max(rows.shape), TURNED):
+        if len(rows) >= rows.shape[1]:
+            out[:, a : a + TURNED] = rows[a : a + TURNED].T
+        else:
+            out[a : a + TURNED] = rows[:, a : a + TURNED].T
 
 
 def encode_block(ids: np.ndarray, symbols: int) -> tuple[int, bytes]:
     """Lanes and payload of a block of ids (each below ``symbols``, one at least)."""
     lanes = max(1, min(LANES, len(ids) // LANE_IDS))
-    steps, full, starts = _lanes(len(ids), lanes)
+    steps, full = _lanes(len(ids), lanes)
     model, coder = Mixer(symbols, lanes), LaneWriter(lanes, steps)
-    ids = ids.astype(np.int32)
+    grid = np.empty((steps, lanes), np.int32)  # the ids of each step
+    _turned(ids[: full * steps].reshape(full, steps), grid[:, :full])
+    _turned(ids[full * steps :].reshape(lanes - full, steps - 1), grid[:-1, full:])
     for step in range(steps):
         n = lanes if step < steps - 1 else full
-        now = ids.take(starts[:n] + step)
+        now = grid[step, :n]
         model.predict(n)
         coder.put(*model.intervals(now))
         model.learn(now)
@@ -328,16 +352,19 @@ def encode_block(ids: np.ndarray, symbols: int) -> tuple[int, bytes]:
 
 def decode_block(payload: bytes, n_ids: int, lanes: int, symbols: int) -> np.ndarray:
     """The ids of a block."""
-    steps, full, starts = _lanes(n_ids, lanes)
-    out = np.empty(n_ids, np.int64)
+    steps, full = _lanes(n_ids, lanes)
+    grid = np.empty((steps, lanes), np.int32)
     model, coder = Mixer(symbols, lanes), LaneReader(payload, lanes)
     for step in range(steps):
         n = lanes if step < steps - 1 else full
         model.predict(n)
-        now = model.find(coder.peek(n))
+        now = grid[step, :n]
+        now[:] = model.find(coder.peek(n))
         coder.take(*model.intervals(now))
-        out[starts[:n] + step] = now
         model.learn(now)
+    out = np.empty(n_ids, np.int64)
+    _turned(grid[:, :full], out[: full * steps].reshape(full, steps))
+    _turned(grid[:-1, full:], out[full * steps :].reshape(lanes - full, steps - 1))
     return out
 
 
@@ -424,8 +451,6 @@ class Merges:
     """The vocabulary's merges, made for many runs of bytes side by side: in each run the merge of the least rank, the
     leftmost of those, again and again, as the library does in one after the other."""
 
-    NONE = np.int32(1 << 30)
-
     def __init__(self, vocabulary: Tokenizer) -> None:
         model = json.loads(vocabulary.to_str())["model"]
         ids, self.symbols = model["vocab"], vocabulary.get_vocab_size()
@@ -434,13 +459,19 @@ class Merges:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([ids[a + b] for a, b in pairs], np.int32)  # by rank
+        #: Of pairs that don't merge; larger than all ranks.
+        self.NONE = np.int32(len(pairs))
+        self.answers = Answers(self._search, RANK_BITS, len(pairs).bit_length(), self.symbols**2)
         self.inner, self.last = (np.array([ids[c + end] for c in byte_characters()], np.int32) for end in ("", WORD_END))
 
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of the merges of pairs; ``NONE`` where there is none, or no id (below 0)."""
-        key = a.astype(np.int64) * self.symbols + b
+    def _search(self, key: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (b >= 0), self.ranks[at], self.NONE)
+        return np.where(self.keys[at] == key, self.ranks[at], self.NONE)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of pairs; ``NONE`` where there is none, or no id (``b`` below 0)."""
+        found = self.answers(a.astype(np.int64) * self.symbols + np.maximum(b, 0))
+        return np.where(b >= 0, found, self.NONE).astype(np.int32)
 
     def _grid(self, grid: np.ndarray) -> np.ndarray:
         """Merge the ids in each row, which -1 follow, as far as they go."""
@@ -559,11 +590,31 @@ class WordTokens:
         got = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.empty(0, np.int32), *got])
 
-    def _merged(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units that ``_MERGED`` takes: the vocabulary splits them into runs of letters or of punctuation and single digits."""
-        if not units:
+    @staticmethod
+    def _mergeable(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are merged here, and these words' bytes in lower case, a space after each."""
+        short = np.flatnonzero(lengths <= MERGED)
+        sizes = lengths[short] + 1
+        ends = np.cumsum(sizes)
+        own = data[np.minimum(flat_ranges(starts[short], sizes), len(data) - 1)]
+        own[ends - 1] = 0x20
+        good = _PLAIN[own]
+        pair = np.flatnonzero(own == 0xC3)
+        pair = pair[_LATIN[own[pair + 1]]]
+        good[pair] = good[pair + 1] = True
+        good[np.flatnonzero(own == 0x3C)] &= own[np.flatnonzero(own == 0x3C) + 1] != 0x7C
+        fine = np.ones(len(short), bool)
+        fine[np.searchsorted(ends, np.flatnonzero(~good), "right")] = False
+        own[pair + 1] += (own[pair + 1] <= 0x9E).astype(np.uint8) << 5
+        own |= (own - np.uint8(0x41) < 26).astype(np.uint8) << 5
+        merged = np.zeros(len(starts), bool)
+        merged[short[fine]] = True
+        return merged, own if fine.all() else own[np.repeat(fine, sizes)]
+
+    def _merged(self, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the ``n`` words of ``_mergeable``: the vocabulary splits them into runs of letters or of punctuation and single digits."""
+        if not n:
             return np.empty(0, np.int64), np.empty(0, np.int32)
-        data = np.frombuffer(" ".join([*units, ""]).lower().encode(), np.uint8)
         kind = _KIND[data]
         first = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)])
         edges = np.append(np.flatnonzero(first), len(data))
@@ -571,7 +622,7 @@ class WordTokens:
         runs = kind[starts] != _BETWEEN
         unit = np.cumsum(~runs)[runs]
         counts, ids = self.merges(data, starts[runs], lengths[runs])
-        return np.bincount(unit, counts, len(units)).astype(np.int64), ids
+        return np.bincount(unit, counts, n).astype(np.int64), ids
 
     def _others(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of any units, many in a call, with a mark after each."""
@@ -583,14 +634,14 @@ class WordTokens:
         marks = ids == self.mark
         return np.diff(np.flatnonzero(marks), prepend=-1) - 1, ids[~marks]
 
-    def _learn(self, units: list[str]) -> int:
-        """Take up units; the number of the first one's list."""
+    def _learn(self, joined: bytes, begin: np.ndarray, end: np.ndarray) -> int:
+        """Take up the words that lie in ``joined``; the number of the first one's list."""
         first = self.ids.n
-        counts, starts = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
-        merged = np.fromiter((len(u.encode("utf-8", "replace")) <= MERGED and _MERGED.fullmatch(u) is not None for u in units), bool, len(units))
+        counts, starts = np.empty(len(begin), np.int64), np.empty(len(begin), np.int64)
+        merged, data = self._mergeable(np.frombuffer(joined, np.uint8), begin, end - begin)
+        others = [joined[a:b].decode("utf-8", "replace") for a, b in zip(begin[~merged].tolist(), end[~merged].tolist(), strict=True)]
         found, held = [], 0
-        for of_kind, encode in ((merged, self._merged), (~merged, self._others)):
-            own, ids = encode([u for u, k in zip(units, of_kind.tolist(), strict=True) if k])
+        for of_kind, (own, ids) in ((merged, self._merged(data, int(merged.sum()))), (~merged, self._others(others))):
             counts[of_kind] = own
             starts[of_kind] = held + np.cumsum(own) - own
             held += len(ids)
@@ -599,31 +650,48 @@ class WordTokens:
         return first
 
     @staticmethod
-    def _words(joined: bytes) -> tuple[np.ndarray, ...]:
+    def _hashes(joined: bytes, starts: np.ndarray, lengths: np.ndarray, lowered: np.ndarray) -> np.ndarray:
+        """Hashes of words, eight bytes of each at a time; of those ``lowered`` with capitals lowered."""
+        both = b"".join([joined.lower(), joined, bytes(8)])
+        eight = np.ndarray(len(both) - 7, "<u8", both, strides=(1,))
+        at, left = np.where(lowered, starts, starts + len(joined)), lengths
+        hashes, own = np.zeros(len(starts), np.uint64), slice(None)
+        with np.errstate(over="ignore"):
+            h = (lengths + 1).astype(np.uint64) * _FACTOR
+            h ^= h >> _FOLD
+            while len(at):
+                h = (h ^ (eight[at] & _FIRST[np.minimum(left, 8)])) * _FACTOR
+                h ^= h >> _FOLD
+                hashes[own] = h
+                more = np.flatnonzero((left > 8) & (left <= HASHED))
+                own = more if isinstance(own, slice) else own[more]
+                at, left, h = at[more] + 8, left[more] - 8, h[more]
+            for k in np.flatnonzero(lengths > HASHED).tolist():
+                a = int(starts[k]) + (0 if lowered[k] else len(joined))
+                hashes[k] = xxhash.xxh64_intdigest(memoryview(both)[a : a + int(lengths[k])])
+            return mixed(hashes)
+
+    @classmethod
+    def _words(cls, joined: bytes) -> tuple[np.ndarray, ...]:
         """Of the words of some bytes: starts, ends of what is looked up, the mark after it (0: none), hashes."""
         data = np.frombuffer(joined, np.uint8)
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]]).view(np.int8)))
+        # compared, since to look each byte up in a table takes longer
+        space = np.concatenate([[True], (data == 0x20) | (data == 0x0A), [True]])
+        edge = np.flatnonzero(space[1:] != space[:-1])
         starts, ends = edge[::2], edge[1::2]
-        letter = _LETTER[data]
+        letter = (data | np.uint8(0x20)) - np.uint8(0x61) < 26
         if 0xC3 in joined:
-            first = data == 0xC3
-            first[:-1] &= _LATIN[data[1:]]
-            first[-1] = False
-            letter |= first
-            letter[1:] |= first[:-1]
+            first = np.flatnonzero(data[:-1] == 0xC3)
+            first = first[_LATIN[data[first + 1]]]
+            letter[first] = letter[first + 1] = True
         others = np.concatenate([np.zeros(1, np.int32), np.cumsum(~letter, dtype=np.int32)])
         last = data[ends - 1]
         mark = _PUNCTUATION[last] & (ends - starts > 1)
         plain = others[ends - mark] == others[starts]
         mark &= plain
         core = ends - mark
-        power, inverse = powers(1 << max(18, len(data).bit_length()))
-        power = power[: len(data)]
-        with np.errstate(over="ignore"):
-            # capitals count in words that are not plain
-            low, own = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(v[data] * power)]) for v in (_LOWER, _OWN))
-            hashes = mixed(np.where(plain, low[core] - low[starts], own[core] - own[starts]) * inverse[starts] + (core - starts).astype(np.uint64))
-        return starts, core, np.where(mark, last, 0), hashes
+        # capitals count in words that are not plain
+        return starts, core, np.where(mark, last, 0), cls._hashes(joined, starts, core - starts, plain)
 
     def _lists(self, joined: bytes, starts: np.ndarray, core: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The numbers of the words' lists of ids; words that the table does not have are taken up."""
@@ -635,8 +703,7 @@ class WordTokens:
         if len(missed):
             fresh, at, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
             at = missed[at]
-            units = [joined[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), core[at].tolist(), strict=True)]
-            numbers = self._learn(units) + np.arange(len(units), dtype=np.int32)
+            numbers = self._learn(joined, starts[at], core[at]) + np.arange(len(at), dtype=np.int32)
             lists[missed] = numbers[back]
             # of words with one place the first goes there
             there, one = np.unique(place[at], return_index=True)
